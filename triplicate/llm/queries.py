@@ -8,9 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triplicate.llm.bpe import op4_bpe_segment_tree
 from triplicate.llm.packing import op8_best_fit_packing
+from triplicate.llm.pii import op1_pii
+from triplicate.llm.secrets import op3_secrets
+from triplicate.llm.simhash import op5_simhash
+from triplicate.llm.substrings import op9_substring_dedup
 from triplicate.llm.token_files import op6_token_files
 
-_ALL = (op4_bpe_segment_tree, op6_token_files, op8_best_fit_packing)
+_ALL = (
+    op1_pii,
+    op3_secrets,
+    op4_bpe_segment_tree,
+    op5_simhash,
+    op6_token_files,
+    op8_best_fit_packing,
+    op9_substring_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
