@@ -13,6 +13,7 @@ from triplicate.llm.secrets import op3_secrets
 from triplicate.llm.simhash import op5_simhash
 from triplicate.llm.substrings import op9_substring_dedup
 from triplicate.llm.token_files import op6_token_files
+from triplicate.llm.toxicity import op10_toxicity
 
 _ALL = (
     op1_pii,
@@ -22,6 +23,7 @@ _ALL = (
     op6_token_files,
     op8_best_fit_packing,
     op9_substring_dedup,
+    op10_toxicity,
 )
 
 
