@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from triplicate.llm.bpe import op4_bpe_segment_tree
+from triplicate.llm.inner_products import op7_inner_products
+from triplicate.llm.nearest import op2_nearest
 from triplicate.llm.packing import op8_best_fit_packing
 from triplicate.llm.pii import op1_pii
 from triplicate.llm.secrets import op3_secrets
@@ -17,10 +19,12 @@ from triplicate.llm.toxicity import op10_toxicity
 
 _ALL = (
     op1_pii,
+    op2_nearest,
     op3_secrets,
     op4_bpe_segment_tree,
     op5_simhash,
     op6_token_files,
+    op7_inner_products,
     op8_best_fit_packing,
     op9_substring_dedup,
     op10_toxicity,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplicate.llm.common import map_batches, materialize, prepare, table, texts
+from triplicate.llm.common import map_batches, materialize, mix, prepare, table, texts, word_hashes, words_of
 from triplicate.llm.components import components
 
 BITS = 64
@@ -135,51 +136,61 @@ class TrieJoin:
         return [self.find(i) for i in range(len(self.keys))]
 
 
-def _links(budget: int):
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
+    """The rows of each (mask, key) that has two or more, from rows sorted by them; None after each batch.
+
+    A run may go on in the next batch.
+    """
+    held: list[pa.RecordBatch] = []
+    held_key: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mask, key = batch.column("mask").to_numpy(), batch.column("key").to_numpy()
+        cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+        lows, highs = np.concatenate(([0], cuts)), np.concatenate((cuts, [batch.num_rows]))
+        inner = (highs - lows > 1) | (lows == 0) | (highs == batch.num_rows)  # single rows inside a batch link to nothing
+        for lo, hi in zip(lows[inner].tolist(), highs[inner].tolist(), strict=True):
+            this = (int(mask[lo]), int(key[lo]))
+            if this != held_key:
+                if sum(b.num_rows for b in held) > 1:
+                    yield pa.Table.from_batches(held)
+                held, held_key = [], this
+            held.append(batch.slice(lo, hi - lo))
+        yield None
+    if sum(b.num_rows for b in held) > 1:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(solve: Callable[[pa.Table], tuple[list[int], list[int]]]):
+    """Links (a, b) of all runs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(keys: np.ndarray) -> tuple[list[int], list[int]]:
-        keys = np.unique(keys.view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for rows in _runs(batches):
+            if rows is not None:
+                more = solve(rows)
+                a += more[0]
+                b += more[1]
+            elif a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return run
+
+
+def _within(budget: int):
+    def solve(rows: pa.Table) -> tuple[list[int], list[int]]:
+        keys = np.unique(rows.column("fp").to_numpy().view(np.uint64))
         roots = TrieJoin(keys.tolist(), budget).join()
         signed = keys.view(np.int64)
         linked = [(i, r) for i, r in enumerate(roots) if i != r]
         return [int(signed[i]) for i, _ in linked], [int(signed[r]) for _, r in linked]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal keys in sorted rows; a run may go on in the next batch."""
-        held: list[np.ndarray] = []
-        held_key: tuple | None = None
-        out: tuple[list[int], list[int]] = [], []
-
-        def close() -> None:
-            if sum(map(len, held)) > 1:
-                for total, part in zip(out, solve(np.concatenate(held)), strict=True):
-                    total += part
-            held.clear()
-
-        for batch in batches:
-            mask, key, fp = (batch.column(c).to_numpy() for c in ("mask", "key", "fp"))
-            if not len(fp):
-                continue
-            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            bounds = np.concatenate(([0], cuts, [len(fp)]))
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if hi - lo == 1 and lo and hi < len(fp):
-                    if held:
-                        close()
-                    held_key = None
-                    continue
-                this = (mask[lo], key[lo])
-                if this != held_key:
-                    close()
-                    held_key = this
-                held.append(fp[lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], schema=schema)
-            out = [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], schema=schema)
-
-    return run
+    return solve
 
 
 def masks(budget: int) -> list[int]:
@@ -206,7 +217,7 @@ def link(distinct: DataFrame, budget: int = 2) -> DataFrame:
     keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "key"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
-    found = components(sorted_.mapInArrow(_links(budget), "a long, b long"))
+    found = components(sorted_.mapInArrow(_linked(_within(budget)), "a long, b long"))
     roots = found.select(F.col("node").alias("fp"), "root")
     return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), *[c for c in distinct.columns if c != "fp"])
 
@@ -227,6 +238,103 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
     return by_doc.join(of_fp, "fp").select("doc_id", hexed, "component_id")
 
 
+# Near-duplicates by similarity of shingle sets ------------------------------
+
+#: Bits of the fingerprint of a text's set of shingles, by which similarity is judged.
+WIDE = 256
+#: Masks, and bits of each, of the fingerprints of a text's set of words, by which candidates meet.
+MASKS, MASK_BITS = 24, 20
+
+
+def budget_for(similarity: float, bits: int = WIDE) -> int:
+    """Differing bits that sets of this Jaccard similarity hardly exceed: the mean and one standard deviation.
+
+    Sets of equal size have the cosine 2s / (1 + s), and a bit differs with the angle's share of a half turn.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def _votes(hashes: np.ndarray, seeds: range) -> np.ndarray:
+    """For each seed 64 bits, set if more than half of the distinct hashes have them set once scrambled by the seed."""
+    counts = np.zeros(64 * len(seeds), np.int64)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048, None] + (np.array(seeds, np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
+        counts += np.unpackbits(mix(part).view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes))
+
+
+def _signatures(shingle: int):
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            raw, begin, end, first = words_of(batch.column("text"))
+            lower = raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0))
+            words = word_hashes(lower, begin, end)
+            keys, wide = [], []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                of = words[a:b]
+                rolled = np.zeros(max(1, len(of) - shingle + 1), np.uint64)
+                for k in range(shingle if len(of) >= shingle else 0):
+                    rolled += mix(of[k : k + len(rolled)] + np.uint64(k + 1))
+                if len(of) < shingle:  # a short text is one shingle
+                    rolled[0] = np.bitwise_xor.reduce(mix(of + np.arange(1, len(of) + 1, dtype=np.uint64))) if len(of) else 0
+                keys.append(_votes(np.unique(of), range(1, 3)).view("<i8"))
+                wide.append(_votes(np.unique(rolled), range(3, 3 + WIDE // 64)).tobytes())
+            return {"doc_id": batch.column("doc_id"), "k0": [k[0] for k in keys], "k1": [k[1] for k in keys], "wide": wide}
+
+        return step
+
+    return make
+
+
+def _similar(budget: int):
+    def solve(rows: pa.Table) -> tuple[list[int], list[int]]:
+        least: dict[int, int] = {}
+        for wide, doc in zip(rows.column("wide").to_pylist(), rows.column("least").to_pylist(), strict=True):
+            least[int.from_bytes(wide, "big")] = doc
+        keys = sorted(least)
+        linked = [(i, r) for i, r in enumerate(TrieJoin(keys, budget).join()) if i != r]
+        return [least[keys[i]] for i, _ in linked], [least[keys[r]] for _, r in linked]
+
+    return solve
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest doc_id reachable over links of similar texts.
+
+    Texts are similar if fingerprints of their sets of ``shingle`` words in a row differ in no more bits than texts
+    of that Jaccard similarity hardly exceed. At such a similarity fingerprints differ in too many bits for masks to
+    hold a guarantee, so candidates meet under masks of fingerprints of the sets of words, which are closer; each of
+    ``MASKS`` fixed masks leaves ``MASK_BITS`` bits. Copies are gathered by their fingerprint first. Null, empty and
+    blank texts are alike; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    schema = "doc_id long, k0 long, k1 long, wide binary"
+    by_doc = materialize(map_batches(texts(docs), _signatures(shingle), schema))
+    distinct = by_doc.groupBy("wide").agg(F.min("doc_id").alias("least"), F.min("k0").alias("k0"), F.min("k1").alias("k1"))
+    rng = np.random.default_rng(0)
+    drawn = [sum(1 << int(b) for b in rng.choice(64, MASK_BITS, replace=False)) for _ in range(MASKS)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in drawn]
+    masked = F.array(*(F.col("k0" if k % 2 else "k1").bitwiseAND(F.lit(m)) for k, m in enumerate(signed)))
+    keyed = distinct.select("least", "wide", F.posexplode(masked).alias("mask", "key"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "wide")
+    roots = components(sorted_.mapInArrow(_linked(_similar(budget_for(similarity))), "a long, b long"))
+    least = by_doc.groupBy("wide").agg(F.min("doc_id").alias("least"))
+    of_wide = least.join(roots.withColumnRenamed("node", "least"), "least", "left").select("wide", F.coalesce("root", "least").alias("component_id"))
+    return by_doc.select("doc_id", "wide").join(of_wide, "wide").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The same columns, with one document of each group of similar texts: that of the smallest doc_id.
+
+    Rows that repeat the doc_id that stays, stay with it.
+    """
+    dropped = similar_groups(docs, shingle, similarity).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at two or fewer differing bits of fingerprints of three-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
