@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplicate.functions import classification as rules
 from triplicate.functions import dimensions as dims
 from triplicate.functions.classification import classify
 from triplicate.functions.equivalence import code_match, item_match, with_features
@@ -162,6 +163,20 @@ def project_progress(spark, sf_dir):
     return k.select("project_id", "groups", "matched", "critical", share.alias("share"), verdict.alias("verdict"))
 
 
+def _classify_sql() -> str:
+    """The same rules by the other engine's regular expressions, from the same fixed values."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    steps = [f"WHEN regexp_matches(text, {quoted(rules.phrases_pattern(c, p))}) THEN ({quoted(c)}, {n}, 'description')" for c, n, p in rules.DESCRIPTION_RULES]
+    steps += [f"WHEN regexp_matches(code, {quoted(rules.codes_pattern(p))}) THEN ({quoted(c)}, {n}, 'code')" for c, n, p in rules.CODE_RULES]
+    kinds = " ".join(f"WHEN t IN ({', '.join(map(quoted, tokens))}) THEN {quoted(c)}" for c, tokens in rules.TOKEN_RULES.items())
+    first = f"list_filter(list_transform(regexp_split_to_array(code, '[\\s\\-_./]+'), lambda t: CASE {kinds} END), lambda c: c IS NOT NULL)[1]"
+    return f"""WITH p AS (SELECT p_partkey, ['B', 'EP', 'REF.', 'BF', 'SCM', 'X9-TK-', 'CAB', 'BFH-', 'Z'][p_size % 9 + 1] || p_size AS code,
+          CASE WHEN p_partkey % 2 = 0 THEN upper(p_name || ' ' || ['base cabinet', 'crown molding', 'Range hood', 'end panel', 'WALL FILLER', 'lazy susan', 'freight', 'window', 'plain'][p_partkey % 9 + 1]) ELSE '' END AS text FROM part),
+        c AS (SELECT p_partkey, {first} AS token, CASE {' '.join(steps)} END AS r FROM p)
+        SELECT p_partkey, coalesce(r[1], token, 'UNKNOWN') AS category, CAST(CASE WHEN r IS NOT NULL THEN r[2] WHEN token IS NOT NULL THEN 0.85 ELSE 0.4 END AS DOUBLE) AS confidence,
+          CASE WHEN r IS NOT NULL THEN r[3] WHEN token IS NOT NULL THEN 'token' ELSE 'none' END AS rule FROM c"""
+
+
 _WRITTEN = ", pairs AS (SELECT project_id, ord, MAX(CASE WHEN side = 'DESIGN' THEN item_id END) AS design_id, MAX(CASE WHEN side = 'ORDER' THEN item_id END) AS order_id, MAX(CASE WHEN side = 'ACK' THEN item_id END) AS ack_id, ANY_VALUE(k) AS k FROM items GROUP BY project_id, ord)"
 _STATUS = "CASE WHEN design_id IS NOT NULL AND order_id IS NOT NULL THEN 'MATCHED' WHEN design_id IS NOT NULL AND ack_id IS NOT NULL THEN 'CHANGED' WHEN design_id IS NOT NULL THEN 'MISSING' ELSE 'EXTRA' END"
 _WIDE = """, w AS (
@@ -206,6 +221,7 @@ g AS (SELECT w.project_id, design_id, order_id, ack_id, CASE WHEN status = 'MATC
 SQL = {
     "sku_normalize": f"WITH {ITEMS_SQL} SELECT item_id, upper(regexp_replace(trim(raw_sku), '\\s+', ' ', 'g')) AS sku, array_to_string(list_filter(regexp_split_to_array(upper(trim(raw_sku)), '[\\s\\-_./]+'), lambda x: x <> ''), '+') AS tokens FROM items",
     "size_parse": f"WITH {ITEMS_SQL} SELECT item_id, CAST(width AS DOUBLE) AS width, CASE WHEN side = 'ACK' THEN NULL ELSE CAST(height AS DOUBLE) END AS height, CASE WHEN side = 'ACK' THEN NULL ELSE 24.0::DOUBLE END AS depth, CASE WHEN side = 'ORDER' THEN 'UNLABELED' ELSE 'EXPLICIT' END AS axis_certainty FROM items",
+    "classify_parts": _classify_sql(),
     "units_aggregate": f"""WITH {ITEMS_SQL} SELECT project_id, side, arg_min(item_id, ord) AS unit_id, 'B' || width AS raw_sku, arg_min(finish, ord) AS finish, CAST(sum(quantity) AS INT) AS quantity,
         count(*) AS lines, string_agg(item_id, ',' ORDER BY ord) AS line_ids FROM items GROUP BY project_id, side, width, coalesce(upper(finish), ''), upper(door_style)""",
     "views_resolved": f"""WITH {ITEMS_SQL}, v AS (SELECT item_id, project_id, ord, quantity, CASE WHEN quantity % 3 <> 0 THEN finish END AS finish, CASE WHEN ord % 5 <> 0 THEN ['FLOORPLAN', 'ELEVATION', 'SCHEDULE', 'LEGEND'][ord % 4 + 1] END AS view_type,

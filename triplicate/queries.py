@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from triplicate.plans import reconciliation
+from triplicate.plans import reconciliation, services
 
-_PLANS = (reconciliation,)
+_PLANS = (reconciliation, services)
 
 
 def queries() -> dict:
