@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from triplicate.llm.common import map_batches, mix, prepare, table, texts, word_hashes, words_of
+from triplicate.llm.common import fresh, map_batches, mix, prepare, table, texts, word_hashes, words_of
 
 WINDOW = 13
 #: Words of the phrases of which one is a window's anchor.
@@ -166,9 +166,9 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept_anchor, kept_window, kept_doc = last, w[final], d[final]
 
 
-def _digested(docs: DataFrame) -> DataFrame:
+def _digested(docs: DataFrame, name: str = "digest") -> DataFrame:
     """With a digest of the text, so that rows which share a doc_id but not a text are told apart."""
-    return docs.withColumn("digest", F.hash(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn(name, F.hash(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
@@ -211,28 +211,27 @@ def _kept_words():
     return step
 
 
-def _kept_text():
-    def step(batch: pa.RecordBatch) -> dict:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans"), strict=True):
-            if text is not None and spans.is_valid:
-                raw, begin, end, _ = words_of(pa.array([text], pa.string()))
-                gone = _covered(spans, len(begin))
-                edges = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True]))))
-                raw = raw.tobytes()
-                # Between kept stretches stands what stood before the later one.
-                parts: list[bytes] = []
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    parts.append(raw[(end[a - 1] if parts else begin[a]) : end[b - 1]])
-                text = b"".join(parts).decode()
-            out.append(text)
-        return {c: batch.column(c) for c in batch.schema.names} | {"text": pa.array(out, pa.string())}
+def _cut(text: str, spans: pa.Scalar) -> str:
+    """What is left of a text; between kept stretches stands what stood before the later one."""
+    raw, begin, end, _ = words_of(pa.array([text], pa.string()))
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _covered(spans, len(begin)), [True]))))
+    raw = raw.tobytes()
+    parts: list[bytes] = []
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        parts.append(raw[(end[a - 1] if parts else begin[a]) : end[b - 1]])
+    return b"".join(parts).decode()
 
-    return step
 
+def _kept_text(spans_name: str):
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            pairs = zip(batch.column("text").to_pylist(), batch.column(spans_name), strict=True)
+            out = [text if text is None or not spans.is_valid else _cut(text, spans) for text, spans in pairs]
+            return {c: batch.column(c) for c in batch.schema.names} | {"text": pa.array(out, pa.string())}
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    return _digested(docs).join(duplicate_spans(docs).hint("shuffle_hash"), ["doc_id", "digest"], "left")
+        return step
+
+    return make
 
 
 def count_kept(docs: DataFrame) -> DataFrame:
@@ -243,15 +242,17 @@ def count_kept(docs: DataFrame) -> DataFrame:
     104 bits of hashes, so a false match is less likely than a fault of the machine up to about 10**12 windows of
     one anchor.
     """
-    return map_batches(_with_spans(texts(docs)), _kept_words, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    whole = texts(docs)
+    joined = _digested(whole).join(duplicate_spans(whole).hint("shuffle_hash"), ["doc_id", "digest"], "left")
+    return map_batches(joined, _kept_words, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_duplicates(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with the words of earlier documents' passages cut out of text; null stays null."""
-    cut = map_batches(
-        _with_spans(docs).select(*docs.columns, "spans"), _kept_text, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    )
-    return cut
+    digest, spans = fresh(docs, "digest"), fresh(docs, "spans")
+    found = duplicate_spans(docs).withColumnsRenamed({"digest": digest, "spans": spans})
+    joined = _digested(docs, digest).join(found.hint("shuffle_hash"), ["doc_id", digest], "left").select(*docs.columns, spans)
+    return map_batches(joined, _kept_text(spans), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

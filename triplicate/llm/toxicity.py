@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplicate.llm.common import TwoGenerations, map_batches, prepare, table, texts
+from triplicate.llm.common import TwoGenerations, fresh, map_batches, prepare, table, texts
 
 #: Labelled documents to learn from at most, of each label; drawn by a hash of doc_id.
 SAMPLE = 1000
@@ -345,13 +345,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _keep_clean(model: Model):
+def _keep_clean(model: Model, name: str):
     def make():
         scorer = Scorer(model)
 
         def step(batch: pa.RecordBatch) -> dict:
             found = scorer.score([t or "" for t in batch.column("text").to_pylist()])
-            return {c: batch.column(c) for c in batch.schema.names} | {"toxic_score": found}
+            return {c: batch.column(c) for c in batch.schema.names} | {name: found}
 
         return step
 
@@ -362,4 +362,5 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The same columns, without rows whose text scores ``least`` or more."""
     prepare(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, _keep_clean(model), f"{schema}, toxic_score double").where(F.col("toxic_score") < least).select(*docs.columns)
+    name = fresh(docs, "toxic_score")
+    return map_batches(docs, _keep_clean(model, name), f"{schema}, {name} double").where(F.col(name) < least).select(*docs.columns)
