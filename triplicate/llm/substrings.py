@@ -28,7 +28,10 @@ PHRASE = 5
 BLOCK_WORDS = 1_000_000
 #: Bytes of a window's hash that travel beside the eight of its anchor's.
 _BYTES = 5
-_FACTOR = "anchor long, doc_id long, digest int, start int, n int, windows binary"
+#: ``place`` holds the text's digest and, in its lower half, the first window's word. ``windows`` has the hashes of a
+#: factor's windows, or, of windows that are settled already, just their number in four bytes.
+_FACTOR = "anchor long, doc_id long, place long, windows binary"
+_SETTLED = 4
 _SPAN = "doc_id long, digest int, start int, n int"
 
 
@@ -69,7 +72,7 @@ def _factors(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
     earliest = np.empty(len(order), np.int64)
     earliest[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     settled = doc[row[starts[earliest]]] < doc[row[starts]]
-    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    columns: list[list[np.ndarray]] = [[], [], []]
     blobs: list[pa.Array] = []
     for done in (True, False):
         these = np.flatnonzero(settled == done)
@@ -81,16 +84,17 @@ def _factors(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         n = np.diff(np.concatenate((heads, [len(these)])))
         of = row[s[heads]]
         anchor = mix(doc[of].astype(np.uint64)) if done else least[these[heads]]
-        for column, values in zip(columns, (anchor.view(np.int64), doc[of], digest[of], at[s[heads]].astype(np.int32), n.astype(np.int32)), strict=True):
+        place = digest[of].astype(np.int64) << 32 | at[s[heads]]
+        for column, values in zip(columns, (anchor.view(np.int64), doc[of], place), strict=True):
             column.append(values)
         if done:
-            blobs.append(pa.nulls(len(heads), pa.binary()))
+            data, sizes = n.astype("<i4"), np.full(len(heads), _SETTLED)
         else:
-            data = np.ascontiguousarray(window[these].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES])
-            ends = np.concatenate(([0], np.cumsum(n) * _BYTES)).astype(np.int32)
-            blobs.append(pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+            data, sizes = np.ascontiguousarray(window[these].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]), n * _BYTES
+        ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        blobs.append(pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
     arrays = [pa.array(np.concatenate(c)) for c in columns] + [pa.chunked_array(blobs).combine_chunks()]
-    return pa.RecordBatch.from_arrays(arrays, names=["anchor", "doc_id", "digest", "start", "n", "windows"])
+    return pa.RecordBatch.from_arrays(arrays, names=["anchor", "doc_id", "place", "windows"])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +125,18 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     kept_anchor, kept_window, kept_doc = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
-        anchor, doc, digest, start, n = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "digest", "start", "n"))
+        anchor, doc, place_ = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "place"))
+        digest, start = place_ >> 32, place_ & 0xFFFFFFFF
         blobs = batch.column("windows")
-        settled = np.asarray(blobs.is_null())
+        offsets = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
+        raw = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)
+        sizes = np.diff(offsets)
+        settled = sizes == _SETTLED
+        n = sizes // _BYTES
         if settled.any():
-            yield _merged(doc[settled], digest[settled], start[settled], n[settled])
+            heads = offsets[:-1][settled]
+            counts = np.ascontiguousarray(raw[heads[:, None] + np.arange(_SETTLED)]).view("<i4")[:, 0]
+            yield _merged(doc[settled], digest[settled], start[settled], counts)
         rows = np.flatnonzero(~settled)
         if not len(rows):
             continue
@@ -135,15 +146,13 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = a[-1]
         rows = rows[shared]
         # Flatten the windows of what shares its anchor with another row.
-        taken = blobs.take(pa.array(rows))
         counts = n[rows]
-        offsets = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4)
-        flat = np.frombuffer(taken.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _BYTES)
-        window = np.zeros((len(flat), 8), np.uint8)
-        window[:, :_BYTES] = flat
-        window = window.view("<u8")[:, 0]
         of = np.repeat(np.arange(len(rows)), counts)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + start[rows][of]
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        window = np.zeros((len(of), 8), np.uint8)
+        window[:, :_BYTES] = raw[(offsets[:-1][rows][of] + nth * _BYTES)[:, None] + np.arange(_BYTES)]
+        window = window.view("<u8")[:, 0]
+        place = nth + start[rows][of]
         run = np.cumsum(np.concatenate(([0], anchor[rows][1:] != anchor[rows][:-1])))[of]
         ghosts = len(kept_window) if len(rows) and anchor[rows[0]] == kept_anchor else 0
         w = np.concatenate((kept_window[:ghosts], window))
