@@ -78,3 +78,28 @@ def test_every_unit_is_in_one_group(spark):
     units = aggregate_units(items(spark, *rows)).cache()
     placed = [i for g in match_units(units).collect() for i in (g.design_id, g.order_id, g.ack_id) if i]
     assert sorted(placed) == sorted(r.unit_id for r in units.collect())
+
+
+def test_shared_keys_lose_no_pair(spark):
+    import random
+
+    from triplicate.functions.equivalence import ITEM_EQUAL, item_match, with_features
+    from triplicate.operators.edges import PAIRS, equivalence_edges
+
+    rng = random.Random(1)
+    codes = ["B36", "B36 L", "B36-R", "b36butt", "B36 BUTT", "B", "W30", "W30-BUTT", "BW 30", None, "--", "BFHC12", "BPFHC12", "3 6"]
+    said = [None, "hutch column base 12", "wall door", "wall door base", "base 36 left"]
+    rows = [
+        (side, f"{side[0]}{i}", rng.choice(codes), {"description": rng.choice(said), "size_text": rng.choice(["30W", "33W", None]), "finish": str(i), "substitution_sku": rng.choice([None, "B36", "W30 BUTT"]) if side == "ACK" else None})
+        for side in ("DESIGN", "ORDER", "ACK") for i in range(25)
+    ]
+    units = aggregate_units(items(spark, *rows)).cache()
+    found = [(r.pair, r.a, r.b, r.match) for r in equivalence_edges(units).collect()]
+    base = with_features(units.select("project_id", "side", "unit_id", "raw_sku", "description", "category", "dimensions", "substitution_sku"), substitution="substitution_sku").cache()
+    all_pairs = set()
+    for x, y in PAIRS:
+        a = base.where(F.col("side") == x).select(F.col("unit_id").alias("a"), F.col("f").alias("fa"))
+        b = base.where(F.col("side") == y).select(F.col("unit_id").alias("b"), F.col("f").alias("fb"))
+        pairs = a.crossJoin(b).select("a", "b", item_match(F.col("fa"), F.col("fb")).alias("m")).where(F.col("m").isin(*ITEM_EQUAL))
+        all_pairs |= {(x[0] + y[0], r.a, r.b, r.m) for r in pairs.collect()}
+    assert len(found) == len(set(found)) and set(found) == all_pairs

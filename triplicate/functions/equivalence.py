@@ -150,10 +150,26 @@ def item_match(a: Column, b: Column) -> Column:
 ITEM_EQUAL = ("EXACT", "NORMALIZED_EXACT", "EXPLICIT_SUBSTITUTION", "MANUFACTURER_VARIANT")
 
 
+def _tagged(keys: Column, tag: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
+
+
+def _longest(tokens: Column) -> Column:
+    """The longest token, the greatest of several, as an array; empty without tokens."""
+    ranked = F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
+    return F.when(F.size(tokens) > 0, F.array(F.array_max(ranked)["t"])).otherwise(F.array().cast("array<string>"))
+
+
 def block_keys(f: Column) -> Column:
-    """Keys of which any two matching items share one: whole and partial codes, description words, none for no code."""
-    codes = F.concat(F.array(F.coalesce(f["sku"], F.lit("")), f["compact"]), f["parts"])
-    substitute = F.concat(F.array(f["sub"], F.array_join(sku_tokens(f["sub"]), "")), decomposed(sku_tokens(f["sub"])))
-    tagged = F.transform(F.concat(codes, F.when(f["sub"].isNotNull(), substitute).otherwise(F.array().cast("array<string>"))), lambda k: F.concat(F.lit("c"), k))
-    worded = F.transform(f["words"], lambda k: F.concat(F.lit("w"), k))
-    return F.array_distinct(F.when(f["sku"].isNull() & f["sub"].isNull(), F.array(F.lit("c"))).otherwise(F.concat(tagged, worded)))
+    """A struct of ``keys`` and ``own``, some of these: any two matching items share a key that is one's own.
+
+    Equal codes share the code, or its letters without marks. Where one code's parts lie within the other's, its
+    longest token does. Variants share a word of their descriptions. Items without a code share the key for that.
+    """
+    none = F.array().cast("array<string>")
+    sub = sku_tokens(f["sub"])
+    has = f["sub"].isNotNull()
+    whole = F.concat(F.array(F.coalesce(f["sku"], F.lit("")), f["compact"]), F.when(has, F.array(f["sub"], F.array_join(sub, ""))).otherwise(none))
+    own = F.concat(_tagged(F.concat(whole, _longest(f["tokens"]), F.when(has, _longest(sub)).otherwise(none)), "c"), _tagged(f["words"], "w"))
+    parts = _tagged(F.concat(f["parts"], F.when(has, decomposed(sub)).otherwise(none)), "c")
+    return F.struct(F.array_distinct(F.concat(own, parts)).alias("keys"), F.array_distinct(own).alias("own"))

@@ -15,8 +15,7 @@ PAIRS = (("DESIGN", "ORDER"), ("DESIGN", "ACK"), ("ORDER", "ACK"), ("DESIGN", "D
 def equivalence_edges(units: DataFrame) -> DataFrame:
     """(project_id, pair, a, b, match, same_code): the equivalent pairs of units, ``pair`` by the first letters of sides.
 
-    Every way to match implies a shared key (a code or part of one, a word of the description, or the lack of a
-    code), so pairs come from an equi-join on project and key, once for each pair, and are judged in the same stage.
+    Every way to match implies a shared key that is one's own (see :func:`block_keys`), so pairs come from an equi-join on project and key, once for each pair, and are judged in the same stage.
     Orders from a cabinet list meet acknowledgements by the maker's code alone. Units of one side are joined in
     both directions, and a unit with itself unless it has neither code nor description.
     """
@@ -26,19 +25,20 @@ def equivalence_edges(units: DataFrame) -> DataFrame:
     by_maker = with_features(base.where((F.col("side") == "ORDER") & listed & F.col("manuf_code").isNotNull()), "manuf_code", "substitution_sku")
     by_maker = by_maker.withColumn("role", F.lit("MAKER"))
     rows = plain.unionByName(by_maker).select(
-        "project_id", "unit_id", "role", (listed & (F.col("side") == "ORDER")).alias("listed"), "f", block_keys(F.col("f")).alias("keys")
+        "project_id", "unit_id", "role", (listed & (F.col("side") == "ORDER")).alias("listed"), "f", block_keys(F.col("f")).alias("k")
     )
-    rows = cut(rows).withColumn("key", F.explode("keys"))
+    rows = cut(rows.select("*", "k.keys", "k.own").drop("k")).withColumn("key", F.explode("keys"))
+    rows = rows.withColumn("mine", F.array_contains("own", F.col("key")))
     a, b = rows.alias("a"), rows.alias("b")
     role = lambda x, y: (F.col("a.role") == x) & (F.col("b.role") == y)
     wanted = role("MAKER", "ACK") | (role("ORDER", "ACK") & ~F.col("a.listed"))
     for x, y in PAIRS:
         if (x, y) != ("ORDER", "ACK"):
             wanted = wanted | role(x, y)
-    joined = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.key") == F.col("b.key")) & wanted)
-    # A pair is judged where its first shared key is: the others would only repeat it.
+    joined = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.mine") | F.col("b.mine")) & wanted)
+    # A pair is judged at the first shared key that is one's own: the others would only repeat it.
     fa, fb = F.col("a.f"), F.col("b.f")
-    first_shared = F.array_min(F.array_intersect("a.keys", "b.keys"))
+    first_shared = F.array_min(F.array_intersect(F.array_intersect("a.keys", "b.keys"), F.array_union("a.own", "b.own")))
     judged = joined.where(F.col("a.key") == first_shared).select(
         F.col("a.project_id").alias("project_id"),
         F.concat(F.translate(F.substring("a.role", 1, 1), "M", "O"), F.substring("b.role", 1, 1)).alias("pair"),
