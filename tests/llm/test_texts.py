@@ -202,6 +202,45 @@ def test_similar_texts_are_dropped(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(rows).collect()) == [1, 4, 5]
 
 
+def shingle_sets(texts):
+    return [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+
+
+def smallest_reachable(sets):
+    root = list(range(len(sets)))
+    for _ in sets:
+        before = list(root)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if root[i] != root[j] and len(x & y) / len(x | y) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            return root
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_similar_texts_are_those_of_jaccard_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(250):  # pairs of similarity 0.6 to 0.9 by scattered edits
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(rng.choice((8, 40, 120)))]
+        near = list(base)
+        for at in rng.sample(range(len(near)), max(1, round(len(near) * rng.uniform(0.01, 0.06)))):
+            near[at] = "changed"
+        texts += [" ".join(base), " ".join(near)]
+    centre = [f"c{rng.randint(0, 9999)}" for _ in range(60)]
+    for _ in range(40):  # a group that is dense in pairs on both sides of the limit
+        copy = list(centre)
+        copy[rng.randrange(60)] = f"x{rng.randint(0, 99)}"
+        texts.append(" ".join(copy[: rng.randint(50, 60)]))
+    sets = shingle_sets(texts)
+    near = [len(x & y) / len(x | y) for x, y in zip(sets[:500:2], sets[1:500:2])]
+    assert sum(0.6 <= s < 0.8 for s in near) > 20 and sum(0.8 <= s < 0.9 for s in near) > 20
+    rows = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(smallest_reachable(sets)))
+
+
 def test_substrings(docs, empty):
     texts = [t or "" for t in odd_texts()]
     words = [t.encode().split() for t in texts]

@@ -240,19 +240,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
 
 # Near-duplicates by similarity of shingle sets ------------------------------
 
-#: Bits of the fingerprint of a text's set of shingles, by which similarity is judged.
+#: Bits of the fingerprint of a text's set of shingles, which parts candidates from chance meetings.
 WIDE = 256
-#: Masks, and bits of each, of the fingerprints of a text's set of words, by which candidates meet.
-MASKS, MASK_BITS = 24, 20
+#: Bands, and minima of each, under which candidates meet: sets of similarity s share one with 1 - (1 - s**ROWS)**BANDS.
+BANDS, ROWS = 24, 5
+#: Shingles of the texts that one task compares with one another, or with as many others, at about most.
+BLOCK = 1 << 20
 
 
 def budget_for(similarity: float, bits: int = WIDE) -> int:
-    """Differing bits that sets of this Jaccard similarity hardly exceed: the mean and one standard deviation.
+    """Differing bits that sets of this Jaccard similarity do not exceed: the mean and five standard deviations.
 
-    Sets of equal size have the cosine 2s / (1 + s), and a bit differs with the angle's share of a half turn.
+    Sets of equal size have the cosine 2s / (1 + s), others of that similarity a larger one, and a bit differs with
+    the angle's share of a half turn.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
 
 def _votes(hashes: np.ndarray, seeds: range) -> np.ndarray:
@@ -264,23 +267,47 @@ def _votes(hashes: np.ndarray, seeds: range) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes))
 
 
+_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """For each band a hash of the least of the set's hashes under each of the band's factors."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (_FACTORS[:, None] * hashes[None, at : at + 512]).min(1), out=least)
+    return mix(mix(least.reshape(BANDS, ROWS) + np.arange(ROWS, dtype=np.uint64)).sum(1, dtype=np.uint64)).view(np.int64)
+
+
+def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct hashes of ``shingle`` words in a row; a text of fewer words is one shingle."""
+    raw, begin, end, first = words_of(column)
+    lower = raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0))
+    words = word_hashes(lower, begin, end)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        of = words[a:b]
+        rolled = np.zeros(max(1, len(of) - shingle + 1), np.uint64)
+        for k in range(shingle if len(of) >= shingle else 0):
+            rolled += mix(of[k : k + len(rolled)] + np.uint64(k + 1))
+        if len(of) < shingle:
+            rolled[0] = np.bitwise_xor.reduce(mix(of + np.arange(1, len(of) + 1, dtype=np.uint64))) if len(of) else 0
+        yield np.unique(rolled)
+
+
+def _node(hashes: np.ndarray) -> int:
+    """What a set is known by: texts of one set have one."""
+    return int(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _signatures(shingle: int):
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            raw, begin, end, first = words_of(batch.column("text"))
-            lower = raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0))
-            words = word_hashes(lower, begin, end)
-            keys, wide = [], []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                of = words[a:b]
-                rolled = np.zeros(max(1, len(of) - shingle + 1), np.uint64)
-                for k in range(shingle if len(of) >= shingle else 0):
-                    rolled += mix(of[k : k + len(rolled)] + np.uint64(k + 1))
-                if len(of) < shingle:  # a short text is one shingle
-                    rolled[0] = np.bitwise_xor.reduce(mix(of + np.arange(1, len(of) + 1, dtype=np.uint64))) if len(of) else 0
-                keys.append(_votes(np.unique(of), range(1, 3)).view("<i8"))
-                wide.append(_votes(np.unique(rolled), range(3, 3 + WIDE // 64)).tobytes())
-            return {"doc_id": batch.column("doc_id"), "k0": [k[0] for k in keys], "k1": [k[1] for k in keys], "wide": wide}
+            out: dict = {"doc_id": batch.column("doc_id"), "node": [], "n": [], "wide": [], "bands": []}
+            for hashes in _sets(batch.column("text"), shingle):
+                out["node"].append(_node(hashes))
+                out["n"].append(len(hashes))
+                out["wide"].append(_votes(hashes, range(3, 3 + WIDE // 64)).tobytes())
+                out["bands"].append(_bands(hashes))
+            return out
 
         return step
 
@@ -289,41 +316,124 @@ def _signatures(shingle: int):
 
 def _similar(budget: int):
     def solve(rows: pa.Table) -> tuple[list[int], list[int]]:
-        least: dict[int, int] = {}
-        for wide, doc in zip(rows.column("wide").to_pylist(), rows.column("least").to_pylist(), strict=True):
-            least[int.from_bytes(wide, "big")] = doc
-        keys = sorted(least)
-        linked = [(i, r) for i, r in enumerate(TrieJoin(keys, budget).join()) if i != r]
-        return [least[keys[i]] for i, _ in linked], [least[keys[r]] for _, r in linked]
+        nodes: dict[int, list[int]] = {}
+        for wide, node in zip(rows.column("wide").to_pylist(), rows.column("node").to_pylist(), strict=True):
+            nodes.setdefault(int.from_bytes(wide, "big"), []).append(node)
+        keys = sorted(nodes)
+        linked = [(nodes[keys[i]][0], nodes[keys[r]][0]) for i, r in enumerate(TrieJoin(keys, budget).join()) if i != r]
+        linked += [(node, of[0]) for of in nodes.values() for node in of[1:]]  # different sets of one fingerprint
+        return [a for a, _ in linked], [b for _, b in linked]
 
     return solve
 
 
+def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what all pairs of this Jaccard similarity or more connect; each is such a pair.
+
+    Sets are taken by size, each against the smaller ones that it is not connected with yet and that are large
+    enough: first those that have linked most, one of each component, then all others.
+    """
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    label, hits, links = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
+    hub: dict[int, int] = {}
+
+    def compare(i: int, others: np.ndarray) -> None:
+        of = sets[i]
+        ends = np.cumsum(sizes[others])
+        joined = np.concatenate([sets[j] for j in others.tolist()])
+        at = np.minimum(np.searchsorted(of, joined), len(of) - 1)
+        common = np.add.reduceat((of[at] == joined).astype(np.int64), np.concatenate(([0], ends[:-1])))
+        for j in others[common / (sizes[i] + sizes[others] - common) >= similarity].tolist():
+            hits[j] += 1
+            if label[i] != label[j]:
+                links.append((order[i], order[j]))
+                old, kept = sorted((hub.pop(int(label[i]), i), hub.pop(int(label[j]), j)), key=lambda x: hits[x])
+                label[label == label[i]] = label[j]
+                hub[int(label[j])] = kept
+            elif hits[j] > hits[hub[int(label[j])]]:
+                hub[int(label[j])] = j
+
+    for i in range(1, len(sets)):
+        low = int(np.searchsorted(sizes[:i], similarity * int(sizes[i]) * (1 - 1e-12)))
+        if low == i:
+            continue
+        first = np.array([h for h in sorted(hub.values(), key=lambda x: -hits[x])[:64] if low <= h < i], np.int64)
+        for k in range(0, len(first), 8):
+            compare(i, first[k : k + 8])
+        rest, size = low + np.flatnonzero(label[low:i] != label[i]), 16
+        rest = np.setdiff1d(rest, first, assume_unique=True)
+        while len(rest):
+            compare(i, rest[:size])
+            rest = rest[size:]
+            rest = rest[label[rest] != label[i]]
+            size = min(2 * size, 256)
+    return links
+
+
+def _verified(similarity: float):
+    def solve(rows: pa.Table) -> tuple[list[int], list[int]]:
+        of = dict(zip(rows.column("node").to_pylist(), rows.column("hashes").to_pylist(), strict=True))  # repeated rows are one
+        nodes = list(of)
+        links = verified([np.frombuffer(h, np.uint64) for h in of.values()], similarity)
+        return [nodes[a] for a, _ in links], [nodes[b] for _, b in links]
+
+    return solve
+
+
+def _hashes(shingle: int):
+    """The sets themselves; none for a text that is not the node's, as that of another row with its doc_id."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            wanted = batch.column("node").to_pylist()
+            sets = zip(_sets(batch.column("text"), shingle), wanted, strict=True)
+            hashes = pa.array([s.tobytes() if _node(s) == node else None for s, node in sets], pa.binary())
+            return {"node": batch.column("node"), "key": batch.column("key"), "parts": batch.column("parts"), "hashes": hashes}
+
+        return step
+
+    return make
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest doc_id reachable over links of similar texts.
 
-    Texts are similar if fingerprints of their sets of ``shingle`` words in a row differ in no more bits than texts
-    of that Jaccard similarity hardly exceed. At such a similarity fingerprints differ in too many bits for masks to
-    hold a guarantee, so candidates meet under masks of fingerprints of the sets of words, which are closer; each of
-    ``MASKS`` fixed masks leaves ``MASK_BITS`` bits. Copies are gathered by their fingerprint first. Null, empty and
-    blank texts are alike; an empty table gives no rows.
+    Texts are similar if their sets of ``shingle`` words in a row have this Jaccard similarity or more, counted on the
+    sets themselves (of 64-bit hashes). Candidates meet under ``BANDS`` bands of ``ROWS`` minima of hashes of the
+    shingles, where a trie join links those whose fingerprints differ in no more bits than similar texts do; a pair
+    of similarity 0.8 meets with a probability of 0.9999, a closer one with more. Components of candidates are
+    then dealt out with their sets, one of more than ``BLOCK`` shingles as pairs of blocks, and only similar texts
+    stay linked. Texts of one set are gathered first. Null, empty and blank texts are alike; an empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     prepare(spark)
-    schema = "doc_id long, k0 long, k1 long, wide binary"
+    schema = "doc_id long, node long, n long, wide binary, bands array<long>"
     by_doc = materialize(map_batches(texts(docs), _signatures(shingle), schema))
-    distinct = by_doc.groupBy("wide").agg(F.min("doc_id").alias("least"), F.min("k0").alias("k0"), F.min("k1").alias("k1"))
-    rng = np.random.default_rng(0)
-    drawn = [sum(1 << int(b) for b in rng.choice(64, MASK_BITS, replace=False)) for _ in range(MASKS)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in drawn]
-    masked = F.array(*(F.col("k0" if k % 2 else "k1").bitwiseAND(F.lit(m)) for k, m in enumerate(signed)))
-    keyed = distinct.select("least", "wide", F.posexplode(masked).alias("mask", "key"))
+    one = [F.first(c).alias(c) for c in ("n", "wide", "bands")]
+    distinct = materialize(by_doc.groupBy("node").agg(F.min("doc_id").alias("least"), *one))
+    keyed = distinct.select("node", "wide", F.posexplode("bands").alias("mask", "key"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "wide")
-    roots = components(sorted_.mapInArrow(_linked(_similar(budget_for(similarity))), "a long, b long"))
-    least = by_doc.groupBy("wide").agg(F.min("doc_id").alias("least"))
-    of_wide = least.join(roots.withColumnRenamed("node", "least"), "least", "left").select("wide", F.coalesce("root", "least").alias("component_id"))
-    return by_doc.select("doc_id", "wide").join(of_wide, "wide").select("doc_id", "component_id")
+    met = components(sorted_.mapInArrow(_linked(_similar(budget_for(similarity))), "a long, b long"))
+    met = materialize(met.join(distinct.select("node", "least", "n"), "node").select("node", "least", "n", F.col("root").alias("key")))
+    blocks = met.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    # Each two blocks of a component meet once; what lies in one block meets there as well.
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: k != block)
+    pairs = F.transform(others, lambda k: F.least(k, block) * F.col("blocks") + F.greatest(k, block))
+    parts = F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.lit(0).cast("long"))).alias("parts")
+    dealt = met.join(blocks, "key").select(F.col("least").alias("doc_id"), "node", "key", parts)
+    read = texts(docs).join(dealt.hint("shuffle_hash"), "doc_id").select("node", "key", "parts", "text")
+    sets = map_batches(read, _hashes(shingle), "node long, key long, parts array<long>, hashes binary").where("hashes is not null")
+    sets = sets.select("node", "key", "hashes", F.explode("parts").alias("mask"))
+    sets = sets.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "node")
+    roots = components(sets.mapInArrow(_linked(_verified(similarity)), "a long, b long"))
+    of_node = materialize(distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    classes = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
+    return by_doc.select("doc_id", "node").join(of_node.join(classes, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
