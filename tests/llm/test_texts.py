@@ -51,6 +51,37 @@ def test_pii_base_and_disguises(docs, empty):
     assert pii.find("look at b. The one of two") == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "hidden"),
+    [
+        ("host one nine two dot one six eight dot zero dot one is up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host one zero dot zero dot zero dot one is up", "ip", "one zero dot zero dot zero dot one"),
+        ("host one zero [.] zero [dot] zero (.) one is up", "ip", "one zero [.] zero [dot] zero (.) one"),
+        ("host zero dot zero dot zero dot zero", "ip", "zero dot zero dot zero dot zero"),
+        ("host one nine two.one six eight.zero.one", "ip", "one nine two.one six eight.zero.one"),
+        ("host 192.168.0.one", "ip", "192.168.0.one"),
+        ("host 192.168.zero.one", "ip", "192.168.zero.one"),
+        ("call plus four nine (one five one) two three four five six seven eight", "phone", "plus four nine (one five one) two three four five six seven eight"),
+        ("call plus four nine (zero) (one five) two three four five six seven eight", "phone", "plus four nine (zero) (one five) two three four five six seven eight"),
+        ("call plus four nine 151 2345678", "phone", "plus four nine 151 2345678"),
+        ("call plus,four,nine,one,five,one,two,three,four,five,six", "phone", "plus,four,nine,one,five,one,two,three,four,five,six"),
+        ("plus triple nine double nine triple nine double nine", "phone", "plus triple nine double nine triple nine double nine"),
+        ("card four,one,one,one,one,one,one,one,one,one,one,one,one,one,one,one", "card", "four,one,one,one,one,one,one,one,one,one,one,one,one,one,one,one"),
+        ("card four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one", "card", "four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one"),
+        ("card triple zero triple zero triple zero triple zero double zero", "card", "triple zero triple zero triple zero triple zero double zero"),
+        ("card 4lll 1111 1111 1111 one of two", "card", "4lll 1111 1111 1111"),
+    ],
+)
+def test_pii_spelled_in_short_runs_and_with_any_separator(text, kind, hidden):
+    base, added = pii.find(text)
+    assert not base and [(k, text[a:b]) for k, a, b in added] == [(kind, hidden)]
+
+
+def test_pii_names_of_digits_alone_are_no_identifier():
+    for text in ("one dot. Two plus two is four, 3 one", "version 1.2 two", "un plus un", "plus one 5", "one, two. three"):
+        assert pii.find(text) == ([], [])
+
+
 def test_pii_base_is_the_plain_patterns():
     def plain(t):
         out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

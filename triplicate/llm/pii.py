@@ -159,7 +159,11 @@ _DIGIT = {name: str(d) for d, names in enumerate(_DIGIT_NAMES) for name in names
 _NAME = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
 _TIMES = {"double": 2, "triple": 3}
 _ONE = rf"(?:(?:double|triple)[ -])?{_NAME}"
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ ,-]{{1,2}})?{_ONE}(?:[ ,.\n-]{{1,2}}{_ONE}){{2,}}(?![^\W_])")
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ ,-]{{1,2}})?{_ONE}(?:[ ,.\n-]{{1,2}}{_ONE})*(?![^\W_])")
+_DOT_SIGN = r"[ _-](?:dot|punkt|punto)[ _-]|[\[({<]\s{0,3}(?:dot|\.|punkt|punto|point)\s{0,3}[\])}>]"
+_BESIDE_BEFORE = re.compile(rf"(?i)(?:[0-9]|\+|{_DOT_SIGN})[ _,.()\n-]{{0,3}}\Z")
+_BESIDE_AFTER = re.compile(rf"(?i)[ ,.()\n-]{{0,3}}(?:[0-9]|{_DOT_SIGN})")
+_BESIDE_RUN = re.compile(r"[ ,.()\n-]{1,3}")
 _PLUS = re.compile(r"(?i)(?<![^\W_])plus[ -](?=[0-9])")
 _SPELLED_PART = re.compile(rf"(?i)(?<![^\W_])(?:{_ONE}|plus)(?![^\W_])")
 _MIXED = re.compile(r"(?<![^\W_])[0-9OoIl]+(?![^\W_])")
@@ -172,8 +176,8 @@ _WORD_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])[ _-]{1,2}(?:dot|punkt|punto)[ _-]{
 _WORD_AT = re.compile(r"(?i)(?<=[A-Za-z0-9])[ _-]{1,2}(?:at|arroba|arobase)[ _-]{1,2}(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![A-Za-z0-9]))")
 _BRACKET_HINT = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\s{0,3}[\])}>]")
 _HOST_HINT = re.compile(r"\.(?<=[A-Za-z0-9-]\.)[A-Za-z0-9]")
-#: The digits' names as they stand between spaces, perhaps with a mark behind.
-_DIGIT_WORDS = frozenset(name + mark for name in [*_DIGIT, "plus"] for mark in ("", ",", "."))
+_DIGIT_WORDS = frozenset([*_DIGIT, "plus"])
+_PARTING = {c: " " for c in range(128) if not chr(c).isalnum()}
 _DOT_WORDS = ("dot", "punkt", "punto")
 _IDENTIFIER = re.compile(r"[0-9._%+-]")
 
@@ -182,24 +186,37 @@ def _unseen(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "") for m in _UNSEEN.finditer(text)]
 
 
-def _digits(text: str) -> list[tuple[int, int, str]]:
-    """Spelled digits become digits, those of one run without gaps; letters like digits do so in numbers."""
-    edits = []
+def _digits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Spelled digits become digits, those of one run without gaps; letters like digits do so in numbers.
+
+    The first edits are of runs of three names or more. The second take shorter ones too, where they stand behind a
+    plus or beside digits, a disguised dot or another run that is taken, and leave a dot between two names.
+    """
+    runs = []
     for run in _SPELLED.finditer(text):
         parts = list(_SPELLED_PART.finditer(text, run.start(), run.end()))
-        for k, p in enumerate(parts):
+        runs.append((run.start(), run.end(), parts, sum(p[0].lower() != "plus" for p in parts) > 2))
+    taken = [long or parts[0][0].lower() == "plus" or bool(_BESIDE_BEFORE.search(text, max(0, a - 24), a) or _BESIDE_AFTER.match(text, b)) for a, b, parts, long in runs]
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        for k in order:
+            near = k - 1 if order.step > 0 else k + 1
+            lo, hi = min(k, near), max(k, near)
+            taken[k] = taken[k] or taken[near] and bool(_BESIDE_RUN.fullmatch(text, runs[lo][1], runs[hi][0]))
+    first, second = [], []
+    for (_, _, parts, long), take in zip(runs, taken, strict=True):
+        for k, p in enumerate(parts if take else ()):
             *times, name = p[0].lower().replace("-", " ").split()
             by = "+" if name == "plus" else _DIGIT[name] * _TIMES.get(times[0] if times else "", 1)
-            edits.append((p.start(), parts[k + 1].start() if k + 1 < len(parts) else p.end(), by))
-    spelled = [(a, b) for a, b, _ in edits]
-    for m in _PLUS.finditer(text):
-        edits.append((m.start(), m.end(), "+"))
+            end = parts[k + 1].start() if k + 1 < len(parts) else p.end()
+            if long:
+                first.append((p.start(), end, by))
+            second.append((p.start(), p.end() if text[p.end() : end] == "." else end, by))
+    rest = [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)]
     if _MIXED_HINT.search(text):
         for m in _MIXED.finditer(text):
             if not m[0].isdigit() and any(map(str.isdigit, m[0])):
-                edits.append((m.start(), m.end(), m[0].translate(_AS_DIGIT)))
-    edits.sort()
-    return edits if spelled or edits else []
+                rest.append((m.start(), m.end(), m[0].translate(_AS_DIGIT)))
+    return sorted(first + rest), sorted(second + rest)
 
 
 def _dots(text: str) -> list[tuple[int, int, str]]:
@@ -236,18 +253,13 @@ def _strange(text: str) -> bool:
 
 
 def _may_spell(lower: str) -> bool:
-    """Whether names of digits stand in a text, and if it is just one name, whether it is repeated."""
-    names = set(_DIGIT_WORDS.intersection(lower.replace("-", " ").split()))
-    if len(names) == 1:
-        name = names.pop()
-        return name.startswith("plus") or any(f"{name}{gap}{name}" in lower for gap in (" ", "-", "\n"))
-    return bool(names)
+    """Whether a name of a digit or a plus stands in a text, between any signs."""
+    return not _DIGIT_WORDS.isdisjoint(lower.translate(_PARTING).split())
 
 
-def disguised(text: str) -> list[Span]:
-    """Identifiers that show only once the text is normalized, as spans of the text as it was."""
-    plain = text
-    steps: list[Rewritten] = []
+def _normalized(plain: str, steps: list[Rewritten], digits: list[tuple[int, int, str]], may_dot: bool) -> list[Span]:
+    """Identifiers of a text after edits of its digits, dots and ats, as spans of the text before all steps."""
+    steps = list(steps)
 
     def rewrite(edits: list[tuple[int, int, str]]) -> None:
         nonlocal plain
@@ -255,28 +267,40 @@ def disguised(text: str) -> list[Span]:
             steps.append(Rewritten(plain, edits))
             plain = steps[-1].text
 
-    if not text.isascii() and _strange(text):
-        plain = text.translate(_ALIKE)  # one for one: no offset moves
-        rewrite(_unseen(plain))
-    changed = plain != text
-    lower = plain.lower()
-    if _may_spell(lower) or _MIXED_HINT.search(plain):
-        rewrite(_digits(plain))
-    if any(w in lower for w in _DOT_WORDS) or _BRACKET_HINT.search(plain) or _HOST_HINT.search(plain):
+    rewrite(digits)
+    if may_dot:
         before = len(steps)
         rewrite(_dots(plain))
         dots = steps[-1].at if len(steps) > before else []
         rewrite(_ats(plain, lambda a, b: any(a <= x < b for x in dots)))
-    if not steps and not changed:
-        return []
     found = []
-    for kind, start, end in detect(plain):
+    for kind, start, end in detect(plain) if steps else ():
         for step in reversed(steps):
             start, end = step.back(start, end)
         found.append((kind, start, end))
     return found
 
 
+def disguised(text: str) -> list[Span]:
+    """Identifiers that show only once the text is normalized, as spans of the text as it was."""
+    plain = text
+    steps: list[Rewritten] = []
+    if not text.isascii() and _strange(text):
+        plain = text.translate(_ALIKE)  # one for one: no offset moves
+        if plain != text or _UNSEEN.search(plain):
+            steps = [Rewritten(plain, _unseen(plain))]
+            plain = steps[-1].text
+    lower = plain.lower()
+    digits, more = _digits(plain) if _may_spell(lower) or _MIXED_HINT.search(plain) else ([], [])
+    may_dot = bool(any(w in lower for w in _DOT_WORDS) or _BRACKET_HINT.search(plain) or _HOST_HINT.search(plain))
+    found = _normalized(plain, steps, digits, may_dot)
+    if more != digits:
+        # Short runs can also lengthen what is an identifier without them, so both readings count.
+        wider = [s for s in _normalized(plain, steps, more, may_dot) if not any(a <= s[1] and s[2] <= b for _, a, b in found)]
+        found = [s for s in found if not any(s[0] == k and a <= s[1] and s[2] <= b for k, a, b in wider)] + wider
+    return found
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Identifiers as written, and those that the transducers add; an added span never lies inside one of its kind."""
     base = detect(text)
