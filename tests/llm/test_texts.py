@@ -1,12 +1,15 @@
 """Operators on texts against brute force, on small tables with every odd case."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from triplicate.llm import bpe, packing, pii, secrets, simhash, substrings, token_files, tokens, toxicity
 
@@ -125,6 +128,26 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(docs).count() == docs.count() and secrets.find_secrets(empty).count() == 0
 
 
+def test_entropy_is_that_of_the_most_random_window(spark):
+    def most(c: str) -> float:
+        windows = [c[i : i + 20] for i in range(len(c) - 19)]
+        return max(-sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()) for w in windows)
+
+    r = random.Random(5)
+    rows = ["".join(r.choice(secrets.LETTERS[:k]) for _ in range(n)) for n in (20, 21, 60) for k in (1, 3, 66)]
+    found = spark.createDataFrame([(c,) for c in rows], "c string").select(secrets.most_bits(F.col("c"))).collect()
+    assert np.allclose([f[0] for f in found], [most(c) for c in rows])
+
+
+def test_secrets_in_a_very_long_run_and_in_very_many(spark):
+    r = random.Random(6)
+    blob = "".join(r.choice("Qa7bZc3dXeYf9gWhVi5jUk1") for _ in range(200_000))
+    many = " ".join(f"{i:05d}abcdef0123456789abcdef" for i in range(3000))
+    rows = secrets.find_secrets(spark.createDataFrame([(1, blob), (2, many)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert rows[0].spans == "entropy:0:200000"
+    assert rows[1].n_hex == 3000 and rows[1].spans.endswith(f":{len(many) - 27}:{len(many)}")
+
+
 def test_bpe_is_the_librarys(spark, docs, empty):
     library = tokens.load("word_bpe_49k.json")
     for r in bpe.encode_decode(docs).collect():

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,11 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: What may be a secret by its letters: a run long enough to hold a window.
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
+#: The letters of candidates.
+LETTERS = string.ascii_letters + string.digits + "+/_-"
 WINDOW = 20
+#: Matches of a text that are summed up at a time.
+SLICE = 256
 #: Bits per letter from which on a window of a class is taken for random.
 LEAST_BITS = {"hex": 3.0, "mixed": 3.7}
 #: Candidates that match one of these are known not to be secrets: identifiers of the form of a UUID,
@@ -32,7 +38,8 @@ ALLOWED = (
 def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
     """[(start, end, found)] of the matches whose ``group`` has ``least`` letters or more.
 
-    What stands between matches and the matches themselves, side by side, give the offsets by running lengths.
+    What stands between matches and the matches themselves, side by side, give the offsets by running lengths. Matches
+    are summed up in slices of ``SLICE``, so the work grows with their number and not with its square.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
@@ -40,8 +47,8 @@ def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
     pairs = F.zip_with(
         gaps, found, lambda gap, m: F.struct(gap.alias("gap"), F.length(m).alias("n"), (size(m) >= least).alias("good"), m.alias("m"))
     )
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    span_type = "array<struct<start:int,end:int,found:string>>"
+    none, nothing = F.array().cast(span_type), F.array().cast(f"array<{span_type}>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -49,39 +56,57 @@ def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("found"))
         return F.struct(end.alias("at"), F.when(x["good"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step, lambda acc: acc["out"])
+    def slice_(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _once(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+    def sliced(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(whole)), F.lit(SLICE))
+        return F.transform(starts, lambda k: F.slice(whole, k, SLICE))
+
+    parts = _once(F.filter(pairs, lambda p: p["m"].isNotNull()), sliced)
+    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), nothing.alias("out")), slice_, lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _g(count: Column) -> Column:
     """n * log2(n) of a count within a window."""
     values = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
     return F.element_at(F.array(*map(F.lit, values)), count + 1)
 
 
-def _count(window: Column, letter: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, letter, F.lit("")))
-
-
 def most_bits(candidate: Column) -> Column:
     """The largest Shannon entropy, in bits per letter, of any window of ``WINDOW`` letters.
 
-    The sum of n * log2(n) over the counts of a window's letters is carried from one window to the next: only
-    the counts of the letter that leaves and of the one that enters change.
+    One fold over the letters carries the counts of a window's letters and the sum of n * log2(n) over them: with each
+    letter that enters and the one that leaves two counts and their two terms change. Time grows with the length.
     """
-    first = F.substring(candidate, 1, WINDOW)
-    total = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(_g(_count(first, c))))
-
-    def step(acc: Column, i: Column) -> Column:
-        leaves, enters = candidate.substr(i, F.lit(1)), candidate.substr(i + WINDOW, F.lit(1))
-        left = _count(candidate.substr(i, F.lit(WINDOW)), leaves)
-        held = _count(candidate.substr(i + 1, F.lit(WINDOW - 1)), enters)
-        now = acc["now"] - _g(left) + _g(left - 1) - _g(held) + _g(held + 1)
-        return F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))
-
-    more = F.length(candidate) - WINDOW
-    steps = F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(total.alias("now"), total.alias("least")), step, lambda acc: acc["least"])
+    letters = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(LETTERS), c))
+    zeros = F.array_repeat(F.lit(0), len(LETTERS) + 1)
+
+    def pairs(at: Column) -> Column:
+        return F.zip_with(at, F.concat(F.array_repeat(F.lit(0), WINDOW), at), lambda enters, leaves: F.struct(enters.alias("in"), leaves.alias("out")))
+
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["in"], x["out"]
+        full = leaves > 0
+        left = F.element_at(acc["counts"], leaves + 1)
+        less = acc["now"] + F.when(full, _g(left - 1) - _g(left)).otherwise(0.0)
+        held = F.element_at(acc["counts"], enters + 1) - F.when(full & (leaves == enters), 1).otherwise(0)
+        now = less - _g(held) + _g(held + 1)
+        counts = F.transform(acc["counts"], lambda n, k: n + F.when(k == enters, 1).otherwise(0) - F.when(full & (k == leaves), 1).otherwise(0))
+        seen = acc["seen"] + 1
+        least = F.when(seen >= WINDOW, F.least(acc["least"], now)).otherwise(acc["least"])
+        return F.struct(now.alias("now"), least.alias("least"), counts.alias("counts"), seen.alias("seen"))
+
+    start = F.struct(F.lit(0.0).alias("now"), F.lit(math.inf).alias("least"), zeros.alias("counts"), F.lit(0).alias("seen"))
+    rows = F.filter(_once(letters, pairs), lambda p: p["in"] > 0)
+    least = F.aggregate(rows, start, step, lambda acc: acc["least"])
     return F.lit(math.log2(WINDOW)) - least / WINDOW
 
 
@@ -102,7 +127,7 @@ def _told(spans: Column) -> Column:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex (of pattern matches), base_sha256, spans (all), n_added.
 
-    A candidate that lies inside a pattern's match is not told again; others count as kind ``entropy``. One pass
+    An empty table gives no rows; texts and candidates may be of any length. A candidate that lies inside a pattern's match is not told again; others count as kind ``entropy``. One pass
     over whole texts in Spark's own expressions; null and empty texts have no spans; repeated rows give repeated
     rows; columns besides doc_id and text are not read.
     """
