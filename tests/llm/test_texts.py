@@ -203,10 +203,28 @@ def test_packing(docs, empty):
         assert len(pieces) == -(-len(ids) // 64) and sum(r.length for r in pieces) == len(ids)
         for r in pieces:
             assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
-    assert len(by) <= 1.02 * sum(r.length for r in rows) / 64 + 2
+    assert len(by) <= 1.05 * sum(r.length for r in rows) / 64 + 2
+    many = packing.pack(docs, size=64, group=10).collect()  # several buckets
+    assert sum(r.length for r in many) == sum(r.length for r in rows) and len({r.sequence_id >> 40 for r in many}) > 3
+    held = {}
+    for r in many:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    assert all(a == b for places in held.values() for (_, a), (b, _) in zip(sorted(places), sorted(places)[1:]))
     assert packing.pack(empty).count() == 0
 
 
+def test_few_open_bins_waste_little():
+    rng = random.Random(2)
+    lengths = [rng.choice((rng.randint(1, 2048), rng.randint(1, 400))) for _ in range(20_000)]
+    least = sum(lengths) / 2048
+    packer = packing.BestFit(2048, packing.OPEN)
+    for n in lengths:
+        packer.put(n)
+        assert packer.open <= packing.OPEN and packer.open == sum(map(len, packer.by_free))
+    assert packer.made <= 1.04 * least
+    assert packing.BestFit(2048, 4).bins == 4 and len({b for b, _ in packing.best_fit(lengths, 2048, 4)}) > packer.made
+
+
 def test_fullest_bin_closes_first():
     assert packing.best_fit([6, 5, 4, 3, 5], 10, bins=1) == [(0, 0), (1, 0), (1, 5), (2, 0), (2, 3)]
 

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from triplicate.llm.common import map_batches, materialize, prepare, table, texts
 from triplicate.llm.tokens import ByteEncoder
 
-#: Pieces that one task packs at a time, about: what one group holds does not grow with the corpus.
-GROUP = 16_384
+#: Full sequences that the pieces of one bucket would make, about.
+GROUP = 8_192
 #: Open bins at most; beyond it the fullest closes.
-OPEN = 8_192
+OPEN = 64
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -88,28 +89,48 @@ def _cut(vocab: str, size: int, end_id: int):
     return make
 
 
-def pack(docs: DataFrame, size: int = 2048, vocab: str = "byte_bpe_50k.json", end_id: int = 0, bins: int = OPEN) -> DataFrame:
+def _packed(size: int, bins: int):
+    """Packs what comes, run after run of one bucket, each into bins of its own; only the open bins are held."""
+    schema = to_arrow_schema(StructType.fromDDL(f"{_PIECES}, sequence_id long, offset long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, packer = None, BestFit(size, bins)
+        for batch in batches:
+            sequence, offset = [], []
+            for b, n in zip(batch.column("bucket").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                if b != bucket:
+                    bucket, packer = b, BestFit(size, bins)
+                bin_, at = packer.put(n)
+                sequence.append(b << 40 | bin_)
+                offset.append(at)
+            arrays = [batch.column(f.name) for f in list(schema)[:-2]] + [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return run
+
+
+def pack(
+    docs: DataFrame, size: int = 2048, vocab: str = "byte_bpe_50k.json", end_id: int = 0, bins: int = OPEN, group: int = GROUP
+) -> DataFrame:
     """Every document's tokens, each document ended by ``end_id``, in sequences of at most ``size`` tokens.
 
     Only documents longer than ``size`` are cut, the first piece taking the remainder. Pieces are dealt by hash
-    into groups of about ``GROUP``, whatever their source; each group packs its pieces longest first and leaves
-    at most a few bins part full. Null texts count as empty (one token). Repeated rows are packed each for itself.
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    into buckets of about ``group`` full sequences, whatever their source, and packed online, in the order in which
+    they come: by hash of the document, whose pieces follow one another. A task holds ``bins`` open bins, however many
+    pieces come; beyond that the fullest closes. Sequences are left part full where a bin closes early and by the bins
+    open at a bucket's end: at most ``bins`` of each ``group``, so the waste does not grow with the corpus. Null texts
+    count as empty (one token). Repeated rows are packed each for itself; an empty table gives no rows; further columns
+    are not read. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     pieces = materialize(map_batches(texts(docs), _cut(vocab, size, end_id), _PIECES))
-    groups = max(1, math.ceil(pieces.count() / GROUP))
-
-    def packed(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
-        places = best_fit(pieces["length"].tolist(), size, bins)
-        first = int(pieces["bucket"].iloc[0]) << 32
-        pieces["sequence_id"] = np.array([first + bin_ for bin_, _ in places], np.int64)
-        pieces["offset"] = np.array([at for _, at in places], np.int64)
-        return pieces.drop(columns="bucket")
-
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("bucket")
-    return pieces.select("*", bucket).groupBy("bucket").applyInPandas(packed, f"{_PIECES}, sequence_id long, offset long")
+    total = pieces.agg(F.sum("length")).first()[0] or 0
+    buckets = max(1, math.ceil(total / (size * group)))
+    order = F.xxhash64("doc_id", F.lit(1))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).withColumn("turn", order)
+    sorted_ = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "turn", "doc_id", "start", "piece", "ids_crc32")
+    return sorted_.mapInArrow(_packed(size, bins), f"{_PIECES}, sequence_id long, offset long")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
