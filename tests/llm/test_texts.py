@@ -369,3 +369,32 @@ def test_toxicity_learns_and_tolerates_insertions(spark):
     assert found[400] >= 0.5 and found[402] >= 0.5 and found[401] < 0.5 and found[403] < 0.5
     nobody = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, nobody).count() == len(rows)
+
+
+def test_toxicity_of_every_row_alone_and_never_from_what_is_held_out(spark, tmp_path):
+    rng = random.Random(8)
+    letters = "bcdfghlmnprst"
+    rows = []
+    for i in range(300):
+        said = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(30)]
+        if i % 3 == 0:
+            said[rng.randrange(30)] = rng.choice(["grumbletoad", "x" * 30 + "grumbletoad", "q" * 57 + "fuzzwit", "fuzzwit"])
+        rows.append((i, " ".join(said), i % 3 == 0))
+    odd = [(1000 + i, t, False) for i, t in enumerate(odd_texts())] + [(1003, "one", False)]
+    docs = spark.createDataFrame([(i, t, "z") for i, t, _ in rows + odd], "doc_id long, text string, score string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(b)) for i, _, b in rows] + [(5, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) + len(odd)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert all(r.held_out == held(r.doc_id) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in found)
+    score = {r.doc_id: r.score for r in found}
+    wrong = [i for i, _, b in rows if held(i) and (score[i] >= 0.5) != b]
+    assert len(wrong) <= 0.1 * sum(held(i) for i, _, _ in rows)
+    flipped = [(i, int(b != held(i))) for i, _, b in rows]
+    model = toxicity.train(docs, spark.createDataFrame(flipped, "doc_id long, toxic int"))
+    for i, t, _ in rows[:20] + odd:
+        alone = toxicity.Scorer(model).score([t or ""])[0]
+        assert abs(alone - score[i]) < 1e-6
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, model).collect()) == sorted(r.doc_id for r in found if r.score < 0.5)
+    assert toxicity.drop_toxic(docs.limit(0), model).columns == docs.columns and toxicity.score(docs.limit(0), model).count() == 0

@@ -3,14 +3,13 @@
 The kernel of two words counts their common subsequences of ``LENGTH`` letters, each gap letter costing a factor of
 ``DECAY``, so an insult with letters put in or left apart stays close to the plain one. A text is scored by the words
 in it (and by runs of single letters, which may be a word spelled apart): the machine gives each a margin, and the
-largest margins give the text's score.
+largest margins together with the text's greatest closeness to each landmark give its score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,19 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplicate.llm.common import TwoGenerations, fresh, map_batches, prepare, table, texts
+from triplicate.llm.common import fresh, map_batches, prepare, table, texts
 
 #: Labelled documents to learn from at most, of each label; drawn by a hash of doc_id.
 SAMPLE = 1000
-#: Words of a sampled document at most that go to the driver, drawn by their hash; bounds what it gathers.
-SAMPLE_WORDS = 2000
 #: Landmark words that toxic documents set apart, and common ones of other documents.
 LANDMARKS = (32, 8)
 LENGTH, DECAY = 3, 0.8
-#: Letters of a word compared at once; longer words are compared in overlapping stretches.
+#: Letters compared at once; longer words are learned from and scored in overlapping stretches.
 STRETCH = 20
 TOP = 3
-_KEPT = 300_000
+_KEPT = 150_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…"
 #: Three or more single letters in a row, and the cheap sign that there may be some.
 _APART = re.compile(r"(?<!\S)[^\W\d_](?:\s{1,2}[^\W\d_](?!\S)){2,}")
@@ -39,8 +36,18 @@ _APART_HINT = re.compile(r"\s[^\W\d_]\s{1,2}[^\W\d_](?!\S)")
 _FILL = re.compile(r"[\W_]+")
 
 
+def stretches_of(word: str) -> list[str]:
+    """A word, or, where it is longer than ``STRETCH``, stretches of it that overlap by half and leave no letter out."""
+    if len(word) <= STRETCH:
+        return [word]
+    return [word[at : at + STRETCH] for at in range(0, len(word) - STRETCH // 2, STRETCH // 2)]
+
+
 def words(text: str) -> set[str]:
-    """The distinct words of a text in lower case, without marks around and inside, and what runs of single letters spell."""
+    """The distinct words of a text in lower case, without marks around and inside, and what runs of single letters spell.
+
+    Long words go in as their stretches.
+    """
     lower = text.lower()
     found = set()
     for w in set(lower.split()):
@@ -52,6 +59,9 @@ def words(text: str) -> set[str]:
     if len(lower) < 20 or _APART_HINT.search(lower):
         found.update(_FILL.sub("", m[0]) for m in _APART.finditer(lower))
     found.discard("")
+    for w in [w for w in found if len(w) > STRETCH]:
+        found.remove(w)
+        found.update(stretches_of(w))
     return found
 
 
@@ -118,31 +128,35 @@ class Model:
     #: From kernel values with the landmarks, normalized, to the margin.
     weights: np.ndarray
     bias: float
-    #: From a text's largest margins to its score.
+    #: From what :func:`_pooled` tells of a text to its score.
     scale: np.ndarray
     offset: float
 
-    def margins(self, found: list[str]) -> np.ndarray:
-        """The margin of each word, the largest of its stretches'."""
-        out = np.full(len(found), -np.inf)
-        held: list[tuple[int, str]] = []
-        for k, w in enumerate(found):
-            for at in range(0, max(1, len(w) - STRETCH // 2), STRETCH // 2) if len(w) > STRETCH else (0,):
-                held.append((k, w[at : at + STRETCH]))
-        if held:
-            values = features([s for _, s in held], self.landmarks) @ self.weights + self.bias
-            np.maximum.at(out, [k for k, _ in held], values)
-        return out
+    def points(self, found: list[str]) -> np.ndarray:
+        """A row for each word: its closeness to every landmark and, last, its margin."""
+        near = features(found, self.landmarks)
+        return np.hstack([near, np.maximum(near @ self.weights + self.bias, _FLOOR)[:, None]])
 
-    def score(self, top: np.ndarray) -> np.ndarray:
-        """Scores from rows of a text's ``TOP`` largest margins, largest first."""
-        return 1 / (1 + np.exp(-np.clip(top @ self.scale + self.offset, -40, 40)))
+    def score(self, pooled: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(pooled @ self.scale + self.offset, -40, 40)))
 
 
 #: The margin of a text's missing words.
 _FLOOR = -2.0
 
 
+def _pooled(points: np.ndarray) -> np.ndarray:
+    """A text by its words' points: the greatest closeness to each landmark, cubed so that near misses count little, and
+    the ``TOP`` largest margins, largest first."""
+    out = np.zeros(points.shape[1] - 1 + TOP)
+    out[-TOP:] = _FLOOR
+    if len(points):
+        out[:-TOP] = points[:, :-1].max(0) ** 3
+        top = np.sort(points[:, -1])[::-1][:TOP]
+        out[-TOP : len(out) - TOP + len(top)] = top
+    return out
+
+
 def features(stretches: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel values, normalized by what both have with themselves; stretches of about one length go together."""
     out = np.zeros((len(stretches), len(landmarks)))
@@ -200,7 +214,7 @@ def fit(docs: list[set[str]], toxic: list[int], share: float) -> Model:
     """
     y = np.array(toxic, float)
     if not 0 < y.sum() < len(y):
-        return Model(["aaa"], np.zeros(1), _FLOOR, np.zeros(TOP), math.log((share + 1e-3) / (1 + 1e-3 - share)))
+        return Model(["aaa"], np.zeros(1), _FLOOR, np.zeros(1 + TOP), math.log((share + 1e-3) / (1 + 1e-3 - share)))
     counts = (Counter(), Counter())
     for found, label in zip(docs, toxic, strict=True):
         counts[label].update(w for w in found if len(w) >= LENGTH)
@@ -214,10 +228,9 @@ def fit(docs: list[set[str]], toxic: list[int], share: float) -> Model:
     ranked = [w for w in ranked if apart(w) > 2.5] or ranked[: LANDMARKS[0]] or sorted(counts[1])[:1] or ["aaa"]
     landmarks: list[str] = []
     for w in ranked:
-        s = w[:STRETCH]
-        if len(landmarks) < LANDMARKS[0] and (not landmarks or features([s], landmarks).max() < 0.45):
-            landmarks.append(s)
-    common = [w[:STRETCH] for w, _ in sorted(counts[0].items(), key=lambda c: (-c[1], c[0]))[:400]]
+        if len(landmarks) < LANDMARKS[0] and (not landmarks or features([w], landmarks).max() < 0.45):
+            landmarks.append(w)
+    common = [w for w, _ in sorted(counts[0].items(), key=lambda c: (-c[1], c[0]))[:400]]
     landmarks += common[:: max(1, len(common) // LANDMARKS[1])][: LANDMARKS[1]]
     landmarks = list(dict.fromkeys(landmarks))
 
@@ -228,7 +241,8 @@ def fit(docs: list[set[str]], toxic: list[int], share: float) -> Model:
 
     vocabulary = sorted({w for found in docs for w in found if len(w) >= LENGTH})
     index = {w: k for k, w in enumerate(vocabulary)}
-    points = features([w[:STRETCH] for w in vocabulary], landmarks) @ whiten
+    near = features(vocabulary, landmarks)
+    points = near @ whiten
     clean = np.array(sorted({index[w] for found, label in zip(docs, toxic, strict=True) if not label for w in found if w in index}), int)
     bags = [np.array(sorted(index[w] for w in found if w in index), int) for found, label in zip(docs, toxic, strict=True) if label]
     seeds = {index[w] for w in ranked if counts[0][w] / sizes[0] <= 0.1 * counts[1][w] / sizes[1]}
@@ -248,50 +262,43 @@ def fit(docs: list[set[str]], toxic: list[int], share: float) -> Model:
         heavy = np.array([counts[1][vocabulary[k]] for k in positive], float)
         cost = np.concatenate((heavy / heavy.sum(), np.full(len(negative), 40 / len(negative))))
         w = _squared_hinge(x, t, cost, 1e-5)
-    model = Model(landmarks, whiten @ w[:-1], float(w[-1]), np.zeros(TOP), 0.0)
+    model = Model(landmarks, whiten @ w[:-1], float(w[-1]), np.zeros(0), 0.0)
     margin = np.maximum(points @ w[:-1] + w[-1], _FLOOR)
-    tops = np.full((len(docs), TOP), _FLOOR)
-    for row, found in zip(tops, docs, strict=True):
-        held = np.sort(margin[[index[v] for v in found if v in index]])[::-1][:TOP]
-        row[: len(held)] = held
-    s = _logistic(tops, y, np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y))
+    of_word = np.hstack([near, margin[:, None]])
+    texts_ = np.array([_pooled(of_word[[index[v] for v in found if v in index]]) for found in docs])
+    s = _logistic(texts_, y, np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y), 0.1)
     model.scale, model.offset = s[:-1], float(s[-1])
     return model
 
 
 class Scorer:
-    """Scores texts with a model; margins of the words met last are kept."""
+    """Scores texts with a model; the points of words met lately are kept, at most ``_KEPT`` or a batch's."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.margin = model, TwoGenerations(_KEPT)
+        self.model = model
+        self.row: dict[str, int] = {}
+        self.points = np.zeros((_KEPT, len(model.landmarks) + 1), np.float32)
 
     def score(self, batch: list[str]) -> np.ndarray:
-        bags = [words(t) for t in batch]
-        margin, old = self.margin, self.margin.old
-        new = []
-        for bag in bags:
-            for w in bag:
-                if w not in margin:
-                    if (m := old.get(w)) is not None:
-                        margin[w] = m
-                    elif len(w) < LENGTH:
-                        margin[w] = _FLOOR
-                    else:
-                        margin[w] = math.nan
-                        new.append(w)
+        bags = [[w for w in words(t) if len(w) >= LENGTH] for t in batch]
+        new = list({w for bag in bags for w in bag if w not in self.row})
+        if len(self.row) + len(new) > len(self.points):
+            self.row.clear()
+            new = list({w for bag in bags for w in bag})
+            if len(new) > len(self.points):
+                self.points = np.zeros((len(new), self.points.shape[1]), np.float32)
         if new:
-            margin.update(zip(new, np.maximum(self.model.margins(new), _FLOOR).tolist(), strict=True))
-        tops = np.full((len(batch), TOP), _FLOOR)
-        for row, bag in zip(tops, bags, strict=True):
-            held = sorted(map(margin.__getitem__, bag), reverse=True)[:TOP]
-            row[: len(held)] = held
-        margin.make_room()
-        return self.model.score(tops)
+            first = len(self.row)
+            self.row.update(zip(new, range(first, first + len(new)), strict=True))
+            self.points[first : first + len(new)] = self.model.points(new)
+        row = self.row
+        pooled = [_pooled(self.points[np.fromiter(map(row.__getitem__, bag), np.int64, len(bag))]) for bag in bags]
+        return self.model.score(np.array(pooled).reshape(len(batch), -1)) if batch else np.zeros(0)
 
 
 def _bags():
     def step(batch: pa.RecordBatch) -> dict:
-        bags = [sorted(words(t), key=lambda w: zlib.crc32(w.encode()))[:SAMPLE_WORDS] for t in batch.column("text").to_pylist()]
+        bags = [sorted(words(t)) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": bags}
 
     return step
@@ -305,7 +312,7 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents of each label, drawn by a hash of doc_id, none of them held out.
 
-    The draw is a top-k in Spark; only it is broadcast and only its words come to the driver. Null texts count as
+    The draw is a top-k in Spark; only it is broadcast, and only the distinct words of its whole texts come to the driver. Null texts count as
     empty, null labels as no label. Without labels every score is next to nothing.
     """
     prepare(docs.sparkSession)
@@ -339,7 +346,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's toxicity, learned from labels of documents that are not held out."""
+    """Every document's toxicity, learned from labels of documents that are not held out.
+
+    Null and empty texts have a score; repeated rows are scored alike, each for itself; an empty table gives no rows;
+    further columns have no effect; labels of no document only take places in the sample.
+    """
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -359,7 +370,11 @@ def _keep_clean(model: Model, name: str):
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The same columns, without rows whose text scores ``least`` or more."""
+    """The same columns, whatever their names, without rows whose text scores ``least`` or more.
+
+    A null text counts as empty and stays null; rows are judged one by one, repeated ones alike; an empty table gives
+    no rows.
+    """
     prepare(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     name = fresh(docs, "toxic_score")
