@@ -313,7 +313,10 @@ def test_similar_texts_are_those_of_jaccard_similarity(spark, monkeypatch, block
     assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(smallest_reachable(sets)))
 
 
-def test_substrings(docs, empty):
+@pytest.mark.parametrize("block, group", [(2 << 20, 4096), (600, 4096), (600, 2)])
+def test_substrings(docs, empty, monkeypatch, block, group):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substrings, "GROUP", group)
     texts = [t or "" for t in odd_texts()]
     words = [t.encode().split() for t in texts]
     first = {}
@@ -327,7 +330,26 @@ def test_substrings(docs, empty):
         assert (rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
     cut = {r.doc_id: r for r in substrings.remove_duplicates(docs).collect()}
     assert cut[0].text is None and cut[4].text == texts[4] and cut[6].text == "" and cut[8].text == "begin" and cut[0].digest == "en"
-    assert substrings.count_kept(empty).count() == 0
+    assert substrings.count_kept(empty).count() == 0 and substrings.remove_duplicates(empty).columns == empty.columns
+
+
+def test_factors_are_greedy_and_cross_their_ends():
+    a, b = [b"a%d" % i for i in range(30)], [b"b%d" % i for i in range(30)]
+    index = {}
+    assert substrings.factors(a, 1, index) == [] and substrings.factors(a, 1, index) == []
+    assert substrings.factors(a[10:] + b, 2, index) == [(0, 8)]
+    got = substrings.factors(a[2:] + b[:14], 3, index)
+    assert {k for i, n in got for k in range(i, i + n)} == set(range(28 + 14 - 12))
+
+
+def test_passages_of_rows_without_doc_id_and_of_odd_columns(spark):
+    import datetime
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(None, "x " + passage, [1, None], datetime.datetime(2020, 1, 1), "a"), (3, passage, None, None, None), (9, passage + " y", [2], None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block array<int>, id timestamp, ID2 string")
+    out = {r.doc_id: r for r in substrings.remove_duplicates(docs).collect()}
+    assert (out[None].text, out[3].text, out[9].text) == ("x", passage, "y") and out[None].block == [1, None] and out[None].id == rows[0][3]
 
 
 def test_kernel_is_the_sum_over_subsequences():
