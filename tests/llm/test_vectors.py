@@ -53,3 +53,53 @@ def test_few_and_none(spark):
     assert [(r.rank, r.vec_id) for r in inner_products.search(few).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     none = few.where("vec_id < 0")
     assert nearest.search(none).count() == 0 and inner_products.search(none).count() == 0
+
+
+def test_repeated_rows_are_one_query_and_one_candidate(spark):
+    rows = [(0, [1.0, 0.0])] * 3 + [(i, [1.0, i / 100]) for i in range(1, 30)] * 2 + [(0, [5.0, 5.0]), (7, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = nearest.search(df, parts=1, probes=1).orderBy("query_id", "rank").collect()
+    by = {}
+    for i, v in rows:
+        if i:
+            d = min(np.hypot(v[0] - 1, v[1]), np.hypot(v[0] - 5, v[1] - 5))
+            by[i] = min(by.get(i, np.inf), d)
+    best = sorted(by.items(), key=lambda t: (t[1], t[0]))[:10]
+    assert [(r.query_id, r.rank, r.vec_id) for r in near] == [(0, k + 1, i) for k, (i, _) in enumerate(best)]
+    assert np.allclose([r.score for r in near], [d for _, d in best])
+    product = lambda v, q: sum(int(np.floor(1024 * a)) * int(np.floor(1024 * b)) for a, b in zip(v, q))
+    by = {}
+    for i, v in rows:
+        if i:
+            by[i] = max(by.get(i, 0), product(v, [1.0, 0.0]), product(v, [5.0, 5.0]))
+    best = sorted(by.items(), key=lambda t: (-t[1], t[0]))[:10]
+    found = inner_products.search(df).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in found] == [(0, k + 1, i, s) for k, (i, s) in enumerate(best)]
+
+
+def test_large_values_and_unequal_widths(spark):
+    rows = [(0, [1e17, 1.0]), (1, [1.0, 3.0]), (2, [-1.0, 0.5]), (3, [1e200, 1.0]), (4, [2.0]), (5, [0.0, 0.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda v: [int(np.floor(1024 * a)) if abs(a) < 1e12 else int(1024 * a) for a in v]
+    cut = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    scores = {i: cut(sum(a * b for a, b in zip(whole(v), whole(rows[0][1])))) for i, v in rows[1:]}
+    found = inner_products.search(df).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == sorted(scores.items(), key=lambda t: (-t[1], t[0]))
+    near = nearest.search(df).orderBy("rank").collect()
+    assert {r.vec_id for r in near} == {1, 2, 3, 4, 5} and near[-1].vec_id == 3 and near[-1].score == float("inf")
+
+
+def test_inner_products_of_several_bands_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(inner_products, "QUERIES", 3)
+    monkeypatch.setattr(inner_products, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)) * np.exp(rng.normal(size=(400, 1)))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = np.floor(1024 * x).astype(np.int64)
+    found = {}
+    for r in inner_products.search(df, every=20).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 400, 20):
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(400), -scores)) if i != q][:10]
+        assert sorted(found[q]) == [(k + 1, i, scores[i]) for k, i in enumerate(order)]

@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triplicate.llm.common import map_batches, materialize, prepare, table
-from triplicate.llm.vectors import matrix, smallest, squared, vectors
+from triplicate.llm.vectors import first_rows, matrix, most_alike, smallest, squared, vectors
 
 #: Rows to learn from at most, drawn by a hash of vec_id.
 SAMPLE = 8_000
 PARTS, PROBES = 16, 13
 #: Neighbours of a vector in the graph.
 DEGREE = 30
-#: Rows of a part, and queries, that one task compares at a time.
-BLOCK, QUERIES = 16_384, 1_024
+#: Rows of a part, and queries, that one task compares; a row is copied once for each ``QUERIES`` queries of its part.
+BLOCK, QUERIES = 16_384, 8_192
 
 
 def neighbour_graph(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
@@ -121,26 +121,25 @@ def learn(x: np.ndarray, target: np.ndarray, width: int = 128, epochs: int = 40,
     return Router(mean, scale, (p[0], p[1]), (p[2], p[3]))
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
-    """The router of a table of vectors; None where there is nothing to part."""
+def train(rows: DataFrame, width: int, sample: int = SAMPLE, parts: int = PARTS) -> Router:
+    """The router of a table of vectors; it has no more parts than a quarter of the distinct vectors drawn."""
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    if drawn.empty:
-        return None
-    x = np.unique(matrix(drawn["embedding"]), axis=0)
-    if len(x) < 4 * parts:
-        return None
+    x = np.unique(matrix(drawn["embedding"], width), axis=0) if len(drawn) else np.zeros((1, width))
+    while parts > max(1, len(x) // 4):
+        parts //= 2
     graph = neighbour_graph(x)
     label = balanced_parts(x, graph, parts)
-    target = np.zeros((len(x), label.max() + 1))
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].ravel()), 1 / graph.shape[1])
+    target = np.zeros((len(x), parts))
+    if graph.shape[1]:
+        np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].ravel()), 1 / graph.shape[1])
     return learn(x, target)
 
 
-def _routed(router: Router | None, probes: int):
+def _routed(router: Router, probes: int, width: int):
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            x = matrix(batch.column("embedding").to_pandas())
-            ranked = router.rank(x)[:, :probes] if router is not None else np.zeros((len(x), 1), np.int64)
+            with np.errstate(over="ignore", invalid="ignore"):  # overflowing vectors still get some part
+                ranked = router.rank(matrix(batch.column("embedding").to_pandas(), width))[:, :probes]
             return {"vec_id": batch.column("vec_id"), "embedding": batch.column("embedding"), "parts": list(ranked.astype(np.int32))}
 
         return step
@@ -151,22 +150,31 @@ def _routed(router: Router | None, probes: int):
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _nearest(k: int):
+def _nearest(k: int, width: int):
+    """The ``k`` nearest rows of a block for each query, one for each vec_id."""
+
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(queries) and len(rows):
-            x, ids = matrix(rows["embedding"]), rows["vec_id"].to_numpy()
+            x, ids = matrix(rows["embedding"], width), rows["vec_id"].to_numpy()
+            keep = first_rows(ids, x)
+            x, ids = x[keep], ids[keep]
+            wanted = k * most_alike(ids)
             for a in range(0, len(queries), 64):
                 part = queries.iloc[a : a + 64]
-                q, qid = matrix(part["query"]), part["query_id"].to_numpy()
+                q, qid = matrix(part["query"], width), part["query_id"].to_numpy()
                 d = squared(q, x)
-                d[qid[:, None] == ids[None]] = np.inf
-                slack = 1e-9 * ((q * q).sum(1).max() + (x * x).sum(1).max())
-                for i, near in enumerate(smallest(d, k, slack)):
-                    near = near[np.isfinite(d[i, near])]
-                    exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-                    best = np.lexsort((ids[near], exact))[:k]
-                    out.append((np.full(len(best), qid[i]), ids[near[best]], exact[best]))
+                own = qid[:, None] == ids[None]
+                d[own] = np.inf
+                with np.errstate(over="ignore", invalid="ignore"):
+                    slack = np.nan_to_num(1e-9 * ((q * q).sum(1).max() + (x * x).sum(1).max()))
+                    for i, near in enumerate(smallest(d, wanted, slack)):
+                        near = near[~own[i, near]]
+                        exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                        order = np.lexsort((ids[near], exact))
+                        _, once = np.unique(ids[near[order]], return_index=True)
+                        best = order[np.sort(once)[:k]]
+                        out.append((np.full(len(best), qid[i]), ids[near[best]], exact[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
@@ -178,20 +186,23 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, parts: int = PA
 
     Queries are the rows whose vec_id is divisible by ``every``. Vectors that are null, zero or hold null or
     non-finite components take no part; nor does a query meet rows of its own vec_id. Where there are fewer
-    candidates a query gets them all; tables too small to part are searched whole. Parts are dealt out in blocks
-    of ``BLOCK`` rows by a hash, so a part that holds very many rows, copies of one vector say, takes more tasks,
-    not longer ones; what is broadcast is the number of blocks of each part.
+    candidates in the parts it searches a query gets them all. Rows that share a vec_id are one query, and one
+    candidate, with the smallest of their distances. Distances that overflow are infinite and come last. Shorter vectors
+    are compared as if they ended in zeros; an empty table gives no rows. Parts are dealt out in blocks of ``BLOCK`` rows
+    by a hash, so a part that holds very many rows, copies of one vector say, takes more tasks, not longer ones; what is
+    broadcast is the number of blocks of each part.
     """
     spark = embeddings.sparkSession
     prepare(spark)
     rows = materialize(vectors(embeddings, zero=False))
-    router = train(rows, sample, parts)
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
+    router = train(rows, width, sample, parts)
     schema = "vec_id long, embedding array<double>, parts array<int>"
-    indexed = map_batches(rows, _routed(router, 1), schema).select("vec_id", "embedding", F.col("parts")[0].alias("part"))
+    indexed = map_batches(rows, _routed(router, 1, width), schema).select("vec_id", "embedding", F.col("parts")[0].alias("part"))
     indexed = materialize(indexed)
     blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     indexed = indexed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("vec_id", F.hash("embedding")), "blocks").cast("int"))
-    queries = map_batches(rows.where(F.col("vec_id") % every == 0), _routed(router, probes), schema)
+    queries = map_batches(rows.where(F.col("vec_id") % every == 0), _routed(router, probes, width), schema)
     groups = max(1, math.ceil(queries.count() / QUERIES))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("part", F.explode("parts"))
     queries = queries.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -201,8 +212,9 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, parts: int = PA
         queries.select(*keys, F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
         .groupBy(*keys)
         .cogroup(indexed.select(*keys, "vec_id", "embedding").groupBy(*keys))
-        .applyInPandas(_nearest(k), _FOUND)
+        .applyInPandas(_nearest(k, width), _FOUND)
     )
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
