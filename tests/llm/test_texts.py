@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triplicate.llm import bpe, packing, pii, secrets, simhash, substrings, token_files, tokens, toxicity
+from triplicate.llm import bpe, common, components, packing, pii, secrets, simhash, substrings, token_files, tokens, toxicity
 
 WORDS = ["the", "of", "Alpha", "beta", "gamma", "delta", "été", "naïve", "x1", "don't", "42", "—", "zeta,", "eta.", "theta"]
 
@@ -229,7 +229,11 @@ def test_fullest_bin_closes_first():
     assert packing.best_fit([6, 5, 4, 3, 5], 10, bins=1) == [(0, 0), (1, 0), (1, 5), (2, 0), (2, 3)]
 
 
-def test_simhash_links(docs, empty):
+@pytest.mark.parametrize("run, frequent", [(1 << 16, 1000), (4, 3)])
+def test_simhash_links(docs, empty, monkeypatch, run, frequent):
+    monkeypatch.setattr(simhash, "RUN", run)
+    for module in (common, components):
+        monkeypatch.setattr(module, "FREQUENT", frequent)
     rows = {(r.doc_id): r for r in simhash.near_duplicates(docs).collect()}
     texts = dict(enumerate(t or "" for t in odd_texts()))
     prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
@@ -292,7 +296,11 @@ def smallest_reachable(sets):
 
 @pytest.mark.parametrize("block", [1 << 20, 400])
 def test_similar_texts_are_those_of_jaccard_similarity(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    if block == 400:  # runs and frequent values are split as well
+        monkeypatch.setattr(simhash, "RUN", 8)
+        for module in (common, components):
+            monkeypatch.setattr(module, "FREQUENT", 5)
     rng = random.Random(11)
     texts = []
     for _ in range(250):  # pairs of similarity 0.6 to 0.9 by scattered edits

@@ -28,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where unset (tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where unset and all is on one machine (tests)
+    a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scratch-"))
     return named or sc.getCheckpointDir()
 
@@ -44,6 +47,24 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than this share of all rows, one in so many, are joined apart; fewer rows than ``FREQUENT`` are no harm.
+SHARE, FREQUENT = 200, 1000
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``lookup``, which has one row for each value of ``keys`` and in ``n`` how many of ``rows`` have it.
+
+    Values that hold more than one in ``SHARE`` of the ``total`` rows, fewer than ``SHARE`` of them therefore, are
+    broadcast, so their rows stay where they are; all others are joined by shuffle. Both inputs are read twice.
+    """
+    if total <= FREQUENT:
+        return rows.join(lookup.drop(n), keys, how)
+    bound = max(FREQUENT, total // SHARE)
+    hot, cold = lookup.where(F.col(n) > bound), lookup.where(F.col(n) <= bound)
+    apart = rows.join(F.broadcast(hot.drop(n)), keys)
+    return apart.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.drop(n), keys, how))
+
+
 def texts(df: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as the empty one; further columns, whatever their names, go."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

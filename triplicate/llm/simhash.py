@@ -8,10 +8,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplicate.llm.common import map_batches, materialize, mix, prepare, table, texts, word_hashes, words_of
+from triplicate.llm.common import join_hot, map_batches, materialize, mix, prepare, table, texts, word_hashes, words_of
 from triplicate.llm.components import components
 
 BITS = 64
@@ -204,20 +204,48 @@ def masks(budget: int) -> list[int]:
     return [block[i] | block[j] for i, j in combinations(range(blocks), 2)]
 
 
+#: Rows of one masked value that one task joins with one another, or with as many others, at about most.
+RUN = 1 << 16
+
+
+def _pairs(block: Column, blocks: Column) -> Column:
+    """Numbers of the pairs of blocks that hold ``block``: each two blocks meet once, what lies in one meets there as well."""
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: k != block)
+    pairs = F.transform(others, lambda k: F.least(k, block) * blocks + F.greatest(k, block))
+    return F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))
+
+
+def _runs_sorted(keyed: DataFrame, by: str) -> DataFrame:
+    """Rows with each (mask, key) together and sorted by ``by``; one of more than ``RUN`` rows is dealt as pairs of blocks.
+
+    ``mask`` then tells such pairs apart as well.
+    """
+    total = keyed.count()
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = keyed.withColumn("mask", F.col("mask").cast("long"))
+    if total > RUN:
+        large = materialize(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > RUN))
+        if not large.isEmpty():
+            large = large.withColumn("blocks", F.ceil(F.col("n") / F.lit(RUN)))
+            blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+            parts = _pairs(F.pmod(F.xxhash64(by), blocks), blocks)
+            keyed = join_hot(keyed, large, ["mask", "key"], "n", total, "left").withColumn("part", F.explode(parts))
+            keyed = keyed.withColumn("mask", F.col("part") * 256 + F.col("mask")).drop("part", "blocks")
+    return keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", by)
+
+
 def link(distinct: DataFrame, budget: int = 2) -> DataFrame:
     """(fp, root) for every distinct fingerprint: root is the same for those that links connect.
 
     Fingerprints go, once for each mask, to the task of their masked bits, where a trie join links them; what it
-    gives is a forest no larger than its input, and components join the forests. A hot mask value holds distinct
-    fingerprints only, however many documents share them, and comes to its task sorted, in batches.
+    gives is a forest no larger than its input, and components join the forests. A task holds the distinct fingerprints
+    of one mask value, or of two blocks of about ``RUN`` where there are more.
     """
     spark = distinct.sparkSession
     prepare(spark)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks(budget)]
     keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "key"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
-    found = components(sorted_.mapInArrow(_linked(_within(budget)), "a long, b long"))
+    found = components(_runs_sorted(keyed, "fp").mapInArrow(_linked(_within(budget)), "a long, b long"))
     roots = found.select(F.col("node").alias("fp"), "root")
     return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), *[c for c in distinct.columns if c != "fp"])
 
@@ -227,15 +255,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataF
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows are linked to
     one another; an empty table gives no rows; columns besides doc_id and text are not read. Documents of one
-    fingerprint are gathered by partial aggregation before anything is joined.
+    fingerprint are gathered by partial aggregation before anything is joined, and those of a very frequent one are
+    joined apart.
     """
     by_doc = materialize(fingerprints(docs, shingle))
-    distinct = materialize(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = materialize(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = materialize(link(distinct, budget))
-    classes = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = linked.join(classes, "root").select("fp", "component_id")
+    classes = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    of_fp = materialize(join_hot(linked, classes, ["root"], "members", linked.count()).select("fp", "component_id", "n"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return by_doc.join(of_fp, "fp").select("doc_id", hexed, "component_id")
+    return join_hot(by_doc, of_fp, ["fp"], "n", by_doc.count()).select("doc_id", hexed, "component_id")
 
 
 # Near-duplicates by similarity of shingle sets ------------------------------
@@ -413,27 +442,24 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     schema = "doc_id long, node long, n long, wide binary, bands array<long>"
     by_doc = materialize(map_batches(texts(docs), _signatures(shingle), schema))
     one = [F.first(c).alias(c) for c in ("n", "wide", "bands")]
-    distinct = materialize(by_doc.groupBy("node").agg(F.min("doc_id").alias("least"), *one))
+    distinct = materialize(by_doc.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *one))
     keyed = distinct.select("node", "wide", F.posexplode("bands").alias("mask", "key"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "wide")
-    met = components(sorted_.mapInArrow(_linked(_similar(budget_for(similarity))), "a long, b long"))
+    met = components(_runs_sorted(keyed, "wide").mapInArrow(_linked(_similar(budget_for(similarity))), "a long, b long"))
     met = materialize(met.join(distinct.select("node", "least", "n"), "node").select("node", "least", "n", F.col("root").alias("key")))
-    blocks = met.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    # Each two blocks of a component meet once; what lies in one block meets there as well.
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: k != block)
-    pairs = F.transform(others, lambda k: F.least(k, block) * F.col("blocks") + F.greatest(k, block))
-    parts = F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.lit(0).cast("long"))).alias("parts")
-    dealt = met.join(blocks, "key").select(F.col("least").alias("doc_id"), "node", "key", parts)
+    blocks = materialize(met.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("blocks"), F.count("*").alias("members")))
+    parts = _pairs(F.pmod(F.xxhash64("node"), F.col("blocks")), F.col("blocks")).alias("parts")
+    dealt = join_hot(met, blocks, ["key"], "members", met.count()).select(F.col("least").alias("doc_id"), "node", "key", parts)
     read = texts(docs).join(dealt.hint("shuffle_hash"), "doc_id").select("node", "key", "parts", "text")
     sets = map_batches(read, _hashes(shingle), "node long, key long, parts array<long>, hashes binary").where("hashes is not null")
     sets = sets.select("node", "key", "hashes", F.explode("parts").alias("mask"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = sets.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "node")
     roots = components(sets.mapInArrow(_linked(_verified(similarity)), "a long, b long"))
-    of_node = materialize(distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    classes = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
-    return by_doc.select("doc_id", "node").join(of_node.join(classes, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    rooted = distinct.select("node", "least", "copies").join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
+    of_node = materialize(rooted)
+    classes = materialize(of_node.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    of_node = materialize(join_hot(of_node, classes, ["root"], "members", of_node.count()).select("node", "component_id", "copies"))
+    return join_hot(by_doc.select("doc_id", "node"), of_node, ["node"], "copies", by_doc.count()).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
