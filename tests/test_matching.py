@@ -94,7 +94,7 @@ def test_shared_keys_lose_no_pair(spark):
         for side in ("DESIGN", "ORDER", "ACK") for i in range(25)
     ]
     units = aggregate_units(items(spark, *rows)).cache()
-    found = [(r.pair, r.a, r.b, r.match) for r in equivalence_edges(units).collect()]
+    found = [(r.pair, r.a, r.b, r.match) for r in equivalence_edges(units.withColumn("listed", F.lit(False))).collect()]
     base = with_features(units.select("project_id", "side", "unit_id", "raw_sku", "description", "category", "dimensions", "substitution_sku"), substitution="substitution_sku").cache()
     all_pairs = set()
     for x, y in PAIRS:
@@ -103,3 +103,23 @@ def test_shared_keys_lose_no_pair(spark):
         pairs = a.crossJoin(b).select("a", "b", item_match(F.col("fa"), F.col("fb")).alias("m")).where(F.col("m").isin(*ITEM_EQUAL))
         all_pairs |= {(x[0] + y[0], r.a, r.b, r.m) for r in pairs.collect()}
     assert len(found) == len(set(found)) and set(found) == all_pairs
+
+
+def test_a_cabinet_list_binds_the_whole_project(spark):
+    listed = {"source_type": "CABINET_LIST"}
+    final, _ = decided(spark, ("DESIGN", "d2", "W30", {}), ("ORDER", "o1", "B36", listed | {"manuf_code": "M36"}), ("ACK", "a2", "W30", {}))
+    assert final == {("d2", None, None): "MISSING", (None, "o1", None): "EXTRA", (None, None, "a2"): "EXTRA"}
+
+
+def test_components_of_large_projects_decide_alike(spark, monkeypatch):
+    import random
+
+    from triplicate.operators import matching
+
+    rng = random.Random(8)
+    codes = ["B36", "B36 L", "W30", "W30-BUTT", "T84", "T84-X", "Q9-11", None]
+    rows = [(side, f"{side[0]}{i}", rng.choice(codes), {"finish": rng.choice(["WHITE", "OAKEN", "WALNUT", None]), "size_text": rng.choice(["30W", "33W", None])}) for side in ("DESIGN", "ORDER", "ACK") for i in range(30)]
+    units = aggregate_units(items(spark, *rows)).cache()
+    whole = sorted(map(str, match_units(units).collect()))
+    monkeypatch.setattr(matching, "LARGE", 2)
+    assert sorted(map(str, match_units(units).collect())) == whole

@@ -15,36 +15,44 @@ PAIRS = (("DESIGN", "ORDER"), ("DESIGN", "ACK"), ("ORDER", "ACK"), ("DESIGN", "D
 def equivalence_edges(units: DataFrame) -> DataFrame:
     """(project_id, pair, a, b, match, same_code): the equivalent pairs of units, ``pair`` by the first letters of sides.
 
-    Every way to match implies a shared key that is one's own (see :func:`block_keys`), so pairs come from an equi-join on project and key, once for each pair, and are judged in the same stage.
-    Orders from a cabinet list meet acknowledgements by the maker's code alone. Units of one side are joined in
-    both directions, and a unit with itself unless it has neither code nor description.
+    Every way to match implies a shared key that is one's own (see :func:`block_keys`), so own keys meet all keys in an
+    equi-join on project and key, in both directions, and each pair is judged once. ``listed`` says that the project's
+    order is a cabinet list; its orders then meet acknowledgements by the maker's code alone, and designs meet no
+    acknowledgement. Units of one side are joined in both directions, and a unit with itself unless it has neither
+    code nor description.
     """
-    base = units.select("project_id", "side", "unit_id", "raw_sku", "description", "category", "dimensions", "substitution_sku", "manuf_code", "source_type")
+    base = units.select("project_id", "side", "unit_id", "raw_sku", "description", "category", "dimensions", "substitution_sku", "manuf_code", "listed")
     plain = with_features(base, substitution="substitution_sku").withColumn("role", F.col("side"))
-    listed = F.col("source_type") == "CABINET_LIST"
-    by_maker = with_features(base.where((F.col("side") == "ORDER") & listed & F.col("manuf_code").isNotNull()), "manuf_code", "substitution_sku")
-    by_maker = by_maker.withColumn("role", F.lit("MAKER"))
-    rows = plain.unionByName(by_maker).select(
-        "project_id", "unit_id", "role", (listed & (F.col("side") == "ORDER")).alias("listed"), "f", block_keys(F.col("f")).alias("k")
-    )
-    rows = cut(rows.select("*", "k.keys", "k.own").drop("k")).withColumn("key", F.explode("keys"))
-    rows = rows.withColumn("mine", F.array_contains("own", F.col("key")))
-    a, b = rows.alias("a"), rows.alias("b")
-    role = lambda x, y: (F.col("a.role") == x) & (F.col("b.role") == y)
-    wanted = role("MAKER", "ACK") | (role("ORDER", "ACK") & ~F.col("a.listed"))
-    for x, y in PAIRS:
-        if (x, y) != ("ORDER", "ACK"):
-            wanted = wanted | role(x, y)
-    joined = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.mine") | F.col("b.mine")) & wanted)
-    # A pair is judged at the first shared key that is one's own: the others would only repeat it.
-    fa, fb = F.col("a.f"), F.col("b.f")
-    first_shared = F.array_min(F.array_intersect(F.array_intersect("a.keys", "b.keys"), F.array_union("a.own", "b.own")))
-    judged = joined.where(F.col("a.key") == first_shared).select(
-        F.col("a.project_id").alias("project_id"),
-        F.concat(F.translate(F.substring("a.role", 1, 1), "M", "O"), F.substring("b.role", 1, 1)).alias("pair"),
-        F.col("a.unit_id").alias("a"),
-        F.col("b.unit_id").alias("b"),
-        item_match(fa, fb).alias("match"),
-        codes_equal(fa, fb).alias("same_code"),
+    by_maker = with_features(base.where((F.col("side") == "ORDER") & F.col("listed") & F.col("manuf_code").isNotNull()), "manuf_code", "substitution_sku")
+    rows = plain.unionByName(by_maker.withColumn("role", F.lit("MAKER"))).select("project_id", "unit_id", "role", "listed", "f", block_keys(F.col("f")).alias("k"))
+    rows = cut(rows.select("*", "k.keys", "k.own").drop("k"))
+    own = rows.withColumn("key", F.explode("own")).alias("a")
+    every = rows.withColumn("key", F.explode("keys")).alias("b")
+    pairs = [(x, y, F.lit(True)) for x, y in PAIRS if "ACK" not in (x, y)]
+    pairs += [("DESIGN", "ACK", ~F.col("a.listed")), ("ORDER", "ACK", ~F.col("a.listed")), ("MAKER", "ACK", F.lit(True))]
+
+    def met(mirrored: bool) -> DataFrame:
+        """Pairs whose first unit has the key as its own or, ``mirrored``, whose second has and the first has not."""
+        wanted = F.lit(False)
+        for x, y, when in pairs:
+            wanted = wanted | ((F.col("a.role") == (y if mirrored else x)) & (F.col("b.role") == (x if mirrored else y)) & when)
+        joined = own.join(every, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.key") == F.col("b.key")) & wanted)
+        if mirrored:
+            joined = joined.where(~F.array_contains("b.own", F.col("a.key")))
+        # A pair is judged at the first shared key that is one's own: the others would only repeat it.
+        first = F.array_min(F.array_intersect(F.array_intersect("a.keys", "b.keys"), F.array_union("a.own", "b.own")))
+        one, other = ("b", "a") if mirrored else ("a", "b")
+        return joined.where(F.col("a.key") == first).select(
+            F.col("a.project_id").alias("project_id"), F.col(f"{one}.role").alias("role_a"), F.col(f"{other}.role").alias("role_b"),
+            F.col(f"{one}.unit_id").alias("a"), F.col(f"{other}.unit_id").alias("b"), F.col(f"{one}.f").alias("fa"), F.col(f"{other}.f").alias("fb"),
+        )
+
+    judged = met(False).unionByName(met(True)).select(
+        "project_id",
+        F.concat(F.translate(F.substring("role_a", 1, 1), "M", "O"), F.substring("role_b", 1, 1)).alias("pair"),
+        "a",
+        "b",
+        item_match(F.col("fa"), F.col("fb")).alias("match"),
+        codes_equal(F.col("fa"), F.col("fb")).alias("same_code"),
     )
     return judged.where(F.col("match").isin(*ITEM_EQUAL))

@@ -1,17 +1,18 @@
 """Groups of units, at most one from each document, that are the same item, each with its status.
 
-Most items have at most one counterpart on each side and compete with nobody: joins and counts decide these. What
-is left of a project is decided in the order of its lines, in one task for each such project.
+Equivalent units are found by joins (see :mod:`triplicate.operators.edges`). Units and their links then meet by project
+and are decided in the order of their lines.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplicate.functions.dimensions import TOLERANCE
@@ -37,72 +38,6 @@ def split_scope(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("not __out").drop("__words", "__said", "__out"), rows.where("__out").drop("__words", "__said", "__out")
 
 
-def _lone(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project_id, unit_id, label): units whose linked neighbourhood is whole and has at most one of each side.
-
-    Labels spread three times, enough for three units; a neighbourhood with a link to another label is larger.
-    """
-    cross = edges.where("a <> b").select("project_id", "a", "b")
-    arcs = cross.unionAll(cross.select("project_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = units.select("project_id", "side", "unit_id", F.col("unit_id").alias("label"))
-    for _ in range(2):
-        heard = arcs.join(label.select("project_id", F.col("unit_id").alias("b"), "label"), ["project_id", "b"]).groupBy("project_id", F.col("a").alias("unit_id"))
-        label = label.join(heard.agg(F.min("label").alias("heard")), ["project_id", "unit_id"], "left").select(
-            "project_id", "side", "unit_id", F.least("label", "heard").alias("label")
-        )
-    ends = arcs.join(label.select("project_id", F.col("unit_id").alias("a"), F.col("label").alias("la")), ["project_id", "a"])
-    ends = ends.join(label.select("project_id", F.col("unit_id").alias("b"), F.col("label").alias("lb")), ["project_id", "b"])
-    open_ = ends.where("la <> lb").select("project_id", F.explode(F.array("la", "lb")).alias("label")).distinct()
-    crowded = label.groupBy("project_id", "label", "side").count().where("count > 1").select("project_id", "label").distinct()
-    return label.join(open_.unionByName(crowded).distinct(), ["project_id", "label"], "left_anti")
-
-
-def _decide_lone(label: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    rows = label.join(units.select("project_id", "unit_id", "substitution_sku", "manuf_code", "source_type", "raw_sku", "description"), ["project_id", "unit_id"])
-    whole = rows.groupBy("project_id", "label").agg(
-        side("DESIGN", "unit_id").alias("d"),
-        side("ORDER", "unit_id").alias("o"),
-        side("ACK", "unit_id").alias("a"),
-        side("ACK", "substitution_sku").alias("substitution"),
-        side("ORDER", "manuf_code").alias("maker"),
-        side("ORDER", "source_type").alias("order_type"),
-    )
-    linked = edges.where("a <> b").groupBy("project_id", F.col("a").alias("x"), F.col("b").alias("y")).agg(F.first("same_code").alias("same"), F.lit(True).alias("is"))
-
-    def link(df: DataFrame, x: str, y: str) -> DataFrame:
-        of = linked.select("project_id", F.col("x").alias(x), F.col("y").alias(y), F.col("same").alias(f"{x}{y}_same"), F.col("is").alias(f"{x}{y}"))
-        joined = df.join(of, ["project_id", x, y], "left")
-        return joined.withColumns({f"{x}{y}": F.coalesce(f"{x}{y}", F.lit(False)), f"{x}{y}_same": F.coalesce(f"{x}{y}_same", F.lit(False))})
-
-    for x, y in (("d", "o"), ("d", "a"), ("o", "a")):
-        whole = link(whole, x, y)
-    listed = F.coalesce(F.col("order_type") == "CABINET_LIST", F.lit(False))
-    ack_of_d = F.when(F.col("do"), F.col("oa") | (F.col("da") & ~listed)).otherwise(F.col("da"))
-    with_o = F.col("d").isNotNull() & F.col("o").isNotNull() & F.col("do")
-    with_a = F.col("d").isNotNull() & F.col("a").isNotNull() & ack_of_d
-    pieces = [F.when(F.col("d").isNotNull(), F.struct("d", F.when(with_o, F.col("o")).alias("o"), F.when(with_a, F.col("a")).alias("a")))]
-    left_o, left_a = F.col("o").isNotNull() & ~with_o, F.col("a").isNotNull() & ~with_a
-    none = F.lit(None).cast("string")
-    both = left_o & left_a & F.col("oa")
-    pieces.append(F.when(left_o, F.struct(none.alias("d"), F.col("o"), F.when(both, F.col("a")).alias("a"))))
-    pieces.append(F.when(left_a & ~both, F.struct(none.alias("d"), none.alias("o"), F.col("a"))))
-    groups = whole.withColumn("g", F.explode(F.array_compact(F.array(*pieces))))
-    d, o, a = (F.col(f"g.{s}").isNotNull() for s in "doa")
-    unsure = listed & F.col("maker").isNull()
-    status = (
-        F.when(d & o & a, F.when(F.col("substitution").isNotNull() | ~F.col("do_same") | ~F.col("oa_same"), "CHANGED").otherwise("MATCHED"))
-        .when(d & o, F.when(unsure, "UNCERTAIN").when(F.col("do_same"), "MATCHED").otherwise("CHANGED"))
-        .when(d & a, "CHANGED")
-        .when(d, "MISSING")
-        .when(o & ~a & unsure, "UNCERTAIN")
-        .otherwise("EXTRA")
-    )
-    return groups.select(
-        "project_id", F.col("g.d").alias("design_id"), F.col("g.o").alias("order_id"), F.col("g.a").alias("ack_id"), status.alias("status"), F.lit("alone").alias("decided")
-    )
-
-
 @dataclass
 class _Unit:
     id: str
@@ -113,7 +48,6 @@ class _Unit:
     substituted: bool
     maker: bool
     listed: bool
-    same: set = field(default_factory=set)
 
 
 def _fits(x: dict | None, y: dict | None) -> bool:
@@ -137,53 +71,65 @@ def _closest(unit: _Unit, candidates: list[_Unit]) -> _Unit | None:
     return next(c for c in candidates if (len(unit.words & c.words), c.observed) == ranked[0])
 
 
-class _Project:
-    """Decides the units of one project in order, each at most once."""
-
-    def __init__(self, units: list[_Unit], edges: set[tuple[str, str, str]], codes: set[tuple[str, str]]) -> None:
-        self.by_side = {s: [u for u in units if u.side == s] for s in ("DESIGN", "ORDER", "ACK")}
-        self.edges, self.codes = edges, codes
-        self.free = {u.id for u in units}
-        self.listed = any(u.listed for u in self.by_side["ORDER"])
-        self.groups: list[tuple[_Unit | None, _Unit | None, _Unit | None, bool]] = []
-
-    def linked(self, pair: str, x: _Unit, y: _Unit) -> bool:
-        return (pair, x.id, y.id) in self.edges
-
-    def open(self, side: str) -> list[_Unit]:
-        return [u for u in self.by_side[side] if u.id in self.free]
-
-    def commit(self, d: _Unit | None, o: _Unit | None, a: _Unit | None, unsure: bool = False) -> None:
-        self.groups.append((d, o, a, unsure))
+class _Group:
+    """Decides the units of one project, or of one component of its links, in order, each at most once."""
+
+    def __init__(self, units: list[_Unit], edges: Iterable[tuple[str, str, str, bool]], listed: bool) -> None:
+        self.units = {u.id: u for u in units}
+        self.at = {u.id: n for n, u in enumerate(units)}
+        self.listed = listed
+        self.free = set(self.units)
+        self.codes: set[tuple[str, str]] = set()
+        self.links: dict[tuple[str, str], list[str]] = defaultdict(list)  # by pair, from its first side and from its second
+        for pair, a, b, same in edges:
+            self.links[pair, a].append(b)
+            if pair[0] != pair[1]:
+                self.links[pair[::-1], b].append(a)
+            if same:
+                self.codes.add((a, b))
+        self.groups: list[tuple[_Unit | None, _Unit | None, _Unit | None, bool, str]] = []
+
+    def linked(self, pair: str, unit: str, free: bool = True) -> list[_Unit]:
+        """Units of the pair's second side linked with one of its first, in order, only undecided ones if ``free``."""
+        found = {x for x in self.links.get((pair, unit), ()) if not free or x in self.free}
+        return [self.units[x] for x in sorted(found, key=self.at.__getitem__)]
+
+    def commit(self, d: _Unit | None, o: _Unit | None, a: _Unit | None, how: str, unsure: bool = False) -> None:
+        self.groups.append((d, o, a, unsure, how))
         self.free -= {u.id for u in (d, o, a) if u}
 
+    def in_order(self, found: dict[str, _Unit]) -> list[_Unit]:
+        return sorted(found.values(), key=lambda u: self.at[u.id])
+
     def design(self, d: _Unit) -> None:
-        orders = [o for o in self.open("ORDER") if self.linked("DO", d, o)]
-        by_order = lambda a: any(self.linked("OA", o, a) for o in orders)
-        acks = [a for a in self.open("ACK") if by_order(a) or not self.listed and self.linked("DA", d, a)]
-        alike = [x for x in self.open("DESIGN") if self.linked("DD", d, x)]
+        orders = self.linked("DO", d.id)
+        reached = {a.id: a for o in orders for a in self.linked("OA", o.id)}
+        if not self.listed:
+            reached |= {a.id: a for a in self.linked("DA", d.id)}
+        acks = self.in_order(reached)
+        alike = self.linked("DD", d.id)
         # Rivals of the first candidates count even if they are decided already.
-        for_order = [x for x in self.by_side["DESIGN"] if orders and self.linked("DO", x, orders[0])]
-        if self.listed:
-            rivals = lambda x, a: any(self.linked("DO", x, o) and self.linked("OA", o, a) for o in self.by_side["ORDER"])
+        for_order = self.linked("OD", orders[0].id, free=False) if orders else []
+        if not acks:
+            for_ack = []
+        elif self.listed:
+            for_ack = self.in_order({x.id: x for o in self.linked("AO", acks[0].id, free=False) for x in self.linked("OD", o.id, free=False)})
         else:
-            rivals = lambda x, a: self.linked("DA", x, a)
-        for_ack = [x for x in self.by_side["DESIGN"] if acks and rivals(x, acks[0])]
+            for_ack = self.linked("AD", acks[0].id, free=False)
         order_contested, ack_contested = len(for_order) > 1, len(for_ack) > 1
         counts, single = (len(orders), len(acks)), len(alike) == 1
         if single and not order_contested and not ack_contested and counts in ((1, 1), (0, 1)):
-            self.commit(d, orders[0] if orders else None, acks[0])
+            self.commit(d, orders[0] if orders else None, acks[0], "alone")
         elif single and not order_contested and len(orders) == 1 and (not acks or ack_contested):
-            self.commit(d, orders[0], None)
+            self.commit(d, orders[0], None, "alone")
         elif len(alike) > 1 or max(counts) > 1 or order_contested or ack_contested:
             o = next((o for o in orders if _fits(d.size, o.size)), None) or _closest(d, orders)
-            by = o or d
-            a = next((a for a in acks if _fits((o.size if o else d.size), a.size)), None) or _closest(by, acks)
+            a = next((a for a in acks if _fits((o.size if o else d.size), a.size)), None) or _closest(o or d, acks)
             if o or a:
-                self.commit(d, o, a)
+                self.commit(d, o, a, "in order")
             else:
-                rivals_ = {x.id: x for x in [*alike, *(for_order if order_contested else []), *(for_ack if ack_contested else [])]}
-                self.rescue(list(rivals_.values()), orders, acks)
+                rivals = {x.id: x for x in [*alike, *(for_order if order_contested else []), *(for_ack if ack_contested else [])]}
+                self.rescue(list(rivals.values()), orders, acks)
 
     def rescue(self, rivals: list[_Unit], orders: list[_Unit], acks: list[_Unit]) -> None:
         """Rivals whose own words point to an order or acknowledgement that no other claims get it; the rest is unsure."""
@@ -197,38 +143,39 @@ class _Project:
         for x in able:
             o, a = wishes[x.id]
             if (o or a) and all(claims[u.id] == 1 for u in (o, a) if u):
-                self.commit(x, o, a)
+                self.commit(x, o, a, "in order")
         for x in rivals:
             if x.id in self.free:
-                self.commit(x, None, None, True)
+                self.commit(x, None, None, "in order", True)
         for side, left in (("o", orders), ("a", acks)):
             for u in left:
                 if u.id in self.free:
-                    self.commit(None, u if side == "o" else None, u if side == "a" else None, True)
+                    self.commit(None, u if side == "o" else None, u if side == "a" else None, "in order", True)
 
     def order(self, o: _Unit) -> None:
-        if o.listed and not o.maker:
-            self.commit(None, o, None, True)
+        if self.listed and not o.maker:
+            self.commit(None, o, None, "alone", True)
             return
-        alike = [x for x in self.open("ORDER") if self.linked("OO", o, x)]
-        acks = [a for a in self.open("ACK") if self.linked("OA", o, a)]
+        alike, acks = self.linked("OO", o.id), self.linked("OA", o.id)
         if len(alike) == 1 and len(acks) == 1:
-            self.commit(None, o, acks[0])
+            self.commit(None, o, acks[0], "alone")
         else:
-            self.commit(None, o, None, len(alike) > 1 or len(acks) > 1)
+            unsure = len(alike) > 1 or len(acks) > 1
+            self.commit(None, o, None, "in order" if unsure else "alone", unsure)
 
-    def decide(self) -> list[tuple[str | None, str | None, str | None, str]]:
-        for d in self.by_side["DESIGN"]:
+    def decide(self) -> Iterator[tuple[str | None, str | None, str | None, str, str]]:
+        sides = {s: [u for u in self.units.values() if u.side == s] for s in ("DESIGN", "ORDER", "ACK")}
+        for d in sides["DESIGN"]:
             if d.id in self.free:
                 self.design(d)
-        for o in self.by_side["ORDER"]:
+        for o in sides["ORDER"]:
             if o.id in self.free:
                 self.order(o)
-        for d in self.open("DESIGN"):
-            self.commit(d, None, None)
-        for a in self.open("ACK"):
-            self.commit(None, None, a)
-        return [(d and d.id, o and o.id, a and a.id, self.status(d, o, a, unsure)) for d, o, a, unsure in self.groups]
+        for u in sides["DESIGN"] + sides["ACK"]:
+            if u.id in self.free:
+                self.commit(u if u.side == "DESIGN" else None, None, u if u.side == "ACK" else None, "alone")
+        for d, o, a, unsure, how in self.groups:
+            yield d and d.id, o and o.id, a and a.id, self.status(d, o, a, unsure), how
 
     def status(self, d: _Unit | None, o: _Unit | None, a: _Unit | None, unsure: bool) -> str:
         if unsure:
@@ -244,43 +191,102 @@ class _Project:
         return "EXTRA"
 
 
-def _decide_rest(key: tuple, units: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    given = lambda v: isinstance(v, str) and v != ""
-    units = units.sort_values(["ord", "unit_id"])
-    made = [
-        _Unit(
-            r.unit_id, r.side, r.dimensions, frozenset(r.words), "OBSERVED" in (r.finish_status, r.door_style_status),
-            given(r.substitution_sku), given(r.manuf_code), r.source_type == "CABINET_LIST",
-        )
-        for r in units.itertuples()
-    ]
-    links = set(zip(edges["pair"], edges["a"], edges["b"], strict=True))
-    codes = set(edges.loc[edges["same_code"].astype(bool), ["a", "b"]].itertuples(index=False, name=None))
-    rows = [(key[0], *g, "in order") for g in _Project(made, links, codes).decide()]
-    return pd.DataFrame(rows, columns=["project_id", "design_id", "order_id", "ack_id", "status", "decided"])
+#: Units of a project from which on its components are decided apart from one another.
+LARGE = 10_000
+_UNIT = ("side", "unit_id", "dimensions", "words", "observed", "substituted", "maker", "cabinet_list", "listed")
+_EDGE = ("pair", "a", "b", "same_code")
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of units that come by project and component, in the order of their lines, each followed by its links."""
+    held: tuple | None = None
+    units: list[_Unit] = []
+    edges: list[tuple] = []
+    listed = False
+    out: list[tuple] = []
+
+    def flush() -> None:
+        if held:
+            out.extend((held[0], *g) for g in _Group(units, edges, listed).decide())
+
+    def made() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _GROUPS, strict=True)], schema=_GROUPS)
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("project_id", "component", *_UNIT, *_EDGE)]
+        for row in zip(*columns, strict=True):
+            if row[:2] != held:
+                flush()
+                held, units, edges, listed = row[:2], [], [], False
+            if row[11] is None:
+                side, id_, size, words, observed, substituted, maker, cabinet, listed = row[2:11]
+                units.append(_Unit(id_, side, size, frozenset(words), observed, substituted, maker, cabinet))
+            else:
+                edges.append(row[11:])
+        yield made()
+        out.clear()
+    flush()
+    yield made()
+
+
+_GROUPS = pa.schema([("project_id", pa.int64()), *((c, pa.string()) for c in ("design_id", "order_id", "ack_id", "status", "decided"))])
+
+
+def _with_components(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``component``: in projects of ``LARGE`` units and more the least unit that is reachable, else null.
+
+    Decisions only follow links, so components are independent of one another. Labels spread along the links of such
+    projects until nothing changes.
+    """
+    none = F.lit(None).cast("string").alias("component")
+    large = units.groupBy("project_id").count().where(F.col("count") >= LARGE).select("project_id")
+    large = cut(large)
+    if large.isEmpty():
+        return units.select("*", none), edges.select("*", none)
+    ours = lambda df: df.join(large, "project_id", "left_semi")
+    arcs = ours(edges).where("a <> b").select("project_id", "a", "b")
+    arcs = cut(arcs.unionAll(arcs.select("project_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(ours(units).select("project_id", F.col("unit_id").alias("a"), F.col("unit_id").alias("component")))
+    before = None
+    while True:
+        heard = arcs.join(label.withColumnRenamed("a", "b"), ["project_id", "b"]).groupBy("project_id", "a").agg(F.min("component").alias("heard"))
+        next_ = label.join(heard, ["project_id", "a"], "left").select("project_id", "a", F.least("component", "heard").alias("component"))
+        # What one's label is labelled with is reachable too: chains shorten by half in each round.
+        of_label = next_.select("project_id", F.col("a").alias("component"), F.col("component").alias("further"))
+        label = cut(next_.join(of_label, ["project_id", "component"]).select("project_id", "a", F.col("further").alias("component")))
+        now = label.agg(F.sum(F.xxhash64("a", "component").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    units = units.join(label.withColumnRenamed("a", "unit_id"), ["project_id", "unit_id"], "left")
+    return units, edges.join(label, ["project_id", "a"], "left")
 
 
 def match_units(units: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """project_id, design_id, order_id, ack_id, status, decided: every unit in exactly one group.
 
-    Status is MATCHED, CHANGED, MISSING, EXTRA, UNCERTAIN or OUT_OF_SCOPE. ``decided`` tells whether counts decided
-    the group alone or the project's lines in order. A project's contested units go to one task: what one customer's
-    order holds, never a share of the table.
+    Status is MATCHED, CHANGED, MISSING, EXTRA, UNCERTAIN or OUT_OF_SCOPE. ``decided`` tells whether a group's units had
+    no rivals ("alone"), were chosen among several by the project's lines in order, or were out of scope. Units and
+    their links meet in one shuffle by project and are decided as they stream through, a project at a time; large
+    projects are dealt out by component, so a task holds what belongs together and no more.
     """
-    inside, outside = split_scope(units)
+    listed = F.coalesce(F.max((F.col("side") == "ORDER") & (F.col("source_type") == "CABINET_LIST")).over(Window.partitionBy("project_id")), F.lit(False))
+    inside, outside = split_scope(units.withColumn("listed", listed))
     inside = cut(inside)
     edges = cut(equivalence_edges(inside) if edges is None else edges)
-    lone = cut(_lone(inside, edges))
-    alone = _decide_lone(lone, inside, edges)
     words = F.array_union(F.array_union(significant_tokens(F.col("finish")), significant_tokens(F.col("door_style"))), significant_tokens(F.col("notes")))
-    rest = inside.join(lone.select("project_id", "unit_id"), ["project_id", "unit_id"], "left_anti").withColumn("words", words)
-    rest = rest.select("project_id", "side", "unit_id", "ord", "dimensions", "words", "finish_status", "door_style_status", "substitution_sku", "manuf_code", "source_type")
-    rest_edges = edges.join(rest.select("project_id", F.col("unit_id").alias("a")), ["project_id", "a"], "left_semi")
-    in_order = (
-        rest.groupBy("project_id")
-        .cogroup(rest_edges.select("project_id", "pair", "a", "b", "same_code").groupBy("project_id"))
-        .applyInPandas(lambda key, u, e: _decide_rest(key, u, e) if len(u) else pd.DataFrame(columns=["project_id", "design_id", "order_id", "ack_id", "status", "decided"]), GROUP)
-    )
+    observed = F.coalesce(F.col("finish_status") == "OBSERVED", F.lit(False)) | F.coalesce(F.col("door_style_status") == "OBSERVED", F.lit(False))
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    facts = inside.select(
+        "project_id", "side", "unit_id", "ord", "dimensions", words.alias("words"), observed.alias("observed"), given("substitution_sku").alias("substituted"),
+        given("manuf_code").alias("maker"), F.coalesce(F.col("source_type") == "CABINET_LIST", F.lit(False)).alias("cabinet_list"), "listed",
+    )
+    facts, links = _with_components(facts, edges)
+    rows = facts.unionByName(links.select("project_id", "component", *_EDGE), allowMissingColumns=True)
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartition(n, "project_id", "component").sortWithinPartitions("project_id", "component", F.col("pair").asc_nulls_first(), "ord", "unit_id")
+    decided = sorted_.select("project_id", "component", *_UNIT, *_EDGE).mapInArrow(_decided, GROUP)
     none = F.lit(None).cast("string")
     excluded = outside.select("project_id", F.col("unit_id").alias("design_id"), none.alias("order_id"), none.alias("ack_id"), F.lit("OUT_OF_SCOPE").alias("status"), F.lit("scope").alias("decided"))
-    return alone.unionByName(in_order).unionByName(excluded)
+    return decided.unionByName(excluded)
