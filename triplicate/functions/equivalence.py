@@ -105,6 +105,11 @@ def _long(numbers: Column) -> Column:
     return F.filter(numbers, lambda n: F.length(F.regexp_replace(n, "^0+", "")) >= 2)
 
 
+def _known(values: dict[str, Column], use) -> Column:
+    """``use`` of a struct of these values, each computed once however often it stands in the result."""
+    return F.element_at(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use), 1)
+
+
 def item_match(a: Column, b: Column) -> Column:
     """How two items match, the second of them possibly a substitution for the first; the first kind that holds.
 
@@ -112,39 +117,58 @@ def item_match(a: Column, b: Column) -> Column:
     BOTH_EMPTY, ONE_EMPTY, AMBIGUOUS, DIMENSION_CONFLICT, ORIENTATION_MISMATCH and NO_MATCH don't.
     """
     on = F.arrays_overlap
-    codes = code_match(a, b)
-    sizes = a["size_"].isNotNull() & b["size_"].isNotNull()
-    fit = dimensions.equivalent(a["size_"], b["size_"])
-    all_a, all_b = F.array_union(a["numbers"], a["text_numbers"]), F.array_union(b["numbers"], b["text_numbers"])
-    long_a, long_b = _long(a["numbers"]), _long(b["numbers"])
-    long_shared = on(long_a, all_b) | on(long_b, all_a)
-    shared = on(a["numbers"], b["numbers"])
-    read = on(F.array_union(a["as_digits"], a["text_numbers"]), F.array_union(b["as_digits"], b["text_numbers"]))
-    backed = shared | (sizes & fit) | read | long_shared
-    common = F.array_intersect(a["words"], b["words"])
-    described = on(common, _array(*ANCHORS)) | (F.size(common) >= 2)
-    letters = F.size(F.array_intersect(a["letters"], b["letters"])) / F.greatest(F.size(F.array_union(a["letters"], b["letters"])), F.lit(1))
-    as_code = F.struct(
-        b["sub"].alias("sku"),
-        sku_tokens(b["sub"]).alias("tokens"),
-        decomposed(sku_tokens(b["sub"])).alias("parts"),
-        F.array_join(sku_tokens(b["sub"]), "").alias("compact"),
-    )
-    contained = F.contains(a["text"], b["text"]) | F.contains(b["text"], a["text"])
-    return (
-        F.when(a["kind"] != b["kind"], "CATEGORY_MISMATCH")
-        .when(b["sub"].isNotNull() & a["sku"].isNotNull() & codes_equal(a, as_code), "EXPLICIT_SUBSTITUTION")
-        .when(codes == "BOTH_EMPTY", F.when((a["text"] != "") & (b["text"] != "") & contained, "NORMALIZED_EXACT").otherwise("BOTH_EMPTY"))
-        .when(codes == "ONE_EMPTY", "ONE_EMPTY")
-        .when(codes == "EXACT_MATCH", "EXACT")
-        .when(codes.isin("DELIMITER_EQUIVALENCE", "COMPACT_EQUIVALENCE"), "NORMALIZED_EXACT")
-        .when(codes == "TOKEN_SUBSET_MATCH", F.when(sizes & ~fit, "AMBIGUOUS").otherwise("NORMALIZED_EXACT"))
-        .when((F.size(long_a) > 0) & (F.size(long_b) > 0) & ~long_shared, "DIMENSION_CONFLICT")
-        .when(_sides_conflict(a["sides"], b["sides"]), "ORIENTATION_MISMATCH")
-        .when(backed & described & (letters >= 0.6), "MANUFACTURER_VARIANT")
-        .when((F.size(common) >= 3) & ~backed, "AMBIGUOUS")
-        .otherwise("NO_MATCH")
-    )
+    facts = {
+        "codes": code_match(a, b),
+        "sized": a["size_"].isNotNull() & b["size_"].isNotNull(),
+        "substitutes": F.coalesce(b["sub"].isNotNull() & a["sku"].isNotNull() & codes_equal(a, _as_code(b["sub"])), F.lit(False)),
+    }
+
+    def by_code(x: Column) -> Column:
+        contained = F.contains(a["text"], b["text"]) | F.contains(b["text"], a["text"])
+        unfit = x["sized"] & ~dimensions.equivalent(a["size_"], b["size_"])
+        return (
+            F.when(a["kind"] != b["kind"], "CATEGORY_MISMATCH")
+            .when(x["substitutes"], "EXPLICIT_SUBSTITUTION")
+            .when(x["codes"] == "BOTH_EMPTY", F.when((a["text"] != "") & (b["text"] != "") & contained, "NORMALIZED_EXACT").otherwise("BOTH_EMPTY"))
+            .when(x["codes"] == "ONE_EMPTY", "ONE_EMPTY")
+            .when(x["codes"] == "EXACT_MATCH", "EXACT")
+            .when(x["codes"].isin("DELIMITER_EQUIVALENCE", "COMPACT_EQUIVALENCE"), "NORMALIZED_EXACT")
+            .when(x["codes"] == "TOKEN_SUBSET_MATCH", F.when(unfit, "AMBIGUOUS").otherwise("NORMALIZED_EXACT"))
+        )
+
+    def by_description() -> Column:
+        values = {
+            "long_a": _long(a["numbers"]),
+            "long_b": _long(b["numbers"]),
+            "all_a": F.array_union(a["numbers"], a["text_numbers"]),
+            "all_b": F.array_union(b["numbers"], b["text_numbers"]),
+            "common": F.array_intersect(a["words"], b["words"]),
+            "letters": F.size(F.array_intersect(a["letters"], b["letters"])) / F.greatest(F.size(F.array_union(a["letters"], b["letters"])), F.lit(1)),
+        }
+
+        def shared(x: Column) -> Column:
+            long_shared = on(x["long_a"], x["all_b"]) | on(x["long_b"], x["all_a"])
+            read = on(F.array_union(a["as_digits"], a["text_numbers"]), F.array_union(b["as_digits"], b["text_numbers"]))
+            fit = a["size_"].isNotNull() & b["size_"].isNotNull() & dimensions.equivalent(a["size_"], b["size_"])
+            more = {"long_shared": long_shared, "backed": on(a["numbers"], b["numbers"]) | fit | read | long_shared, "common": x["common"]}
+            return _known(
+                more,
+                lambda y: F.when((F.size(x["long_a"]) > 0) & (F.size(x["long_b"]) > 0) & ~y["long_shared"], "DIMENSION_CONFLICT")
+                .when(_sides_conflict(a["sides"], b["sides"]), "ORIENTATION_MISMATCH")
+                .when(y["backed"] & (on(y["common"], _array(*ANCHORS)) | (F.size(y["common"]) >= 2)) & (x["letters"] >= 0.6), "MANUFACTURER_VARIANT")
+                .when((F.size(y["common"]) >= 3) & ~y["backed"], "AMBIGUOUS")
+                .otherwise("NO_MATCH"),
+            )
+
+        return _known(values, shared)
+
+    return _known(facts, lambda x: F.coalesce(by_code(x), by_description()))
+
+
+def _as_code(sub: Column) -> Column:
+    """A substitution's code with the features that codes are compared by."""
+    tokens = sku_tokens(sub)
+    return F.struct(sub.alias("sku"), tokens.alias("tokens"), decomposed(tokens).alias("parts"), F.array_join(tokens, "").alias("compact"))
 
 
 ITEM_EQUAL = ("EXACT", "NORMALIZED_EXACT", "EXPLICIT_SUBSTITUTION", "MANUFACTURER_VARIANT")

@@ -14,6 +14,7 @@ from triplicate.operators.crosscheck import discrepancies, finalize, with_member
 from triplicate.operators.matching import match_units, split_scope
 from triplicate.operators.units import aggregate_units, resolve_views
 from triplicate.sources.scratch import cut
+from triplicate.sources.contested_items import contested_items, groups_sql
 from triplicate.sources.line_items import ITEMS_SQL, line_items, table
 
 
@@ -128,6 +129,21 @@ def match_groups(spark, sf_dir):
     return match_units(units(spark, sf_dir)).select("project_id", "design_id", "order_id", "ack_id", "status")
 
 
+def _contested(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    u = cut(aggregate_units(contested_items(spark, sf_dir)))
+    return u, match_units(u)
+
+
+def contested_groups(spark, sf_dir):
+    """Groups where codes repeat, are substituted, spelled otherwise or listed with the maker's code: most are decided in order."""
+    return _contested(spark, sf_dir)[1].select("project_id", "design_id", "order_id", "ack_id", "status")
+
+
+def contested_differences(spark, sf_dir):
+    u, groups = _contested(spark, sf_dir)
+    return discrepancies(cut(with_members(groups, u))).groupBy("field", "introduced_at", "severity").agg(F.count("*").alias("n"))
+
+
 def match_status_counts(spark, sf_dir):
     return match_units(units(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -244,6 +260,9 @@ SQL = {
     "quantities": "SELECT * FROM (VALUES (1, 1), (2, 1), (3, 2), (4, 12), (5, 3), (6, NULL), (7, 3), (8, 2), (9, NULL), (10, NULL)) AS t(id, quantity)",
     "scope": f"WITH {ITEMS_SQL} SELECT item_id FROM items i WHERE side = 'DESIGN' AND EXISTS (SELECT 1 FROM items j WHERE j.project_id = i.project_id AND side <> 'DESIGN' AND finish IS NOT NULL) AND (ord = 1 OR NOT EXISTS (SELECT 1 FROM items j WHERE j.project_id = i.project_id AND side <> 'DESIGN' AND split_part(j.finish, ' ', 1) = i.finish))",
     "match_groups": f"{_GROUPS} SELECT project_id, design_id, order_id, ack_id, {_STATUS} AS status FROM pairs",
+    "contested_groups": f"WITH {groups_sql()} SELECT project_id, design_id, order_id, ack_id, status FROM g",
+    "contested_differences": f"""WITH {groups_sql()}, f AS (SELECT string_split(unnest(found), '/') AS x FROM g)
+        SELECT x[1] AS field, x[2] AS introduced_at, x[3] AS severity, count(*) AS n FROM f GROUP BY ALL""",
     "match_status_counts": f"{_GROUPS} SELECT {_STATUS} AS status, count(*) AS n FROM pairs GROUP BY 1",
     "differences": f"{_ALL} SELECT project_id, design_id, order_id, ack_id, field, design_value, order_value, ack_value, introduced_at, severity FROM f",
     "final_state": f"{_FINAL} SELECT * FROM g",
@@ -254,5 +273,5 @@ SQL = {
 }
 QUERIES = [
     sku_normalize, size_parse, classify_parts, units_aggregate, views_resolved, code_pairs, size_pairs, item_pairs, spec_and_finish, quantities, scope,
-    match_groups, match_status_counts, differences, final_state, difference_summary, field_summary, project_progress,
+    match_groups, contested_groups, contested_differences, match_status_counts, differences, final_state, difference_summary, field_summary, project_progress,
 ]
