@@ -1,4 +1,4 @@
-from triplicate.streaming.activity import allowed, limited, limited_stream
+from triplicate.streaming.activity import allowed, fixed_window, limited, limited_stream
 
 
 def test_refused_hits_do_not_count():
@@ -14,3 +14,13 @@ def test_stream_and_table_agree(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("limited_out").collect())) == sorted(map(tuple, limited(df).collect()))
+
+
+def test_windows_begin_with_the_first_hit():
+    assert fixed_window([0, 1, 2, 9, 10, 11, 30], 2, 10.0)[0] == [True, True, False, False, True, True, True]
+    for rule in (allowed, fixed_window):
+        times, held, one_by_one = [0.0, 1.0, 2.0, 9.0, 10.0, 11.0, 12.0, 30.0], [], []
+        for t in times:
+            passed, held = rule([t], 2, 10.0, held)
+            one_by_one += passed
+        assert one_by_one == rule(times, 2, 10.0)[0]

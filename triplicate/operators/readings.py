@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplicate.functions.text import leading_line_number, normalize_quantity, normalize_sku, normalize_text
+from triplicate.sources.scratch import cut
 
 #: Fields that are compared, and those of them for which the text reading is preferred.
 FIELDS = ("sku", "quantity", "description", "finish", "door_style", "line_number")
@@ -13,19 +17,110 @@ TEXT_FIRST = ("sku", "quantity", "line_number")
 LARGE_QUANTITY, LONG_CODE = 500, 18
 
 
+#: Letters and digits that are read for one another.
+CONFUSED = ("0O", "1I", "1L", "5S", "8B", "2Z")
+#: Letters of a code that may be another, from its start, and how many of them at once.
+POSITIONS, SUBSTITUTIONS = 8, 2
+#: What page (2), description (2) and quantity (1) must come to before rows whose codes don't settle it are paired.
+LEAST_EVIDENCE, ALIKE = 3, 0.6
+
+
+def spellings(code: str | None) -> list[str]:
+    """The code and what it may have been, had up to ``SUBSTITUTIONS`` of its letters been misread."""
+    if not code:
+        return []
+    other: dict[str, str] = {}
+    for a, b in CONFUSED:
+        other[a], other[b] = other.get(a, "") + b, other.get(b, "") + a
+    at = [i for i, c in enumerate(code) if c in other][:POSITIONS]
+    found, last = {code}, {code}
+    for _ in range(SUBSTITUTIONS):
+        last = {s[:i] + c + s[i + 1 :] for s in last for i in at if s[i] == code[i] for c in other[code[i]]}
+        found |= last
+    return sorted(found)
+
+
+def likeness(a: str | None, b: str | None) -> float:
+    """How alike two texts are, from 0 to 1, by the longest blocks that they share; 0 if one says nothing."""
+    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
+def _score(page_a, text_a, quantity_a, page_b, text_b, quantity_b) -> int:
+    same = lambda x, y: x is not None and x == x and x == y
+    return 2 * same(page_a, page_b) + 2 * (likeness(text_a, text_b) >= ALIKE) + same(quantity_a, quantity_b)
+
+
+def _greedy(scored: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Pairs of most evidence first, each row once; ties in the rows' order."""
+    taken: tuple[set, set] = (set(), set())
+    out = []
+    for _, o, v in sorted(scored, key=lambda t: (-t[0], t[1], t[2])):
+        if o not in taken[0] and v not in taken[1]:
+            taken[0].add(o)
+            taken[1].add(v)
+            out.append((o, v))
+    return out
+
+
+def _facts(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """What rows are paired by; ``ord`` tells the rows of a document apart."""
+    return rows.select(
+        *keys, "ord", normalize_sku(F.col("sku")).alias("code"), F.col("page_number").cast("long").alias("page"),
+        normalize_text(F.col("description")).alias("said"), normalize_quantity(F.col("quantity").cast("string")).alias("count"),
+    )
+
+
 def align(ocr: DataFrame, vision: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
-    """Rows of both readings side by side (structs ``o`` and ``v``) where a code occurs once in each; others stand alone.
+    """Rows of both readings side by side (structs ``o`` and ``v``) with a ``basis``; what has no counterpart stands alone.
 
-    Every row of either reading comes out exactly once. Codes that repeat in a reading are paired in the order of
-    ``ord``, so counts that differ leave the later ones alone. One shuffle of each reading, by document and code.
+    A code that occurs once in each reading is a pair (EXACT_CODE). Where it repeats, rows are paired by evidence of page,
+    description and quantity (REPEATED_CODE), never by their order. What is left is paired on the same page by codes
+    that may have been misread (MISREAD_CODE), with such evidence too. Every row comes out exactly once. One task
+    compares the rows of a document that repeat one code; of misread codes only pairs that have evidence.
     """
-    def ranked(df: DataFrame, name: str) -> DataFrame:
-        code = normalize_sku(F.col("sku"))
-        own = F.coalesce(code, F.concat(F.lit(f"#{name}"), F.col("ord").cast("string")))
-        w = Window.partitionBy(*keys, "code").orderBy("ord")
-        return df.withColumn("code", own).withColumn("nth", F.row_number().over(w)).select(*keys, "code", "nth", F.struct(*df.columns).alias(name))
-
-    return ranked(ocr, "o").join(ranked(vision, "v"), [*keys, "code", "nth"], "full")
+    one, other = cut(_facts(ocr, keys)), cut(_facts(vision, keys))
+    by_code = Window.partitionBy(*keys, "code")
+    o, v = (f.where("code is not null").withColumn("n", F.count("*").over(by_code)) for f in (one, other))
+    single = o.where("n = 1").select(*keys, "code", F.col("ord").alias("o_ord")).join(v.where("n = 1").select(*keys, "code", F.col("ord").alias("v_ord")), [*keys, "code"])
+    exact = single.select(*keys, "o_ord", "v_ord", F.lit("EXACT_CODE").alias("basis"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in one.select(*keys).schema)
+    found = f"{types}, o_ord {dict(one.dtypes)['ord']}, v_ord {dict(other.dtypes)['ord']}, basis string"
+
+    def repeated(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = lambda d: list(d[["ord", "page", "said", "count"]].itertuples(index=False, name=None))
+        scored = []
+        if len(a) and len(b) and len(a) + len(b) > 2:
+            scored = [(s, x[0], y[0]) for x in rows(a) for y in rows(b) if (s := _score(*x[1:], *y[1:])) >= LEAST_EVIDENCE]
+        return pd.DataFrame([(*key[:-1], x, y, "REPEATED_CODE") for x, y in _greedy(scored)], columns=[*keys, "o_ord", "v_ord", "basis"])
+
+    group = lambda d: d.select(*keys, "code", "ord", "page", "said", "count").groupBy(*keys, "code")
+    pairs = cut(exact.unionByName(group(o).cogroup(group(v)).applyInPandas(repeated, found)))
+
+    left = one.join(pairs.select(*keys, F.col("o_ord").alias("ord")), [*keys, "ord"], "left_anti")
+    right = other.join(pairs.select(*keys, F.col("v_ord").alias("ord")), [*keys, "ord"], "left_anti")
+
+    @F.pandas_udf("array<string>")
+    def misread(codes: pd.Series) -> pd.Series:
+        return codes.map(spellings)
+
+    @F.pandas_udf("int")
+    def evidence(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([2 + 2 * (likeness(w, x) >= ALIKE) + (y is not None and y == y and y == z) for w, x, y, z in zip(a, b, c, d, strict=True)], dtype="int32")
+
+    maybe = left.where("code is not null and page is not null").select(*keys, "page", F.col("ord").alias("o_ord"), F.col("said").alias("o_said"), F.col("count").alias("o_count"), F.explode(misread("code")).alias("code"))
+    seen = right.select(*keys, "page", "code", F.col("ord").alias("v_ord"), F.col("said").alias("v_said"), F.col("count").alias("v_count"))
+    scored = maybe.join(seen, [*keys, "page", "code"]).withColumn("score", evidence("o_said", "v_said", "o_count", "v_count")).where(F.col("score") >= LEAST_EVIDENCE)
+
+    def by_score(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        chosen = _greedy(list(d[["score", "o_ord", "v_ord"]].itertuples(index=False, name=None)))
+        return pd.DataFrame([(*key, x, y, "MISREAD_CODE") for x, y in chosen], columns=[*keys, "o_ord", "v_ord", "basis"])
+
+    pairs = cut(pairs.unionByName(scored.select(*keys, "score", "o_ord", "v_ord").groupBy(*keys).applyInPandas(by_score, found)))
+    rows = lambda df, name: df.select(*keys, F.col("ord").alias(f"{name}_ord"), F.struct(*df.columns).alias(name))
+    with_o = rows(ocr, "o").join(pairs, [*keys, "o_ord"], "left")
+    whole = with_o.join(rows(vision, "v"), [*keys, "v_ord"], "full")
+    alone = F.when(F.col("o").isNull(), "VISION_ONLY").when(F.col("v").isNull(), "OCR_ONLY").otherwise(F.col("basis"))
+    return whole.select(*keys, "o", "v", alone.alias("basis"))
 
 
 def _norm(field: str, c: Column) -> Column:
@@ -48,9 +143,8 @@ def merge(aligned: DataFrame, spatial: bool = False) -> DataFrame:
         picked.append(F.coalesce(given(first), given(second)).alias(f))
         conflicts.append(F.when(_norm(f, o[f].cast("string")) != _norm(f, v[f].cast("string")), F.lit(f)))
     found = F.array_compact(F.array(*conflicts))
-    basis = F.when(o.isNull(), "VISION_ONLY").when(v.isNull(), "OCR_ONLY").otherwise("EXACT_CODE")
     return aligned.select(
-        *[c for c in aligned.columns if c not in ("o", "v", "code", "nth")], *picked, basis.alias("basis"), found.alias("conflicts"),
+        *[c for c in aligned.columns if c not in ("o", "v", "basis")], *picked, "basis", found.alias("conflicts"),
         F.when(F.size(found) > 0, "UNCERTAIN").otherwise("VERIFIED").alias("verdict"),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from triplicate.operators import dictionary, readings
 from triplicate.plans import reconciliation as r
 from triplicate.sources.line_items import table
-from triplicate.streaming.activity import limited, recent_hits, windowed_counts
+from triplicate.streaming.activity import fixed_window, limited, recent_hits, windowed_counts
 
 _STATES = ("O", "F", "P", "X")
 
@@ -61,6 +61,10 @@ def sliding_limiter(spark, sf_dir):
     return limited(table(spark, sf_dir, "events"))
 
 
+def window_limiter(spark, sf_dir):
+    return limited(table(spark, sf_dir, "events"), rule=fixed_window)
+
+
 def job_state(spark, sf_dir):
     """Each user's state: the first final event (purchase or error), which nothing after it changes, else the last one."""
     at = F.struct("ts", "event_id")
@@ -166,7 +170,7 @@ def _readings(spark, sf_dir):
     rows = r.line_items(spark, sf_dir)
     one = lambda side: rows.where(F.col("side") == side).select(
         F.col("project_id").alias("document_id"), "ord", F.regexp_replace(F.upper(F.trim("raw_sku")), "[^A-Z0-9]", "").alias("sku"), F.col("quantity").cast("string").alias("quantity"),
-        "description", "finish", "door_style", F.col("ord").cast("string").alias("line_number"),
+        F.lit(1).alias("page_number"), "description", "finish", "door_style", F.col("ord").cast("string").alias("line_number"),
     )
     return one("DESIGN"), one("ACK")
 
@@ -177,6 +181,22 @@ def readings_merged(spark, sf_dir):
     return m.select("document_id", "sku", "quantity", "finish", "basis", F.array_join("conflicts", ",").alias("conflicts"), "verdict")
 
 
+def readings_paired(spark, sf_dir):
+    """Two readings of pages on which codes repeat and are misread."""
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
+    one = rows.select(
+        F.col("l_orderkey").alias("document_id"), n.alias("ord"), F.when(n % 3 == 0, F.concat(F.lit("B0S"), n)).otherwise("REP-9").alias("sku"), n.alias("page_number"),
+        F.concat(F.lit("base "), F.repeat(F.lit("oak "), n)).alias("description"), (F.col("k") % 9).cast("string").alias("quantity"),
+    )
+    other = rows.where("k % 5 <> 0").select(
+        F.col("l_orderkey").alias("document_id"), (100 - n).alias("ord"), F.when(n % 3 == 0, F.concat(F.lit("BO5"), n)).otherwise("REP-9").alias("sku"), F.when(F.col("k") % 7 == 0, n + 50).otherwise(n).alias("page_number"),
+        F.lit("zzz").alias("description"), (F.col("k") % 9).cast("string").alias("quantity"),
+    )
+    a = readings.align(one, other)
+    return a.select("document_id", F.col("o.ord").alias("o"), F.col("v.ord").alias("v"), "basis")
+
+
 def readings_issues(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.when(F.col("l_partkey") % 7 != 0, F.concat(F.lit("ABCDEFGHIJKLMN"), F.col("l_partkey"))).alias("sku"), (F.col("l_quantity") * 12 - 30).cast("int").alias("quantity"), (F.col("l_discount") * 20 - 0.5).alias("confidence")
@@ -220,13 +240,18 @@ SQL = {
           concat_ws(',', CASE WHEN o.quantity <> v.quantity THEN 'quantity' END, CASE WHEN upper(o.finish) <> upper(v.finish) THEN 'finish' END, CASE WHEN upper(o.door_style) <> upper(v.door_style) THEN 'door_style' END) AS conflicts
         FROM (SELECT * FROM t WHERE side = 'DESIGN') o FULL JOIN (SELECT * FROM t WHERE side = 'ACK') v ON o.document_id = v.document_id AND o.sku = v.sku)
         SELECT *, CASE WHEN conflicts = '' THEN 'VERIFIED' ELSE 'UNCERTAIN' END AS verdict FROM j""",
+    "readings_paired": """WITH r AS (SELECT l_orderkey AS document_id, l_linenumber AS n, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2),
+        s AS (SELECT *, n % 3 = 0 AS misread, k % 5 <> 0 AS seen, count(*) FILTER (n % 3 <> 0) OVER w AS ro, count(*) FILTER (n % 3 <> 0 AND k % 5 <> 0) OVER w AS rv FROM r WINDOW w AS (PARTITION BY document_id)),
+        t AS (SELECT *, CASE WHEN misread THEN CASE WHEN seen AND k % 7 <> 0 THEN 'MISREAD_CODE' END WHEN ro = 1 AND rv = 1 AND seen THEN 'EXACT_CODE' WHEN seen AND k % 7 <> 0 THEN 'REPEATED_CODE' END AS basis FROM s)
+        SELECT document_id, n AS o, CASE WHEN basis IS NOT NULL THEN 100 - n END AS v, coalesce(basis, 'OCR_ONLY') AS basis FROM t
+        UNION ALL SELECT document_id, NULL, 100 - n, 'VISION_ONLY' FROM t WHERE seen AND basis IS NULL""",
     "readings_issues": """WITH t AS (SELECT CASE WHEN l_partkey % 7 <> 0 THEN 'ABCDEFGHIJKLMN' || l_partkey END AS sku, CAST(trunc(l_quantity * 12 - 30) AS INT) AS q, l_discount * 20 - 0.5 AS c FROM lineitem)
         SELECT issue, count(*) AS n FROM (SELECT 'EMPTY_SKU' AS issue FROM t WHERE sku IS NULL UNION ALL SELECT 'SUSPICIOUS_MERGED_SKU' FROM t WHERE length(sku) > 18
           UNION ALL SELECT CASE WHEN q < 0 THEN 'NEGATIVE_QUANTITY' ELSE 'UNUSUALLY_LARGE_QUANTITY' END FROM t WHERE q < 0 OR q > 500 UNION ALL SELECT 'OUT_OF_BOUNDS_CONFIDENCE' FROM t WHERE c < 0 OR c > 1) GROUP BY 1""",
     "organization_counts": "SELECT c_nationkey AS organization_id, count(DISTINCT c_custkey) AS members, count(o_orderkey) AS projects FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
 }
 QUERIES = [
-    project_states, project_search, project_recent, audit_page, audit_rollup, activity_daily, activity_windows, sliding_hits, sliding_limiter, job_state, stale_jobs,
+    project_states, project_search, project_recent, audit_page, audit_rollup, activity_daily, activity_windows, sliding_hits, sliding_limiter, window_limiter, job_state, stale_jobs,
     usage_cost, report_rows, bulk_accept, actionable, dictionary_lookup, dictionary_import, header_names, document_cache, page_states, page_anchors, line_gaps,
-    first_seen, readings_merged, readings_issues, organization_counts,
+    first_seen, readings_merged, readings_paired, readings_issues, organization_counts,
 ]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from triplicate.plans import reconciliation, services
+from triplicate.plans import projects, reconciliation, services
 
-_PLANS = (reconciliation, services)
+_PLANS = (reconciliation, services, projects)
 
 
 def queries() -> dict:

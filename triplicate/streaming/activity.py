@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -35,15 +36,39 @@ def allowed(times: list[float], limit: int, seconds: float, kept: list[float] |
     return out, kept
 
 
-def limited(events: DataFrame, limit: int = 3, seconds: float = 3600.0) -> DataFrame:
-    """event_id, user_id and whether each event passes its user's sliding limit, over a table. State is at most ``limit`` times."""
+def fixed_window(times: list[float], limit: int, seconds: float, kept: list[float] | None = None) -> tuple[list[bool], list[float]]:
+    """Whether each hit passes a limit in windows that begin with a user's first hit after the last one; the window so far."""
+    kept, out = list(kept or []), []
+    for t in times:
+        if not kept or t >= kept[0] + seconds:
+            kept = [t]
+        else:
+            kept.append(t)
+        out.append(len(kept) <= limit)
+        kept = kept[: limit + 1]
+    return out, kept
+
+
+def limited(events: DataFrame, limit: int = 3, seconds: float = 3600.0, rule: Callable = allowed) -> DataFrame:
+    """event_id, user_id and whether each event passes its user's limit, over a table.
+
+    Events stream through by user and time; what is held of a user is the hits that ``rule`` keeps, a few numbers.
+    """
+    schema = pa.schema([("event_id", pa.int64()), ("user_id", pa.int64()), ("passes", pa.bool_())])
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        passes, _ = allowed([t.timestamp() for t in rows["ts"]], limit, seconds)
-        return rows[["event_id", "user_id"]].assign(passes=passes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, kept = None, []
+        for batch in batches:
+            passes: list[bool] = []
+            for u, t in zip(batch.column("user_id").to_pylist(), batch.column("micros").to_pylist(), strict=True):
+                if u != user:
+                    user, kept = u, []
+                passed, kept = rule([t / 1e6], limit, seconds, kept)
+                passes += passed
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("user_id"), pa.array(passes, pa.bool_())], schema=schema)
 
-    return events.groupBy("user_id").applyInPandas(one, "event_id long, user_id long, passes boolean")
+    rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "micros", "event_id").mapInArrow(run, "event_id long, user_id long, passes boolean")
 
 
 def limited_stream(events: DataFrame, limit: int = 3, seconds: float = 3600.0) -> DataFrame:
