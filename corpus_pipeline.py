@@ -24,27 +24,47 @@ def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that a model of the labelled ones takes for toxic."""
+    """Drops documents that a model of the labelled ones takes for toxic.
+
+    A null text counts as empty and stays null; repeated rows are judged alike; an empty table gives no rows; columns may
+    have any names.
+    """
     return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: similarity of five-word shingles of 0.8 or more."""
+    """Keeps one document of each group of near-duplicates: similarity of five-word shingles of 0.8 or more.
+
+    Null, empty and blank texts are one group; rows that repeat the doc_id that stays, stay with it; an empty table gives
+    no rows; columns may have any names.
+    """
     return drop_near_duplicates(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages out of documents that an earlier document holds."""
+    """Cuts passages out of documents that an earlier document holds.
+
+    All rows stay; a null text stays null, an empty one empty; rows that share a doc_id take nothing from one another; a
+    null doc_id comes after all; an empty table gives no rows; columns may have any names.
+    """
     return _counted(docs, remove_duplicates(docs))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by their kinds."""
+    """Replaces personal data by their kinds.
+
+    All rows stay; a null text stays null; repeated rows are treated alike; an empty table gives no rows; columns may
+    have any names.
+    """
     return _counted(docs, redact_pii(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """Packs the documents' tokens into sequences.
+
+    A null or empty text is one token, its end; repeated rows are packed each for itself; an empty table gives no rows;
+    columns besides doc_id and text are not read.
+    """
     return pack(docs)
 
 

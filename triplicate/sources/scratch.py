@@ -16,6 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if named is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
     path = f"{named or spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
