@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from triplicate.functions.text import leading_line_number, normalize_quantity, normalize_sku, normalize_text
 from triplicate.sources.scratch import cut
@@ -70,6 +74,31 @@ def _facts(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _grouped(rows: DataFrame, by: list[str], rest: list[str], pair: Callable[[list[tuple]], list[tuple[int, int]]], basis: str, schema: StructType) -> DataFrame:
+    """Pairs within each value of ``by``, as rows stream through a value at a time; ``schema`` begins with leading ones of ``by``."""
+    arrow = to_arrow_schema(schema)
+    kept = len(schema) - 3
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = ()
+        group: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*by, *rest)), strict=True):
+                if row[: len(by)] != held:
+                    out += [(*held[:kept], x, y, basis) for x, y in pair(group)]
+                    held, group = row[: len(by)], []
+                group.append(row[len(by) :])
+            yield made(out)
+        yield made([(*held[:kept], x, y, basis) for x, y in pair(group)])
+
+    return rows.select(*by, *rest).repartition(*by).sortWithinPartitions(*by, *rest[:2]).mapInArrow(run, schema)
+
+
 def align(ocr: DataFrame, vision: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """Rows of both readings side by side (structs ``o`` and ``v``) with a ``basis``; what has no counterpart stands alone.
 
@@ -83,18 +112,16 @@ def align(ocr: DataFrame, vision: DataFrame, keys: tuple[str, ...] = ("document_
     o, v = (f.where("code is not null").withColumn("n", F.count("*").over(by_code)) for f in (one, other))
     single = o.where("n = 1").select(*keys, "code", F.col("ord").alias("o_ord")).join(v.where("n = 1").select(*keys, "code", F.col("ord").alias("v_ord")), [*keys, "code"])
     exact = single.select(*keys, "o_ord", "v_ord", F.lit("EXACT_CODE").alias("basis"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in one.select(*keys).schema)
-    found = f"{types}, o_ord {dict(one.dtypes)['ord']}, v_ord {dict(other.dtypes)['ord']}, basis string"
+    found = StructType([*one.select(*keys).schema, StructField("o_ord", one.schema["ord"].dataType), StructField("v_ord", other.schema["ord"].dataType), StructField("basis", StringType())])
+    repeats = o.where("n > 1").select(*keys, "code").unionByName(v.where("n > 1").select(*keys, "code")).distinct()
+    marked = lambda d, side: d.join(repeats, [*keys, "code"], "left_semi").withColumn("side", F.lit(side))
 
-    def repeated(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda d: list(d[["ord", "page", "said", "count"]].itertuples(index=False, name=None))
-        scored = []
-        if len(a) and len(b) and len(a) + len(b) > 2:
-            scored = [(s, x[0], y[0]) for x in rows(a) for y in rows(b) if (s := _score(*x[1:], *y[1:])) >= LEAST_EVIDENCE]
-        return pd.DataFrame([(*key[:-1], x, y, "REPEATED_CODE") for x, y in _greedy(scored)], columns=[*keys, "o_ord", "v_ord", "basis"])
+    def repeated(group: list[tuple]) -> list[tuple[int, int]]:
+        a, b = ([r[1:] for r in group if r[0] == side] for side in (0, 1))
+        return _greedy([(s, x[0], y[0]) for x in a for y in b if (s := _score(*x[1:], *y[1:])) >= LEAST_EVIDENCE])
 
-    group = lambda d: d.select(*keys, "code", "ord", "page", "said", "count").groupBy(*keys, "code")
-    pairs = cut(exact.unionByName(group(o).cogroup(group(v)).applyInPandas(repeated, found)))
+    both = marked(o, 0).unionByName(marked(v, 1))
+    pairs = cut(exact.unionByName(_grouped(both, [*keys, "code"], ["side", "ord", "page", "said", "count"], repeated, "REPEATED_CODE", found)))
 
     left = one.join(pairs.select(*keys, F.col("o_ord").alias("ord")), [*keys, "ord"], "left_anti")
     right = other.join(pairs.select(*keys, F.col("v_ord").alias("ord")), [*keys, "ord"], "left_anti")
@@ -111,11 +138,7 @@ def align(ocr: DataFrame, vision: DataFrame, keys: tuple[str, ...] = ("document_
     seen = right.select(*keys, "page", "code", F.col("ord").alias("v_ord"), F.col("said").alias("v_said"), F.col("count").alias("v_count"))
     scored = maybe.join(seen, [*keys, "page", "code"]).withColumn("score", evidence("o_said", "v_said", "o_count", "v_count")).where(F.col("score") >= LEAST_EVIDENCE)
 
-    def by_score(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        chosen = _greedy(list(d[["score", "o_ord", "v_ord"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(*key, x, y, "MISREAD_CODE") for x, y in chosen], columns=[*keys, "o_ord", "v_ord", "basis"])
-
-    pairs = cut(pairs.unionByName(scored.select(*keys, "score", "o_ord", "v_ord").groupBy(*keys).applyInPandas(by_score, found)))
+    pairs = cut(pairs.unionByName(_grouped(scored, list(keys), ["score", "o_ord", "v_ord"], _greedy, "MISREAD_CODE", found)))
     rows = lambda df, name: df.select(*keys, F.col("ord").alias(f"{name}_ord"), F.struct(*df.columns).alias(name))
     with_o = rows(ocr, "o").join(pairs, [*keys, "o_ord"], "left")
     whole = with_o.join(rows(vision, "v"), [*keys, "v_ord"], "full")
