@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from triplicate.functions import dimensions, text
 from triplicate.functions.classification import classify
+from triplicate.functions.equivalence import item_match, with_features
+from triplicate.operators.dictionary import header_column
 
 
 def one(spark, column, *values):
@@ -48,3 +50,28 @@ def test_categories(spark):
     )
     found = [r[0] for r in rows.select(classify(F.col("s"), F.col("d"))["category"]).collect()]
     assert found == ["COMMERCIAL_CHARGE", "PANEL", "CABINET", "FILLER", "ACCESSORY", "FILLER", "MOLDING", "CABINET", "UNKNOWN", "MOLDING"]
+
+
+def test_specs(spark):
+    assert one(spark, text.normalize_spec, "ply", "QS-OAK", "hard maple", "sc", " Walnut ", None, "-") == ["PLYWOOD", "QUARTER SAWN OAK", "MAPLE", "SOFT-CLOSE", "WALNUT", None, None]
+    assert one(spark, text.canonical_finish, "Dewdrop", "Jamestown  PHW Dewdrop", "N/A", "apex oak jute fx", "ALPINE") == ["DEWDROP", "DEWDROP", None, "JUTE", "ALPINE"]
+
+
+def test_headers(spark):
+    rows = spark.createDataFrame([(1, "Item #"), (2, "SKU"), (3, "Product Type"), (4, "Desc."), (5, "Weight"), (6, "Cabinet Code")], "id int, header string")
+    assert [r.field for r in header_column(rows).orderBy("id").collect()] == ["code", "code", "category", "description", None, "code"]
+
+
+def test_items(spark):
+    cases = [
+        ("B36-1TD", None, "B36 1TD", None, None, "NORMALIZED_EXACT"), ("B361TD", None, "B36 1TD", None, None, "NORMALIZED_EXACT"), ("CAB-24-L", None, "CAB-24-R", None, None, "ORIENTATION_MISMATCH"),
+        ("BASE123", None, "WALL123", None, None, "NO_MATCH"), ("SB33", None, "SB33 BUTT", None, None, "NORMALIZED_EXACT"), ("BFHC12", "HUTCH COLUMN BASE 12", "BPFHC12", "HUTCH COLUMN BASE 12", None, "MANUFACTURER_VARIANT"),
+        (None, "wall end panel", None, "WALL  END PANEL", None, "NORMALIZED_EXACT"), (None, None, None, None, None, "BOTH_EMPTY"), ("W30", None, None, None, None, "ONE_EMPTY"), ("W3030", None, "X77", None, "W3030", "EXPLICIT_SUBSTITUTION"),
+        ("W36", "WALL DOOR BASE", "V24", "WALL DOOR BASE", None, "DIMENSION_CONFLICT"), ("BPS12", "PANEL BASE 12", "BP52", "PANEL BASE 12", None, "MANUFACTURER_VARIANT"), ("b36  butt", None, "B36 BUTT", None, None, "EXACT"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, s1 string, t1 string, s2 string, t2 string, sub string, wanted string")
+    side = lambda n: (F.col(f"s{n}").alias("raw_sku"), F.col(f"t{n}").alias("description"), F.lit("CABINET").alias("category"), dimensions.parse(F.lit(None).cast("string")).alias("dimensions"))
+    a = with_features(rows.select("i", "wanted", *side(1))).select("i", "wanted", F.col("f").alias("a"))
+    b = with_features(rows.select("i", "sub", *side(2)), substitution="sub").select("i", F.col("f").alias("b"))
+    found = a.join(b, "i").select("i", "wanted", item_match(F.col("a"), F.col("b")).alias("found")).orderBy("i").collect()
+    assert [(r.i, r.found) for r in found] == [(r.i, r.wanted) for r in found]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplicate.functions import classification as rules
 from triplicate.functions import dimensions as dims
 from triplicate.functions.classification import classify
 from triplicate.functions.equivalence import code_match, item_match, with_features
-from triplicate.functions.text import canonical_finish, normalize_quantity, normalize_sku, normalize_spec, sku_tokens
+from triplicate.functions.text import FINISH_ALIASES, SPEC_ALIASES, UNSPECIFIED, canonical_finish, normalize_quantity, normalize_sku, normalize_spec, sku_tokens
 from triplicate.operators.crosscheck import discrepancies, finalize, with_members
 from triplicate.operators.matching import match_units, split_scope
 from triplicate.operators.units import aggregate_units, resolve_views
@@ -89,34 +89,60 @@ def size_pairs(spark, sf_dir):
     return pairs.select("project_id", "ord", dims.reason(F.col("d.dimensions"), F.col("o.dimensions")).alias("reason"))
 
 
-def item_pairs(spark, sf_dir):
-    """Literal cases of every way that two items match or don't."""
-    rows = spark.createDataFrame(
-        [
-            (1, "B36-1TD", None, "B36 1TD", None, None), (2, "B361TD", None, "B36 1TD", None, None), (3, "CAB-24-L", None, "CAB-24-R", None, None),
-            (4, "BASE123", None, "WALL123", None, None), (5, "SB33", None, "SB33 BUTT", None, None), (6, "BFHC12", "HUTCH COLUMN BASE 12", "BPFHC12", "HUTCH COLUMN BASE 12", None),
-            (7, None, "wall end panel", None, "WALL  END PANEL", None), (8, None, None, None, None, None), (9, "W30", None, None, None, None), (10, "W3030", None, "X77", None, "W3030"),
-            (11, "W36", "WALL DOOR BASE", "V24", "WALL DOOR BASE", None), (12, "BPS12", "PANEL BASE 12", "BP52", "PANEL BASE 12", None), (13, "b36  butt", None, "B36 BUTT", None, None),
-        ],
-        "id int, s1 string, t1 string, s2 string, t2 string, sub string",
+def _versions(spark, sf_dir) -> DataFrame:
+    """Two versions of each part: code and description of both, and what the second one substitutes."""
+    k, size = F.col("p_partkey"), F.col("p_size") + 10
+    text = lambda pattern: F.format_string(pattern, k)
+    sized = lambda pattern, n=size: F.format_string(pattern, n)
+    named, none = F.concat("p_name", F.lit(" panel")), F.lit(None).cast("string")
+    ways = (
+        (text("B36-%dTD"), none, text("b36 %dtd"), none, none), (text("B36%dTD"), none, text("B36 %dTD"), none, none),
+        (sized("CAB-%d-L"), none, sized("CAB-%d-R"), none, none), (text("BASE%d"), none, text("WALL%d"), none, none),
+        (sized("SB%d"), none, sized("SB%d BUTT"), none, none), (none, named, none, F.upper(named), none), (none, none, none, none, none),
+        (text("W%d"), none, none, none, none), (text("W%d"), none, F.lit("X77"), none, text("w%d")),
+        (sized("W%d"), F.lit("WALL DOOR BASE"), sized("V%d", size + 60), F.lit("WALL DOOR BASE"), none), (text("b%d  butt"), none, text("B%d BUTT"), none, none),
+        (sized("BFHC%d"), F.lit("HUTCH COLUMN BASE"), sized("BPFHC%d"), F.lit("HUTCH COLUMN BASE"), none),
     )
-    size = dims.parse(F.lit(None).cast("string"))
-    a = with_features(rows.select("id", F.col("s1").alias("raw_sku"), F.col("t1").alias("description"), F.lit("CABINET").alias("category"), size.alias("dimensions")))
-    b = with_features(rows.select("id", F.col("s2").alias("raw_sku"), F.col("t2").alias("description"), F.lit("CABINET").alias("category"), size.alias("dimensions"), F.col("sub").alias("substitution_sku")), substitution="substitution_sku")
-    return a.select("id", F.col("f").alias("a")).join(b.select("id", F.col("f").alias("b")), "id").select("id", item_match(F.col("a"), F.col("b")).alias("match"))
+    nth = (k % len(ways) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(w[i] for w in ways)), nth)
+    return table(spark, sf_dir, "part").select("p_partkey", *(pick(i).alias(c) for i, c in enumerate(("s1", "t1", "s2", "t2", "sub"))))
+
+
+def item_pairs(spark, sf_dir):
+    """How two versions of each part match."""
+    rows = _versions(spark, sf_dir)
+    side = lambda n: (F.col(f"s{n}").alias("raw_sku"), F.col(f"t{n}").alias("description"), F.lit("CABINET").alias("category"), dims.parse(F.lit(None).cast("string")).alias("dimensions"))
+    one = with_features(rows.select("p_partkey", *side(1))).select("p_partkey", F.col("f").alias("a"))
+    other = with_features(rows.select("p_partkey", "sub", *side(2)), substitution="sub").select("p_partkey", F.col("f").alias("b"))
+    return one.join(other, "p_partkey").select("p_partkey", item_match(F.col("a"), F.col("b")).alias("match"))
+
+
+#: Ways of writing a name; each part has one of them.
+_SPELLINGS = (F.lower, lambda c: F.concat(F.lit("  "), F.replace(c, F.lit(" "), F.lit("   "))), lambda c: F.concat(F.initcap(c), F.lit(" \t")))
+
+
+def _spelled(names) -> Column:
+    """One of the names for each part, spelled in one of the ways."""
+    k = F.col("p_partkey")
+    name = F.element_at(F.lit(list(names)), (k % len(names) + 1).cast("int"))
+    return F.element_at(F.array(*(f(name) for f in _SPELLINGS)), (F.floor(k / len(names)) % 3 + 1).cast("int"))
+
+
+_SPECS = (*SPEC_ALIASES, *UNSPECIFIED, "WALNUT", "RED  OAK")
+_FINISHES = (*FINISH_ALIASES, *UNSPECIFIED, "CASHMERE", "ALPINE")
 
 
 def spec_and_finish(spark, sf_dir):
-    rows = spark.createDataFrame(
-        [(1, "ply", "Dewdrop"), (2, "QS-OAK", "Jamestown  PHW Dewdrop"), (3, "hard maple", "N/A"), (4, "sc", "apex oak jute fx"), (5, " Walnut ", "Cashmere"), (6, None, None), (7, "-", "ALPINE")],
-        "id int, spec string, finish string",
-    )
-    return rows.select("id", normalize_spec(F.col("spec")).alias("spec"), canonical_finish(F.col("finish")).alias("finish"))
+    """Materials and finishes by their one names."""
+    parts = table(spark, sf_dir, "part")
+    return parts.select("p_partkey", normalize_spec(_spelled(_SPECS)).alias("spec"), canonical_finish(_spelled(_FINISHES)).alias("finish"))
 
 
 def quantities(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "01"), (2, "1.0"), (3, "Qty: 2"), (4, "QTY 12 EA"), (5, "3 PCS"), (6, "N/A"), (7, "-3"), (8, "2.5"), (9, ""), (10, None)], "id int, q string")
-    return rows.select("id", normalize_quantity(F.col("q")).alias("quantity"))
+    """Quantities read from the texts in which they are written."""
+    n = F.col("l_quantity").cast("int").cast("string")
+    ways = F.array(F.lpad(n, 3, "0"), F.concat(n, F.lit(".0")), F.concat(F.lit("Qty: "), n), F.concat(F.lit(" qty "), n, F.lit(" EA")), F.concat(F.lit("-"), n), F.lit("N/A"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", normalize_quantity(F.element_at(ways, (F.col("l_partkey") % 7 + 1).cast("int"))).alias("quantity"))
 
 
 def scope(spark, sf_dir):
@@ -193,6 +219,17 @@ def _classify_sql() -> str:
           CASE WHEN r IS NOT NULL THEN r[3] WHEN token IS NOT NULL THEN 'token' ELSE 'none' END AS rule FROM c"""
 
 
+def _aliases_sql() -> str:
+    """Names looked up in the same fixed values, after trimming, single spaces and upper case."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda names: "[" + ", ".join(map(quoted, names)) + "]"
+    known = lambda aliases: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in aliases.items())
+    written = lambda names: f"upper(regexp_replace(trim({listed(names)}[p_partkey % {len(names)} + 1]), '\\s+', ' ', 'g'))"
+    told = lambda c: f"CASE WHEN {c} NOT IN ({', '.join(map(quoted, UNSPECIFIED))}) THEN {c} END"
+    return f"""WITH t AS (SELECT p_partkey, {written(_SPECS)} AS s, {written(_FINISHES)} AS f FROM part), a AS (SELECT * FROM (VALUES {known(SPEC_ALIASES)}) AS x(raw, name)), b AS (SELECT * FROM (VALUES {known(FINISH_ALIASES)}) AS x(raw, name))
+        SELECT p_partkey, coalesce(a.name, {told('s')}) AS spec, coalesce(b.name, {told('f')}) AS finish FROM t LEFT JOIN a ON a.raw = s LEFT JOIN b ON b.raw = f"""
+
+
 _WRITTEN = ", pairs AS (SELECT project_id, ord, MAX(CASE WHEN side = 'DESIGN' THEN item_id END) AS design_id, MAX(CASE WHEN side = 'ORDER' THEN item_id END) AS order_id, MAX(CASE WHEN side = 'ACK' THEN item_id END) AS ack_id, ANY_VALUE(k) AS k FROM items GROUP BY project_id, ord)"
 _STATUS = "CASE WHEN design_id IS NOT NULL AND order_id IS NOT NULL THEN 'MATCHED' WHEN design_id IS NOT NULL AND ack_id IS NOT NULL THEN 'CHANGED' WHEN design_id IS NOT NULL THEN 'MISSING' ELSE 'EXTRA' END"
 _WIDE = """, w AS (
@@ -254,10 +291,18 @@ SQL = {
         FROM (SELECT i.*, regexp_extract(compact, 'B([0-9]+)N', 1) AS brand FROM items i) d JOIN (SELECT i.*, regexp_extract(compact, 'B([0-9]+)N', 1) AS brand FROM items i) o
           ON d.project_id = o.project_id AND abs(d.ord - o.ord) <= 1 AND d.side = 'DESIGN' AND o.side <> 'DESIGN'""",
     "size_pairs": f"WITH {ITEMS_SQL} SELECT d.project_id, d.ord, CASE WHEN d.width <> o.width THEN 'AXIS_WIDTH_MISMATCH' WHEN d.height <> o.height THEN 'AXIS_HEIGHT_MISMATCH' ELSE 'EXPLICIT_AXES_MATCH' END AS reason FROM items d JOIN items o USING (project_id, ord) WHERE d.side = 'DESIGN' AND o.side = 'ORDER'",
-    "item_pairs": """SELECT * FROM (VALUES (1, 'NORMALIZED_EXACT'), (2, 'NORMALIZED_EXACT'), (3, 'ORIENTATION_MISMATCH'), (4, 'NO_MATCH'), (5, 'NORMALIZED_EXACT'), (6, 'MANUFACTURER_VARIANT'), (7, 'NORMALIZED_EXACT'), (8, 'BOTH_EMPTY'), (9, 'ONE_EMPTY'),
-        (10, 'EXPLICIT_SUBSTITUTION'), (11, 'DIMENSION_CONFLICT'), (12, 'MANUFACTURER_VARIANT'), (13, 'EXACT')) AS t(id, match)""",
-    "spec_and_finish": """SELECT * FROM (VALUES (1, 'PLYWOOD', 'DEWDROP'), (2, 'QUARTER SAWN OAK', 'DEWDROP'), (3, 'MAPLE', NULL), (4, 'SOFT-CLOSE', 'JUTE'), (5, 'WALNUT', 'CASHMERE'), (6, NULL, NULL), (7, NULL, 'ALPINE')) AS t(id, spec, finish)""",
-    "quantities": "SELECT * FROM (VALUES (1, 1), (2, 1), (3, 2), (4, 12), (5, 3), (6, NULL), (7, 3), (8, 2), (9, NULL), (10, NULL)) AS t(id, quantity)",
+    "item_pairs": """WITH v AS (SELECT p_partkey, p_partkey AS k, p_size + 10 AS s, p_partkey % 12 AS w, p_name || ' panel' AS named FROM part),
+        t AS (SELECT p_partkey, ['B36-' || k || 'TD', 'B36' || k || 'TD', 'CAB-' || s || '-L', 'BASE' || k, 'SB' || s, NULL, NULL, 'W' || k, 'W' || k, 'W' || s, 'b' || k || '  butt', 'BFHC' || s][w + 1] AS s1,
+          ['b36 ' || k || 'td', 'B36 ' || k || 'TD', 'CAB-' || s || '-R', 'WALL' || k, 'SB' || s || ' BUTT', NULL, NULL, NULL, 'X77', 'V' || (s + 60), 'B' || k || ' BUTT', 'BPFHC' || s][w + 1] AS s2,
+          CASE w WHEN 5 THEN named WHEN 9 THEN 'WALL DOOR BASE' WHEN 11 THEN 'HUTCH COLUMN BASE' END AS t1, CASE w WHEN 5 THEN upper(named) WHEN 9 THEN 'WALL DOOR BASE' WHEN 11 THEN 'HUTCH COLUMN BASE' END AS t2, CASE w WHEN 8 THEN 'w' || k END AS sub FROM v),
+        n AS (SELECT *, upper(regexp_replace(trim(s1), '\\s+', ' ', 'g')) AS n1, upper(regexp_replace(trim(s2), '\\s+', ' ', 'g')) AS n2, regexp_replace(upper(s1), '[^A-Z0-9]', '', 'g') AS c1, regexp_replace(upper(s2), '[^A-Z0-9]', '', 'g') AS c2 FROM t)
+        SELECT p_partkey, CASE WHEN upper(sub) = c1 THEN 'EXPLICIT_SUBSTITUTION' WHEN s1 IS NULL AND s2 IS NULL THEN CASE WHEN upper(t1) = upper(t2) THEN 'NORMALIZED_EXACT' ELSE 'BOTH_EMPTY' END
+          WHEN s1 IS NULL OR s2 IS NULL THEN 'ONE_EMPTY' WHEN n1 = n2 THEN 'EXACT' WHEN c1 = c2 OR list_has_all(string_split(n2, ' '), string_split(n1, ' ')) THEN 'NORMALIZED_EXACT'
+          WHEN regexp_extract(n1, '-([LR])$', 1) <> regexp_extract(n2, '-([LR])$', 1) THEN 'ORIENTATION_MISMATCH'
+          WHEN t1 = t2 THEN CASE WHEN regexp_extract(n1, '[0-9]+') = regexp_extract(n2, '[0-9]+') THEN 'MANUFACTURER_VARIANT' ELSE 'DIMENSION_CONFLICT' END ELSE 'NO_MATCH' END AS match FROM n""",
+    "spec_and_finish": _aliases_sql(),
+    "quantities": """WITH t AS (SELECT l_orderkey, l_linenumber, CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR) AS n, l_partkey % 7 AS w FROM lineitem)
+        SELECT l_orderkey, l_linenumber, CASE WHEN w < 5 THEN CAST(n AS INT) END AS quantity FROM t""",
     "scope": f"WITH {ITEMS_SQL} SELECT item_id FROM items i WHERE side = 'DESIGN' AND EXISTS (SELECT 1 FROM items j WHERE j.project_id = i.project_id AND side <> 'DESIGN' AND finish IS NOT NULL) AND (ord = 1 OR NOT EXISTS (SELECT 1 FROM items j WHERE j.project_id = i.project_id AND side <> 'DESIGN' AND split_part(j.finish, ' ', 1) = i.finish))",
     "match_groups": f"{_GROUPS} SELECT project_id, design_id, order_id, ack_id, {_STATUS} AS status FROM pairs",
     "contested_groups": f"WITH {groups_sql()} SELECT project_id, design_id, order_id, ack_id, status FROM g",

@@ -131,9 +131,16 @@ def dictionary_import(spark, sf_dir):
     return dictionary.import_check(rows, existing).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+#: Headers of a catalogue: every name of a field in its letters alone, and others.
+_HEADERS = (*(n for names in dictionary.HEADERS.values() for n in names), "weight", "colour")
+
+
 def header_names(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "Item #"), (2, "SKU"), (3, "Product Type"), (4, "Desc."), (5, "Weight")], "id int, header string")
-    return dictionary.header_column(rows).select("id", "field")
+    """Which field a header names, for each part one of the headers, spelled with marks or followed by the part's name."""
+    k = F.col("p_partkey")
+    name = F.element_at(F.lit(list(_HEADERS)), (k % len(_HEADERS) + 1).cast("int"))
+    spelled = F.when(k % 5 == 0, F.concat_ws(" ", name, "p_name")).when(k % 2 == 0, F.concat(F.substring(F.upper(name), 1, 3), F.lit("_ "), F.substring(name, 4, 99), F.lit(" #"))).otherwise(name)
+    return dictionary.header_column(table(spark, sf_dir, "part").select("p_partkey", spelled.alias("header"))).select("p_partkey", "field")
 
 
 def document_cache(spark, sf_dir):
@@ -228,7 +235,7 @@ SQL = {
     "actionable": f"{_F} SELECT project_id, coalesce(design_id, order_id, ack_id) AS item, field, severity, introduced_at FROM f ORDER BY CASE severity WHEN 'Critical' THEN 1 WHEN 'Warning' THEN 3 ELSE 4 END, project_id, item, field, introduced_at LIMIT 100",
     "dictionary_lookup": "WITH e AS (SELECT * FROM (SELECT p_brand, upper(p_name) AS code, p_type, p_size, row_number() OVER (PARTITION BY p_brand, upper(p_name) ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0) WHERE n = 1) SELECT p.p_partkey, e.p_type AS found_category, CASE WHEN e.code IS NULL THEN NULL WHEN e.p_size % 2 = 0 THEN 'EXACT' ELSE 'ALIAS' END AS found_by FROM part p LEFT JOIN e ON e.p_brand = p.p_brand AND e.code = upper(p.p_name)",
     "dictionary_import": "WITH t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 <> 0 THEN upper(p_name || ' ' || p_brand) END AS code, p_partkey % 3 <> 2 AND p_partkey % 10 <> 0 AS valid FROM part), k AS (SELECT DISTINCT upper(p_name || ' ' || p_brand) AS code FROM part WHERE p_partkey % 50 = 1), n AS (SELECT t.*, row_number() OVER (PARTITION BY t.code, valid ORDER BY id) AS n, k.code IS NOT NULL AS known FROM t LEFT JOIN k ON k.code = t.code) SELECT CASE WHEN NOT valid THEN 'INVALID' WHEN n > 1 OR known THEN 'DUPLICATE' ELSE 'NEW' END AS verdict, count(*) AS n FROM n GROUP BY 1",
-    "header_names": "SELECT * FROM (VALUES (1, 'code'), (2, 'code'), (3, 'category'), (4, 'description'), (5, NULL)) AS t(id, field)",
+    "header_names": "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CASE " + " ".join(f"WHEN n IN {names} THEN '{field}'" for field, names in dictionary.HEADERS.items()) + f" END END AS field FROM (SELECT p_partkey, {list(_HEADERS)}[p_partkey % {len(_HEADERS)} + 1] AS n FROM part)",
     "document_cache": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "page_states": "SELECT lang, CASE WHEN length(text) = 0 THEN 'EMPTY' WHEN length(text) < 80 THEN 'SPARSE' ELSE 'READ' END AS state, count(*) AS pages, max(length(text)) AS longest FROM documents GROUP BY 1, 2",
     "page_anchors": "WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber AS page, l_partkey % 3 AS kind FROM lineitem) SELECT a.l_orderkey, a.page, min(b.page) AS anchor FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.kind = 0 AND b.kind = 1 AND b.page BETWEEN a.page + 1 AND a.page + 3 GROUP BY 1, 2",
