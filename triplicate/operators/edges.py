@@ -16,7 +16,7 @@ def equivalence_edges(units: DataFrame) -> DataFrame:
     """(project_id, pair, a, b, match, same_code): the equivalent pairs of units, ``pair`` by the first letters of sides.
 
     Every way to match implies a shared key that is one's own (see :func:`block_keys`), so own keys meet all keys in an
-    equi-join on project and key, in both directions, and each pair is judged once. ``listed`` says that the project's
+    equi-join on project and key, in both directions, and each pair is judged once, with features joined by unit. ``listed`` says that the project's
     order is a cabinet list; its orders then meet acknowledgements by the maker's code alone, and designs meet no
     acknowledgement. Units of one side are joined in both directions, and a unit with itself unless it has neither
     code nor description.
@@ -26,8 +26,9 @@ def equivalence_edges(units: DataFrame) -> DataFrame:
     by_maker = with_features(base.where((F.col("side") == "ORDER") & F.col("listed") & F.col("manuf_code").isNotNull()), "manuf_code", "substitution_sku")
     rows = plain.unionByName(by_maker.withColumn("role", F.lit("MAKER"))).select("project_id", "unit_id", "role", "listed", "f", block_keys(F.col("f")).alias("k"))
     rows = cut(rows.select("*", "k.keys", "k.own").drop("k"))
-    own = rows.withColumn("key", F.explode("own")).alias("a")
-    every = rows.withColumn("key", F.explode("keys")).alias("b")
+    thin = rows.drop("f")  # features travel once for each candidate pair, not once for each key
+    own = thin.withColumn("key", F.explode("own")).alias("a")
+    every = thin.withColumn("key", F.explode("keys")).alias("b")
     pairs = [(x, y, F.lit(True)) for x, y in PAIRS if "ACK" not in (x, y)]
     pairs += [("DESIGN", "ACK", ~F.col("a.listed")), ("ORDER", "ACK", ~F.col("a.listed")), ("MAKER", "ACK", F.lit(True))]
 
@@ -44,10 +45,12 @@ def equivalence_edges(units: DataFrame) -> DataFrame:
         one, other = ("b", "a") if mirrored else ("a", "b")
         return joined.where(F.col("a.key") == first).select(
             F.col("a.project_id").alias("project_id"), F.col(f"{one}.role").alias("role_a"), F.col(f"{other}.role").alias("role_b"),
-            F.col(f"{one}.unit_id").alias("a"), F.col(f"{other}.unit_id").alias("b"), F.col(f"{one}.f").alias("fa"), F.col(f"{other}.f").alias("fb"),
+            F.col(f"{one}.unit_id").alias("a"), F.col(f"{other}.unit_id").alias("b"),
         )
 
-    judged = met(False).unionByName(met(True)).select(
+    features = lambda n: rows.select("project_id", F.col("role").alias(f"role_{n}"), F.col("unit_id").alias(n), F.col("f").alias(f"f{n}"))
+    candidates = met(False).unionByName(met(True)).join(features("a"), ["project_id", "role_a", "a"]).join(features("b"), ["project_id", "role_b", "b"])
+    judged = candidates.select(
         "project_id",
         F.concat(F.translate(F.substring("role_a", 1, 1), "M", "O"), F.substring("role_b", 1, 1)).alias("pair"),
         "a",
