@@ -9,7 +9,7 @@ import pytest
 from triplicate.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-FAST = ("sku_normalize", "size_parse", "classify_parts", "item_pairs", "spec_and_finish", "quantities", "project_states", "activity_daily", "sliding_hits", "dictionary_import", "line_gaps", "readings_merged", "difference_summary", "contested_groups", "contested_differences", "readings_paired", "dictionary_decisions", "review_outcomes", "page_texts", "catalogue_rows")
+FAST = ("sku_normalize", "size_parse", "classify_parts", "item_pairs", "spec_and_finish", "quantities", "project_states", "activity_daily", "sliding_hits", "dictionary_import", "line_gaps", "readings_merged", "difference_summary", "contested_groups", "contested_differences", "readings_paired", "dictionary_decisions", "review_outcomes", "page_texts", "catalogue_rows", "displayed_texts", "field_sizes", "item_text_issues", "document_verdicts", "documents_reviewed")
 
 
 def _plain(v):

@@ -47,6 +47,20 @@ def parse(raw: Column) -> Column:
     )
 
 
+def parse_fields(fields: Column) -> Column:
+    """A size given by fields, a map of names to texts: long, short and capital names, quotes and units left aside.
+
+    Without axes and opening, the first text that isn't blank is parsed by :func:`parse`; null where that fails too.
+    """
+    named = lambda *names: F.coalesce(*(F.when(fields[n] != "", fields[n]) for n in names))
+    number = lambda c: F.regexp_extract(F.regexp_replace(c, "[\\\\\"']", ""), _NUMBER, 1).try_cast("double")
+    opening = trimmed(F.replace(named("opening", "Opening"), F.lit("\\"), F.lit("")))
+    axes = {a: number(named(a, a[0], a.capitalize(), a[0].upper())) for a in ("width", "height", "depth")}
+    whole = F.struct(*(c.alias(a) for a, c in axes.items()), opening.alias("opening"), F.lit("EXPLICIT").alias("axis_certainty"), F.to_json(fields).alias("raw"))
+    text = F.try_element_at(F.filter(F.map_values(fields), lambda v: trimmed(v) != ""), F.lit(1))
+    return F.when(F.coalesce(*axes.values(), F.when(opening != "", 0.0)).isNotNull(), whole).otherwise(parse(text))
+
+
 def reason(a: Column, b: Column) -> Column:
     """Why two parsed sizes agree or not. Only ``AXIS_..._MISMATCH`` and an unequal opening width contradict."""
     both = lambda axis: a[axis].isNotNull() & b[axis].isNotNull()

@@ -24,6 +24,7 @@ def with_members(groups: DataFrame, units: DataFrame) -> DataFrame:
             F.col("primary.finish").alias("finish"), F.col("primary.door_style").alias("door_style"), F.col("primary.species").alias("species"),
             F.col("primary.construction").alias("construction"), F.col("primary.drawer_box").alias("drawer_box"), F.col("primary.price").alias("price"),
             F.col("primary.quantity").alias("own_quantity"), F.col("primary.quantity_resolution").alias("quantity_resolution"), F.col("primary.substitution_sku").alias("own_substitution"),
+            F.col("primary.modifications").alias("modifications"), F.col("ord").alias("line"),
         )
     )
     for letter, side, key in _SIDES:
@@ -116,6 +117,11 @@ def discrepancies(members: DataFrame) -> DataFrame:
     )
 
 
+def truth() -> Column:
+    """What holds in the end: the acknowledgement's unit, else the order's, else the design's."""
+    return F.coalesce(F.when(F.col("ack_id").isNotNull(), F.col("a")), F.when(F.col("order_id").isNotNull(), F.col("o")), F.col("d"))
+
+
 _KEYS = ("project_id", "design_id", "order_id", "ack_id")
 
 
@@ -127,8 +133,7 @@ def finalize(members: DataFrame, found: DataFrame, promote: bool = True) -> Data
     """
     key = F.concat_ws("|", *(F.coalesce(c, F.lit("-")) for c in ("design_id", "order_id", "ack_id")))
     counts = found.groupBy("project_id", key.alias("__key")).agg(F.count("*").alias("n_discrepancies"))
-    truth = F.coalesce(F.when(F.col("ack_id").isNotNull(), F.col("a")), F.when(F.col("order_id").isNotNull(), F.col("o")), F.col("d"))
-    rows = members.withColumn("__key", key).withColumn("__truth", truth).join(counts, ["project_id", "__key"], "left")
+    rows = members.withColumn("__key", key).withColumn("__truth", truth()).join(counts, ["project_id", "__key"], "left")
     n = F.coalesce("n_discrepancies", F.lit(0)).cast("long")
     status = F.when((F.col("status") == "MATCHED") & (n > 0), "CHANGED").otherwise(F.col("status")) if promote else F.col("status")
     t = F.col("__truth")

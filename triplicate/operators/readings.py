@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from triplicate.functions.dimensions import parse
 from triplicate.functions.text import leading_line_number, normalize_quantity, normalize_sku, normalize_text
 from triplicate.sources.scratch import cut
 
@@ -173,18 +174,36 @@ def merge(aligned: DataFrame, spatial: bool = False) -> DataFrame:
 
 
 def issues(items: DataFrame) -> DataFrame:
-    """Adds ``issues``, what is wrong with each row's code, quantity and confidence, in a fixed order."""
-    sku, q = normalize_sku(F.col("sku")), F.col("quantity")
-    long_ = F.length(sku) > LONG_CODE
+    """Adds ``issues``, what is wrong with each row's code, quantity, size and confidence, in a fixed order.
+
+    Where there is ``quantity_text`` the quantity is read from it, and a text without one is INVALID_QUANTITY. Where
+    there is ``size_text``, a given text without a size is UNPARSEABLE_DIMENSIONS.
+    """
+    written, sized = "quantity_text" in items.columns, "size_text" in items.columns
+    sku, q = normalize_sku(F.col("sku")), normalize_quantity(F.col("quantity_text")) if written else F.col("quantity")
+    unread = F.col("quantity_text").isNotNull() & q.isNull() if written else F.lit(False)
     rules = [
         F.when(sku.isNull(), "EMPTY_SKU"),
-        F.when(long_ & ~sku.rlike("[ \\-_./]"), "SUSPICIOUS_MERGED_SKU"),
-        F.when(q < 0, "NEGATIVE_QUANTITY").when(q > LARGE_QUANTITY, "UNUSUALLY_LARGE_QUANTITY"),
+        F.when((F.length(sku) > LONG_CODE) & ~F.col("sku").rlike("[-/ _+]"), "SUSPICIOUS_MERGED_SKU"),
+        F.when(unread, "INVALID_QUANTITY").when(q < 0, "NEGATIVE_QUANTITY").when(q > LARGE_QUANTITY, "UNUSUALLY_LARGE_QUANTITY"),
+        F.when(F.col("size_text").isNotNull() & parse(F.col("size_text")).isNull(), "UNPARSEABLE_DIMENSIONS") if sized else F.lit(None).cast("string"),
         F.when((F.col("confidence") < 0) | (F.col("confidence") > 1), "OUT_OF_BOUNDS_CONFIDENCE"),
     ]
     return items.withColumn("issues", F.array_compact(F.array(*rules))).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")))
 
 
+def document_issues(documents: DataFrame, items: DataFrame, key: str, line: str, conflict: str) -> DataFrame:
+    """For each document its number of items, what is wrong with it as a whole, and its verdict.
+
+    A document with items in conflict or without items is UNCERTAIN; missing line numbers alone leave it VALID.
+    """
+    n = leading_line_number(F.col(line))
+    seen = items.groupBy(key).agg(F.count("*").alias("n_items"), F.max(F.coalesce(conflict, F.lit(False))).alias("c"), F.count_distinct(n).alias("numbers"), (F.max(n) - F.min(n) + 1).alias("span"))
+    found = F.array_compact(F.array(F.when(F.col("c"), "RECONCILIATION_CONFLICT"), F.when(F.col("n_items").isNull(), "EMPTY_EXTRACTION"), F.when(F.col("span") > F.col("numbers"), "LINE_NUMBER_GAP")))
+    verdict = F.when(F.col("c") | F.col("n_items").isNull(), "UNCERTAIN").otherwise("VALID")
+    return documents.select(key).join(seen, key, "left").select(key, F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), found.alias("issues"), verdict.alias("verdict"))
+
+
 def line_gaps(items: DataFrame, key: str, line: str) -> DataFrame:
     """For each document the line numbers that are missing between its first and last, none for less than two lines."""
     n = leading_line_number(F.col(line))

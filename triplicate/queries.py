@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from triplicate.plans import projects, reconciliation, services
+from triplicate.plans import projects, reconciliation, reports, services
 
-_PLANS = (reconciliation, services, projects)
+_PLANS = (reconciliation, services, projects, reports)
 
 
 def queries() -> dict:
