@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplicate.functions.dimensions import TOLERANCE
@@ -271,8 +271,9 @@ def match_units(units: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     their links meet in one shuffle by project and are decided as they stream through, a project at a time; large
     projects are dealt out by component, so a task holds what belongs together and no more.
     """
-    listed = F.coalesce(F.max((F.col("side") == "ORDER") & (F.col("source_type") == "CABINET_LIST")).over(Window.partitionBy("project_id")), F.lit(False))
-    inside, outside = split_scope(units.withColumn("listed", listed))
+    lists = units.where("side = 'ORDER' and source_type = 'CABINET_LIST'").select("project_id").distinct().withColumn("__list", F.lit(True))
+    flagged = units.join(lists, "project_id", "left").withColumn("listed", F.coalesce("__list", F.lit(False))).drop("__list")
+    inside, outside = split_scope(flagged)
     inside = cut(inside)
     edges = cut(equivalence_edges(inside) if edges is None else edges)
     words = F.array_union(F.array_union(significant_tokens(F.col("finish")), significant_tokens(F.col("door_style"))), significant_tokens(F.col("notes")))

@@ -22,11 +22,12 @@ def resolve_views(items: DataFrame) -> DataFrame:
 
     Among these, rows with a finish or door go before rows without. What stays takes a missing finish or door from
     what goes, and where floor plans go, gets ``quantity_resolution``: both counts and which one holds. Rows without
-    a view pass with a null resolution. One shuffle, by project, side, code and display.
+    a view pass with a null resolution, and are not shuffled. One shuffle of the others, by project, side, code and display.
     """
+    plain = items.where(F.coalesce("view_type", F.lit("")) == "").withColumn("quantity_resolution", F.lit(None).cast(RESOLUTION))
+    items = items.where(F.col("view_type") != "")
     display = F.coalesce(display_number(F.col("position"), rooms=False), normalize_text(F.col("position")), F.lit("unknown"))
-    viewed = F.coalesce(F.col("view_type"), F.lit("")) != ""
-    key = F.when(viewed, F.concat(F.coalesce(normalize_sku(F.col("raw_sku")), F.lit("")), F.lit("|"), display)).otherwise(F.concat(F.lit("#"), F.col("item_id")))
+    key = F.concat(F.coalesce(normalize_sku(F.col("raw_sku")), F.lit("")), F.lit("|"), display)
     priority = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in VIEW_PRIORITY.items() for x in p)), F.col("view_type")), F.lit(0))
     w = Window.partitionBy("project_id", "side", "__key")
     marked = items.withColumns({"__key": key, "__p": priority, "__said": _given("finish") | _given("door_style")})
@@ -55,9 +56,9 @@ def resolve_views(items: DataFrame) -> DataFrame:
         {
             "finish": F.when(_given("finish"), F.col("finish")).otherwise(F.coalesce("__finish", "finish")),
             "door_style": F.when(_given("door_style"), F.col("door_style")).otherwise(F.coalesce("__door", "door_style")),
-            "quantity_resolution": F.when(viewed, resolved).cast(RESOLUTION),
+            "quantity_resolution": resolved.cast(RESOLUTION),
         }
-    ).select(*items.columns, "quantity_resolution")
+    ).select(*items.columns, "quantity_resolution").unionByName(plain)
 
 
 def unit_key() -> Column:
