@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triplicate.llm.alignment import op13_alignment
 from triplicate.llm.bpe import op4_bpe_segment_tree
 from triplicate.llm.inner_products import op7_inner_products
 from triplicate.llm.nearest import op2_nearest
@@ -13,7 +14,9 @@ from triplicate.llm.packing import op8_best_fit_packing
 from triplicate.llm.pii import op1_pii
 from triplicate.llm.secrets import op3_secrets
 from triplicate.llm.simhash import op5_simhash
+from triplicate.llm.spelling import op11_spelling_variants
 from triplicate.llm.substrings import op9_substring_dedup
+from triplicate.llm.token_counts import op12_token_counts
 from triplicate.llm.token_files import op6_token_files
 from triplicate.llm.toxicity import op10_toxicity
 
@@ -28,6 +31,9 @@ _ALL = (
     op8_best_fit_packing,
     op9_substring_dedup,
     op10_toxicity,
+    op11_spelling_variants,
+    op12_token_counts,
+    op13_alignment,
 )
 
 

@@ -73,9 +73,13 @@ class ByteEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.ranks.encode_ordinary(text), "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def whole(self, text: str) -> bool:
+        """Whether white space or a special token's string makes the text's chunks depend on one another."""
         odd = "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or _ODD_SPACE.search(text)
-        if odd or any(s in text for s in self.special):
+        return bool(odd) or any(s in text for s in self.special)
+
+    def encode(self, text: str) -> bytes:
+        if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *parts = text.split(" ")
         get = self.spaced.get
