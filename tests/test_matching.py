@@ -105,6 +105,54 @@ def test_shared_keys_lose_no_pair(spark):
     assert len(found) == len(set(found)) and set(found) == all_pairs
 
 
+def test_composite_keys_lose_no_variant(spark):
+    """Descriptions, numbers and sizes at random: the same edges as all pairs, variants by number and by size among them."""
+    import random
+
+    from triplicate.functions.equivalence import ITEM_EQUAL, item_match, with_features
+    from triplicate.operators.edges import PAIRS, equivalence_edges
+
+    rng = random.Random(7)
+    words = ["hutch", "column", "base", "wall", "door", "maple", "plain", "left", "36", "012", "fluted"]
+    code = lambda: rng.choice(["BFHC", "BPFHC", "HBCF", "BH", "S"]) + rng.choice(["", "", "5", "S", "12", "36", "12S6"])
+    sizes = [None, "30W", "30.04W", "30W x 34H", "34H", "33W x 30H", "opening 12", '15" opening']
+    rows = [
+        (side, f"{side[0]}{i}", rng.choice([code(), code(), None]), {"description": " ".join(rng.sample(words, rng.randint(0, 4))), "size_text": rng.choice(sizes), "finish": str(i)})
+        for side in ("DESIGN", "ORDER", "ACK") for i in range(60)
+    ]
+    units = aggregate_units(items(spark, *rows)).cache()
+    found = [(r.pair, r.a, r.b, r.match) for r in equivalence_edges(units.withColumn("listed", F.lit(False))).collect()]
+    base = with_features(units.select("project_id", "side", "unit_id", "raw_sku", "description", "category", "dimensions", "substitution_sku"), substitution="substitution_sku").cache()
+    all_pairs = set()
+    for x, y in PAIRS:
+        a = base.where(F.col("side") == x).select(F.col("unit_id").alias("a"), F.col("f").alias("fa"))
+        b = base.where(F.col("side") == y).select(F.col("unit_id").alias("b"), F.col("f").alias("fb"))
+        pairs = a.crossJoin(b).select("a", "b", item_match(F.col("fa"), F.col("fb")).alias("m")).where(F.col("m").isin(*ITEM_EQUAL))
+        all_pairs |= {(x[0] + y[0], r.a, r.b, r.m) for r in pairs.collect()}
+    assert len(found) == len(set(found)) and set(found) == all_pairs
+    numbers = lambda p: {d for d in __import__("re").findall("[0-9]+", p)}
+    text = {u: f"{more.get('description')} {sku}".replace("S", "5") for _, u, sku, more in rows}
+    variants = [(a, b) for _, a, b, m in found if m == "MANUFACTURER_VARIANT"]
+    assert len(variants) > 50 and any(not numbers(text[a]) & numbers(text[b]) for a, b in variants)
+
+
+def test_candidates_grow_with_the_units_of_a_project(spark):
+    """Units that share words but no number: so many candidates as units, not as pairs."""
+    from triplicate.functions.equivalence import block_keys, with_features
+    from triplicate.operators.edges import candidate_pairs
+
+    def candidates(n: int) -> int:
+        rows = spark.range(n).select(
+            F.lit(1).alias("project_id"), F.concat(F.lit("u"), "id").alias("unit_id"), F.element_at(F.lit(["DESIGN", "ORDER", "ACK"]), (F.col("id") % 3 + 1).cast("int")).alias("role"), F.lit(False).alias("listed"),
+            F.concat(F.lit("B"), (F.floor(F.col("id") / 3) + 1000).cast("string"), F.lit("X")).alias("raw_sku"), F.lit("MAPLE WALL DOOR BASE").alias("description"), F.lit("CABINET").alias("category"),
+            parse(F.concat((F.col("id") % 9 + 12).cast("string"), F.lit("W"))).alias("dimensions"),
+        )
+        k = with_features(rows).select("project_id", "unit_id", "role", "listed", block_keys(F.col("f")).alias("k"))
+        return candidate_pairs(k.select("*", "k.keys", "k.own").drop("k")).count()
+
+    assert candidates(600) == 1000 and candidates(10_002) == 16_670  # three pairs of sides and two of one's own for each three units
+
+
 def test_a_cabinet_list_binds_the_whole_project(spark):
     listed = {"source_type": "CABINET_LIST"}
     final, _ = decided(spark, ("DESIGN", "d2", "W30", {}), ("ORDER", "o1", "B36", listed | {"manuf_code": "M36"}), ("ACK", "a2", "W30", {}))

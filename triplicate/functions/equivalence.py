@@ -184,16 +184,54 @@ def _longest(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.array(F.array_max(ranked)["t"])).otherwise(F.array().cast("array<string>"))
 
 
+#: Widths are sought in bins so wide, this far to either side: somewhat more than what counts as equal.
+_BIN, _ASIDE = 4 * dimensions.TOLERANCE, 1.5 * dimensions.TOLERANCE
+
+
+def _crossed(words: Column, marks: Column) -> Column:
+    return F.flatten(F.transform(words, lambda w: F.transform(marks, lambda m: F.concat(F.lit("v"), w, F.lit("#"), m))))
+
+
+def _variant_keys(f: Column) -> tuple[Column, Column]:
+    """All keys and own ones under which variants meet: a word of the description together with a number or a size.
+
+    Variants share a word that names a kind, or two others; of those two at least one is not a unit's last in a fixed
+    order, so the last is left out. They also share a number of two digits, or any number or size that backs them. Where
+    no number is shared, one of their codes has no number of two digits, and sizes that don't contradict back them: equal
+    openings, widths close to one another, or an unknown width. Only units of such a code then have these keys as own.
+    """
+    none = F.array().cast("array<string>")
+    kinds = F.array_intersect(f["words"], _array(*ANCHORS))
+    others = F.array_sort(F.transform(F.array_except(f["words"], _array(*ANCHORS)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    words = F.concat(kinds, F.transform(F.slice(others, 1, F.greatest(F.size(others) - 1, F.lit(0))), lambda x: x["w"]))
+    numbers = F.transform(F.array_distinct(F.concat(f["numbers"], f["text_numbers"], f["as_digits"])), lambda n: F.concat(F.lit("n"), n))
+    size = f["size_"]
+    width = F.when(~F.isnan(size["width"]), size["width"])
+    bin_ = lambda x: F.concat(F.lit("w"), F.floor(x / _BIN).cast("string"))
+    opening = F.when(size["opening"] != "", F.array(F.concat(F.lit("o"), F.upper(size["opening"]))))
+    of_size = F.concat(_array("any"), F.array(F.coalesce(bin_(width), F.lit("no"))), F.coalesce(opening, none))
+    sought = F.when(width.isNull(), _array("any")).otherwise(
+        F.concat(F.array_distinct(F.array(bin_(width - _ASIDE), bin_(width), bin_(width + _ASIDE))), _array("no"), F.coalesce(opening, none))
+    )
+    sized = size.isNotNull()
+    marks = F.concat(numbers, F.when(sized, of_size).otherwise(none))
+    own = F.concat(numbers, F.when(sized & (F.size(_long(f["numbers"])) == 0), sought).otherwise(none))
+    return _crossed(words, marks), _crossed(words, own)
+
+
 def block_keys(f: Column) -> Column:
-    """A struct of ``keys`` and ``own``, some of these: any two matching items share a key that is one's own.
+    """A struct of ``keys`` and ``own``, some of these, as hashes: any two matching items share a key that is one's own.
 
     Equal codes share the code, or its letters without marks. Where one code's parts lie within the other's, its
-    longest token does. Variants share a word of their descriptions. Items without a code share the key for that.
+    longest token does. Variants share a word together with a number or size. Items without a code share the key for that.
     """
     none = F.array().cast("array<string>")
     sub = sku_tokens(f["sub"])
     has = f["sub"].isNotNull()
     whole = F.concat(F.array(F.coalesce(f["sku"], F.lit("")), f["compact"]), F.when(has, F.array(f["sub"], F.array_join(sub, ""))).otherwise(none))
-    own = F.concat(_tagged(F.concat(whole, _longest(f["tokens"]), F.when(has, _longest(sub)).otherwise(none)), "c"), _tagged(f["words"], "w"))
+    coded = _tagged(F.concat(whole, _longest(f["tokens"]), F.when(has, _longest(sub)).otherwise(none)), "c")
     parts = _tagged(F.concat(f["parts"], F.when(has, decomposed(sub)).otherwise(none)), "c")
-    return F.struct(F.array_distinct(F.concat(own, parts)).alias("keys"), F.array_distinct(own).alias("own"))
+    keys, own = _variant_keys(f)
+    hashed = lambda texts: F.array_distinct(F.transform(texts, lambda k: F.xxhash64(k)))
+    own = F.concat(coded, own)
+    return F.struct(hashed(F.concat(own, parts, keys)).alias("keys"), hashed(own).alias("own"))

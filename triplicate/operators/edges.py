@@ -26,7 +26,25 @@ def equivalence_edges(units: DataFrame) -> DataFrame:
     by_maker = with_features(base.where((F.col("side") == "ORDER") & F.col("listed") & F.col("manuf_code").isNotNull()), "manuf_code", "substitution_sku")
     rows = plain.unionByName(by_maker.withColumn("role", F.lit("MAKER"))).select("project_id", "unit_id", "role", "listed", "f", block_keys(F.col("f")).alias("k"))
     rows = cut(rows.select("*", "k.keys", "k.own").drop("k"))
-    thin = rows.drop("f")  # features travel once for each candidate pair, not once for each key
+    features = lambda n: rows.select("project_id", F.col("role").alias(f"role_{n}"), F.col("unit_id").alias(n), F.col("f").alias(f"f{n}"))
+    candidates = candidate_pairs(rows).join(features("a"), ["project_id", "role_a", "a"]).join(features("b"), ["project_id", "role_b", "b"])
+    judged = candidates.select(
+        "project_id",
+        F.concat(F.translate(F.substring("role_a", 1, 1), "M", "O"), F.substring("role_b", 1, 1)).alias("pair"),
+        "a",
+        "b",
+        item_match(F.col("fa"), F.col("fb")).alias("match"),
+        codes_equal(F.col("fa"), F.col("fb")).alias("same_code"),
+    )
+    return judged.where(F.col("match").isin(*ITEM_EQUAL))
+
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """project_id, role_a, role_b, a, b: pairs of the roles to compare that share a key which is own to one of them.
+
+    Rows have project_id, unit_id, role, listed, keys and own. Each pair comes once, with the least of such keys.
+    """
+    thin = rows.select("project_id", "unit_id", "role", "listed", "keys", "own")  # features travel once for each pair, not for each key
     own = thin.withColumn("key", F.explode("own")).alias("a")
     every = thin.withColumn("key", F.explode("keys")).alias("b")
     pairs = [(x, y, F.lit(True)) for x, y in PAIRS if "ACK" not in (x, y)]
@@ -48,14 +66,4 @@ def equivalence_edges(units: DataFrame) -> DataFrame:
             F.col(f"{one}.unit_id").alias("a"), F.col(f"{other}.unit_id").alias("b"),
         )
 
-    features = lambda n: rows.select("project_id", F.col("role").alias(f"role_{n}"), F.col("unit_id").alias(n), F.col("f").alias(f"f{n}"))
-    candidates = met(False).unionByName(met(True)).join(features("a"), ["project_id", "role_a", "a"]).join(features("b"), ["project_id", "role_b", "b"])
-    judged = candidates.select(
-        "project_id",
-        F.concat(F.translate(F.substring("role_a", 1, 1), "M", "O"), F.substring("role_b", 1, 1)).alias("pair"),
-        "a",
-        "b",
-        item_match(F.col("fa"), F.col("fb")).alias("match"),
-        codes_equal(F.col("fa"), F.col("fb")).alias("same_code"),
-    )
-    return judged.where(F.col("match").isin(*ITEM_EQUAL))
+    return met(False).unionByName(met(True))
