@@ -18,7 +18,7 @@ SHORTEST, RAREST = 5, 3
 #: Of the runs of a document one in so many loses a code point.
 DAMAGED = 97
 #: Bits of a mask: a-z have one each, the others share the rest. A bit belongs to the band of its number modulo three.
-BITS = 48
+BITS = 60
 BANDS = tuple(sum(1 << b for b in range(BITS) if b % 3 == k) for k in range(3))
 _BIT = np.array([b for c in range(256) for b in [c - 97 if 97 <= c <= 122 else 26 + c % (BITS - 26)]], np.uint64)
 
@@ -57,7 +57,8 @@ def _parities():
         letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         bits = np.uint64(1) << _BIT[letters]
         mask = np.bitwise_xor.reduceat(bits, np.cumsum(size) - size) if len(words) else bits
-        return {"word": batch.column("word"), "n": batch.column("n"), "size": size.astype(np.int32), "mask": mask.astype(np.int64)}
+        shares = np.maximum.reduceat(letters, np.cumsum(size) - size) > 127 if len(words) else np.zeros(0, bool)
+        return {"word": batch.column("word"), "n": batch.column("n"), "size": size.astype(np.int32), "mask": mask.astype(np.int64), "shares": shares}
 
     return step
 
@@ -79,24 +80,28 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """Pairs of words one inserted, deleted or replaced code point apart, each pair once: word, n, other, other_n.
 
     A word's mask holds the parity of each letter. An inserted or deleted letter flips one bit, a replaced one two, or none
-    where both letters share a bit. Flips within one band leave the other two equal: words meet by those and their length, or
-    a length one apart. Flips in two bands leave one equal, and a word that has the bit meets the one that lacks it by
-    clearing the bit. Each pair meets under one key. What meets is verified on the words themselves.
+    where both letters share a bit. Flips within one band leave the other two equal: masks meet by those and the length, or
+    a length one apart. Flips in two bands leave one equal, and a mask that has the bit meets the one that lacks it by
+    clearing the bit. What meets are masks, each with a length, of which there are far fewer than words; each pair of them
+    meets under one key, and only those that differ by one edit's flips bring their words together, which are verified.
     """
-    fields = "word string, n long, size int, mask long"
-    masks = map_batches(words.select("word", "n"), _parities, fields)
+    masks = materialize(map_batches(words.select("word", "n"), _parities, "word string, n long, size int, mask long, shares boolean"))
+    kinds = masks.groupBy("size", "mask").agg(F.bool_or("shares").alias("shares"))
     mask, size = F.col("mask"), F.col("size")
-    held = masks.select(
-        F.explode(F.array(*[_key(k, mask, size) for k in range(3)])).alias("key"), F.col("word").alias("other"), F.col("n").alias("other_n"), mask.alias("other_mask")
-    )
+    held = kinds.select(F.explode(F.array(*[_key(k, mask, size) for k in range(3)])).alias("key"), mask.alias("other_mask"))
     same = [F.struct(F.lit(True).alias("same"), _key(k, mask, size).alias("key")) for k in range(3)]
     longer = [F.struct(F.lit(False).alias("same"), _key(k, mask, size + 1).alias("key")) for k in range(3)]
     cleared = F.transform(F.concat(*[_without(k) for k in range(3)]), lambda key: F.struct(F.lit(False).alias("same"), key.alias("key")))
-    sought = masks.select(F.explode(F.concat(F.array(*same, *longer), cleared)).alias("p"), "word", "n", "mask").select("p.same", "p.key", "word", "n", "mask")
+    sought = kinds.select(F.explode(F.concat(F.array(*same, *longer), cleared)).alias("p"), "mask", "shares", size.alias("own_size"))
     flips = mask.bitwiseXOR(F.col("other_mask"))
-    near = (F.bit_count(flips) <= 2) & ((flips != 0) | (F.col("k") == 0)) & (~F.col("same") | (F.col("word") < F.col("other")))
-    met = sought.select("key.*", "same", "word", "n", "mask").join(held.select("key.*", "other", "other_n", "other_mask"), ["k", "size", "rest"]).where(near)
-    return met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
+    near = (F.bit_count(flips) <= 2) & ((flips != 0) | (F.col("k") == 0)) & (~F.col("same") | (mask < F.col("other_mask")) | ((flips == 0) & F.col("shares")))
+    met = sought.select("p.key.*", "p.same", "mask", "shares", "own_size").join(held.select("key.*", "other_mask"), ["k", "size", "rest"]).where(near)
+    met = met.select("own_size", "mask", F.col("size").alias("other_size"), "other_mask", ((flips == 0) & F.col("same")).alias("one"))
+    of_mask = masks.select(size.alias("own_size"), "mask", "word", "n")
+    of_other = masks.select(size.alias("other_size"), mask.alias("other_mask"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    pairs = met.join(of_mask, ["own_size", "mask"]).join(of_other, ["other_size", "other_mask"])
+    pairs = pairs.where((F.levenshtein("word", "other", 1) == 1) & (~F.col("one") | (F.col("word") < F.col("other"))))
+    return pairs.select("word", "n", "other", "other_n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
