@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 #: Document types without which a project isn't complete; of the last two one is enough.
 REQUIRED, EITHER = ("DESIGN", "ACKNOWLEDGEMENT"), ("ORDER", "CABINET_LIST")
-#: What a reviewer's action makes of a difference.
-ACTIONS = {"ACCEPT_FINDING": "ACCEPTED", "FALSE_POSITIVE": "FALSE_POSITIVE", "ESCALATE": "ESCALATED", "RESOLVE": "RESOLVED", "OVERRIDE": "OVERRIDDEN"}
-
 
 def chosen(df: DataFrame, column: str, value: str | None, domain: tuple[str, ...]) -> DataFrame:
     """Rows with this value, whatever its case; a value outside the domain, or none, filters nothing."""
@@ -56,23 +53,6 @@ def replaced(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return existing.join(fresh.select(key).distinct(), key, "left_anti").select(*existing.columns).unionByName(fresh.select(*existing.columns))
 
 
-def reviewed(differences: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
-    """Differences with the status that the last review of each leaves, and how many reviews it had."""
-    status = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
-    last = reviews.groupBy(key).agg(F.max_by("action", F.struct("at", "review_id")).alias("action"), F.max_by("new_value", F.struct("at", "review_id")).alias("new_value"), F.count("*").alias("reviews"))
-    joined = differences.join(last, key, "left")
-    after = F.coalesce(F.try_element_at(status, F.col("action")), F.col("status"))
-    value = F.when(F.col("action") == "OVERRIDE", F.col("new_value")).otherwise(F.col("value"))
-    return joined.select(*[c for c in differences.columns if c not in ("status", "value")], after.alias("status"), value.alias("value"), F.coalesce("reviews", F.lit(0)).cast("long").alias("reviews"))
-
-
-def may_finalize(projects: DataFrame, differences: DataFrame, key: str) -> DataFrame:
-    """Each project's verdict: FINAL already, INCOMPLETE, BLOCKED by open critical differences, or READY."""
-    blocked = differences.where("status = 'OPEN' and severity = 'Critical'").select(key).distinct().withColumn("blocked", F.lit(True))
-    verdict = F.when(F.col("state") == "FINALIZED", "FINAL").when(F.col("state").isin("DRAFT", "PROCESSING"), "INCOMPLETE").when(F.col("blocked"), "BLOCKED").otherwise("READY")
-    return projects.join(blocked, key, "left").select(key, verdict.alias("verdict"))
-
-
 def format_size(size: Column) -> Column:
     """A parsed size as text: the opening, or its axes with a sign between; a hyphen where there is none."""
     axes = F.array_compact(F.array(*(F.regexp_replace(size[k].cast("string"), "\\.0$", "") for k in ("width", "height", "depth"))))

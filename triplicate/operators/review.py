@@ -246,3 +246,35 @@ def _audit(steps: DataFrame, overrides: DataFrame, members: DataFrame, turned: D
         F.col("before").alias("previous"), F.col("state").alias("new"), F.lit(False).alias("bulk"),
     )
     return of_difference.unionByName(of_item).unionByName(of_project)
+
+
+def rank() -> Column:
+    """The order in which severities are shown."""
+    return F.when(F.col("severity") == "Critical", 1).when(F.col("severity") == "Warning", 3).otherwise(4)
+
+
+def filtered(differences: DataFrame, texts: tuple[str, ...], status: str | None = None, severity: str | None = None, search: str | None = None) -> DataFrame:
+    """Differences of a status and a severity, whatever their case, and with a text in any of ``texts``; none filters nothing."""
+    for column, value in (("status", status), ("severity", severity)):
+        differences = differences.where(F.upper(column) == value.upper()) if value else differences
+    word = (search or "").strip().lower()
+    hit = F.lit(not word)
+    for t in texts if word else ():
+        hit = hit | F.coalesce(F.contains(F.lower(F.col(t).cast("string")), F.lit(word)), F.lit(False))
+    return differences.where(hit)
+
+
+def summary(differences: DataFrame) -> DataFrame:
+    """How many differences are open, escalated and reviewed, and how many of each severity, in one row."""
+    s, v = (lambda *x: F.count_if(F.col("status").isin(*x))), (lambda x: F.count_if(F.col("severity") == x))
+    none = F.lit(0).cast("long")
+    return differences.agg(
+        s("OPEN").alias("open"), s("ESCALATED").alias("escalated"), s(*REVIEWED).alias("reviewed"), v("Critical").alias("critical"), none.alias("high"), v("Warning").alias("warning"), v("Info").alias("info")
+    )
+
+
+def may_finalize(projects: DataFrame, differences: DataFrame) -> DataFrame:
+    """Each project's verdict: FINAL already, INCOMPLETE, BLOCKED by open critical differences, or READY."""
+    blocked = differences.where("status = 'OPEN' and severity = 'Critical'").select("project_id").distinct().withColumn("blocked", F.lit(True))
+    verdict = F.when(F.col("status") == "FINALIZED", "FINAL").when(F.col("status").isin("DRAFT", "PROCESSING"), "INCOMPLETE").when(F.col("blocked"), "BLOCKED").otherwise("READY")
+    return projects.join(blocked, "project_id", "left").select("project_id", verdict.alias("verdict"))

@@ -274,42 +274,6 @@ def page_anchors_once(spark, sf_dir):
     return p.anchors_once(pages.where("kind = 0"), pages.where("kind = 1"), "l_orderkey", "page")
 
 
-def _reviews(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    events = table(spark, sf_dir, "events")
-    found = events.where("event_id % 2 = 0").select(
-        F.col("event_id").alias("difference_id"), "user_id", F.when(F.col("event_id") % 6 == 0, "Critical").otherwise("Warning").alias("severity"), F.lit("OPEN").alias("status"), F.col("event_type").alias("value")
-    )
-    actions = events.where("event_id % 2 = 1").select(
-        (F.floor(F.col("event_id") / 6) * 6 + F.floor(F.col("event_id") % 3) * 2).alias("difference_id"), F.col("event_id").alias("review_id"), F.col("ts").alias("at"),
-        _one_of(("ACCEPT_FINDING", "FALSE_POSITIVE", "ESCALATE", "OVERRIDE", "NOTE"), "event_id").alias("action"), F.concat(F.lit("v"), "event_id").alias("new_value"),
-    )
-    return found, actions
-
-
-def review_outcomes(spark, sf_dir):
-    found, actions = _reviews(spark, sf_dir)
-    return p.reviewed(found, actions, "difference_id").select("difference_id", "status", "value", "reviews")
-
-
-def review_filter(spark, sf_dir):
-    """Differences after review, by state, severity and a word in any of their texts, the gravest first."""
-    r = p.reviewed(*_reviews(spark, sf_dir), "difference_id")
-    hit = F.contains(F.lower(F.concat_ws(" ", "severity", "value")), F.lit("v1"))
-    rank = F.when(F.col("severity") == "Critical", 1).otherwise(3)
-    return r.where((F.col("status") == "OVERRIDDEN") & hit).orderBy(rank, "difference_id").select("difference_id", "severity", "value").limit(100)
-
-
-def review_counts(spark, sf_dir):
-    s, v = (lambda *x: F.count_if(F.col("status").isin(*x))), (lambda x: F.count_if(F.col("severity") == x))
-    r = p.reviewed(*_reviews(spark, sf_dir), "difference_id")
-    return r.agg(s("OPEN").alias("open"), s("ESCALATED").alias("escalated"), s("ACCEPTED", "FALSE_POSITIVE", "OVERRIDDEN").alias("reviewed"), v("Critical").alias("critical"), v("Warning").alias("warning"), v("Info").alias("info"))
-
-
-def finalize_gate(spark, sf_dir):
-    users = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("state", _one_of(_STATES, "user_id"))
-    return p.may_finalize(users, p.reviewed(*_reviews(spark, sf_dir), "difference_id"), "user_id")
-
-
 def catalogue_rows(spark, sf_dir):
     named = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("Weight"), F.when(F.col("p_partkey") % 6 != 0, F.concat(F.lit(" "), "p_name", F.lit(" "), F.col("p_partkey").cast("string"))).alias("Item #"), F.col("p_type").alias("Product Description"),
@@ -341,11 +305,6 @@ def category_keywords(spark, sf_dir):
 _DOCS = f"d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, {_sql_one_of(_TYPES, 'l_partkey')} AS kind FROM lineitem)"
 _FACTS = f"""f AS (SELECT o_orderkey, {_sql_one_of(_STATES, 'o_orderkey')} AS state, coalesce(total, 0) AS total, coalesce(resolved, 0) AS resolved, coalesce(documents, 0) AS documents
   FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS total, count(*) FILTER (l_partkey % 3 = 0) AS resolved, count(DISTINCT l_partkey % 3) AS documents FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
-_REVIEWED = f"""a AS (SELECT event_id // 6 * 6 + event_id % 3 * 2 AS difference_id, {_sql_one_of(('ACCEPT_FINDING', 'FALSE_POSITIVE', 'ESCALATE', 'OVERRIDE', 'NOTE'), 'event_id')} AS action, 'v' || event_id AS new_value,
-    row_number() OVER (PARTITION BY event_id // 6 * 6 + event_id % 3 * 2 ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY event_id // 6 * 6 + event_id % 3 * 2) AS reviews FROM events WHERE event_id % 2 = 1),
-  r AS (SELECT e.event_id AS difference_id, user_id, CASE WHEN e.event_id % 6 = 0 THEN 'Critical' ELSE 'Warning' END AS severity,
-    CASE action WHEN 'ACCEPT_FINDING' THEN 'ACCEPTED' WHEN 'FALSE_POSITIVE' THEN action WHEN 'ESCALATE' THEN 'ESCALATED' WHEN 'OVERRIDE' THEN 'OVERRIDDEN' ELSE 'OPEN' END AS status,
-    CASE WHEN action = 'OVERRIDE' THEN new_value ELSE event_type END AS value, coalesce(reviews, 0) AS reviews FROM events e LEFT JOIN a ON a.difference_id = e.event_id AND n = 1 WHERE e.event_id % 2 = 0)"""
 _KEYWORDS = " ".join(f"WHEN regexp_matches(lower(t), '{'|'.join(k)}') THEN '{c}'" for c, k in dictionary.KEYWORDS.items())
 _CATEGORIES = ", ".join(repr(c) for c in dictionary.CATEGORIES)
 _INFER = f"CASE WHEN upper(trim(t)) IN ({_CATEGORIES}) THEN upper(trim(t)) {_KEYWORDS} ELSE 'UNKNOWN' END"
@@ -402,12 +361,6 @@ SQL = {
         g AS (SELECT l_orderkey, page, string_agg(t, chr(10) ORDER BY y, x, t) AS text FROM b GROUP BY 1, 2)
         SELECT l_orderkey, string_agg('--- PAGE ' || page || ' ---' || chr(10) || text, chr(10) ORDER BY page) AS text FROM g GROUP BY 1""",
     "sheet_rows": "SELECT p_partkey, concat_ws(' | ', CASE WHEN p_partkey % 3 <> 0 THEN p_name END, p_brand, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END) AS row FROM part",
-    "review_outcomes": f"WITH {_REVIEWED} SELECT difference_id, status, value, reviews FROM r",
-    "review_filter": f"WITH {_REVIEWED} SELECT difference_id, severity, value FROM r WHERE status = 'OVERRIDDEN' AND contains(lower(severity || ' ' || value), 'v1') ORDER BY severity = 'Warning', difference_id LIMIT 100",
-    "review_counts": f"""WITH {_REVIEWED} SELECT count(*) FILTER (status = 'OPEN') AS open, count(*) FILTER (status = 'ESCALATED') AS escalated, count(*) FILTER (status IN ('ACCEPTED', 'FALSE_POSITIVE', 'OVERRIDDEN')) AS reviewed,
-        count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'Warning') AS warning, count(*) FILTER (severity = 'Info') AS info FROM r""",
-    "finalize_gate": f"""WITH {_REVIEWED}, u AS (SELECT DISTINCT user_id, {_sql_one_of(_STATES, 'user_id')} AS state FROM events), b AS (SELECT DISTINCT user_id FROM r WHERE status = 'OPEN' AND severity = 'Critical')
-        SELECT u.user_id, CASE WHEN state = 'FINALIZED' THEN 'FINAL' WHEN state IN ('DRAFT', 'PROCESSING') THEN 'INCOMPLETE' WHEN b.user_id IS NOT NULL THEN 'BLOCKED' ELSE 'READY' END AS verdict FROM u LEFT JOIN b ON b.user_id = u.user_id""",
     "catalogue_rows": f"""SELECT p_name || ' ' || p_partkey AS code, p_type AS description, {_INFER} AS category, CAST(1 AS DOUBLE) AS confidence
         FROM (SELECT *, ['panel', 'Crown trim', 'metallic', 'Freight charge', 'gizmo', 'Wall unit', 'FILLER', 'pull knob'][p_partkey % 8 + 1] AS t FROM part WHERE p_partkey % 6 <> 0)""",
     "category_keywords": f"SELECT p_partkey, {_INFER} AS category FROM (SELECT p_partkey, concat_ws(' ', CASE WHEN p_partkey % 5 <> 0 THEN p_name END, ['tall', 'range top', 'soffit', 'hinge', 'tray'][p_size % 5 + 1]) AS t FROM part)",
@@ -428,6 +381,5 @@ QUERIES = [
     tenant_projects, project_lookup, visible_makers, lenient_filter, required_documents, documents_by_type, document_list, last_documents, vanished_documents, project_overview,
     project_totals, dashboard, items_per_page, groups_by_code, groups_with_critical, sorted_projects, catalogue_order, latest_job, extraction_attempts, latest_extractions,
     import_errors, overlaid_documents, rebuilt_projects, audit_log, documents_to_extract, silent_jobs, timestamps, json_values, flags_and_names, formatted_values,
-    page_evidence, sight_pages, doubtful_by_sight, text_routes, page_batches, page_texts, sheet_rows, page_anchors_once, review_outcomes, review_filter, review_counts,
-    finalize_gate, catalogue_rows, category_keywords, dictionary_decisions,
+    page_evidence, sight_pages, doubtful_by_sight, text_routes, page_batches, page_texts, sheet_rows, page_anchors_once, catalogue_rows, category_keywords, dictionary_decisions,
 ]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from triplicate.plans import projects, reconciliation, reports, services
+from triplicate.plans import projects, reconciliation, reports, reviews, services
 
-_PLANS = (reconciliation, services, projects, reports)
+_PLANS = (reconciliation, services, projects, reports, reviews)
 
 
 def queries() -> dict:
