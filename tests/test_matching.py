@@ -153,6 +153,12 @@ def test_candidates_grow_with_the_units_of_a_project(spark):
     assert candidates(600) == 1000 and candidates(10_002) == 16_670  # three pairs of sides and two of one's own for each three units
 
 
+def test_a_shared_makers_code(spark):
+    listed = {"source_type": "CABINET_LIST", "manuf_code": "M777"}
+    final, _ = decided(spark, ("DESIGN", "d1", "B36", {}), ("DESIGN", "d2", "W30", {}), ("ORDER", "o1", "B36", listed), ("ORDER", "o2", "W30", listed), ("ACK", "a1", "M777", {}))
+    assert set(final) == {("d1", "o1", "a1"), ("d2", "o2", None)}
+
+
 def test_a_cabinet_list_binds_the_whole_project(spark):
     listed = {"source_type": "CABINET_LIST"}
     final, _ = decided(spark, ("DESIGN", "d2", "W30", {}), ("ORDER", "o1", "B36", listed | {"manuf_code": "M36"}), ("ACK", "a2", "W30", {}))

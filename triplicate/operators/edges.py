@@ -17,8 +17,8 @@ def equivalence_edges(units: DataFrame) -> DataFrame:
 
     Every way to match implies a shared key that is one's own (see :func:`block_keys`), so own keys meet all keys in an
     equi-join on project and key, in both directions, and each pair is judged once, with features joined by unit. ``listed`` says that the project's
-    order is a cabinet list; its orders then meet acknowledgements by the maker's code alone, and designs meet no
-    acknowledgement. Units of one side are joined in both directions, and a unit with itself unless it has neither
+    order is a cabinet list; its orders then meet acknowledgements by the maker's code alone, and designs that meet
+    acknowledgements only tell of competition. Units of one side are joined in both directions, and a unit with itself unless it has neither
     code nor description.
     """
     base = units.select("project_id", "side", "unit_id", "raw_sku", "description", "category", "dimensions", "substitution_sku", "manuf_code", "listed")
@@ -47,8 +47,8 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     thin = rows.select("project_id", "unit_id", "role", "listed", "keys", "own")  # features travel once for each pair, not for each key
     own = thin.withColumn("key", F.explode("own")).alias("a")
     every = thin.withColumn("key", F.explode("keys")).alias("b")
-    pairs = [(x, y, F.lit(True)) for x, y in PAIRS if "ACK" not in (x, y)]
-    pairs += [("DESIGN", "ACK", ~F.col("a.listed")), ("ORDER", "ACK", ~F.col("a.listed")), ("MAKER", "ACK", F.lit(True))]
+    pairs = [(x, y, F.lit(True)) for x, y in PAIRS if (x, y) != ("ORDER", "ACK")]
+    pairs += [("ORDER", "ACK", ~F.col("a.listed")), ("MAKER", "ACK", F.lit(True))]
 
     def met(mirrored: bool) -> DataFrame:
         """Pairs whose first unit has the key as its own or, ``mirrored``, whose second has and the first has not."""

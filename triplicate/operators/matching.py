@@ -110,12 +110,7 @@ class _Group:
         alike = self.linked("DD", d.id)
         # Rivals of the first candidates count even if they are decided already.
         for_order = self.linked("OD", orders[0].id, free=False) if orders else []
-        if not acks:
-            for_ack = []
-        elif self.listed:
-            for_ack = self.in_order({x.id: x for o in self.linked("AO", acks[0].id, free=False) for x in self.linked("OD", o.id, free=False)})
-        else:
-            for_ack = self.linked("AD", acks[0].id, free=False)
+        for_ack = self.linked("AD", acks[0].id, free=False) if acks else []
         order_contested, ack_contested = len(for_order) > 1, len(for_ack) > 1
         counts, single = (len(orders), len(acks)), len(alike) == 1
         if single and not order_contested and not ack_contested and counts in ((1, 1), (0, 1)):

@@ -13,18 +13,26 @@ from triplicate.functions.text import FINISH_ALIASES, SPEC_ALIASES, UNSPECIFIED,
 from triplicate.operators.crosscheck import discrepancies, finalize, with_members
 from triplicate.operators.matching import match_units, split_scope
 from triplicate.operators.units import aggregate_units, resolve_views
-from triplicate.sources.scratch import cut
+from triplicate.sources.scratch import cut, stored
 from triplicate.sources.contested_items import contested_items, groups_sql
 from triplicate.sources.line_items import ITEMS_SQL, line_items, table
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(aggregate_units(line_items(spark, sf_dir)))
+    return _stored(spark, sf_dir, "units", lambda: aggregate_units(line_items(spark, sf_dir)))
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """What is made of lines and parts once and used by many queries."""
+    return stored(name, spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "part")], build)
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "groups", lambda: match_units(units(spark, sf_dir)))
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    u = units(spark, sf_dir)
-    members = cut(with_members(match_units(u), u))
+    members = _stored(spark, sf_dir, "members", lambda: with_members(_groups(spark, sf_dir), units(spark, sf_dir)))
     return members, discrepancies(members)
 
 
@@ -152,12 +160,12 @@ def scope(spark, sf_dir):
 
 
 def match_groups(spark, sf_dir):
-    return match_units(units(spark, sf_dir)).select("project_id", "design_id", "order_id", "ack_id", "status")
+    return _groups(spark, sf_dir).select("project_id", "design_id", "order_id", "ack_id", "status")
 
 
 def _contested(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    u = cut(aggregate_units(contested_items(spark, sf_dir)))
-    return u, match_units(u)
+    u = _stored(spark, sf_dir, "contested-units", lambda: aggregate_units(contested_items(spark, sf_dir)))
+    return u, _stored(spark, sf_dir, "contested-groups", lambda: match_units(u))
 
 
 def contested_groups(spark, sf_dir):
@@ -171,7 +179,7 @@ def contested_differences(spark, sf_dir):
 
 
 def match_status_counts(spark, sf_dir):
-    return match_units(units(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+    return _groups(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def differences(spark, sf_dir):
