@@ -10,19 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back, for what several later stages use.
-
-    It is then computed once, plans stay small, and a lost executor costs nothing. Where the setting is absent, as
-    in tests, a temporary folder is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is absent, as in tests, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if named is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
-    path = f"{named or spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back, for what several later stages use.
+
+    It is then computed once, plans stay small, and a lost executor costs nothing.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
