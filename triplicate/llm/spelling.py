@@ -58,7 +58,8 @@ def _parities():
         bits = np.uint64(1) << _BIT[letters]
         mask = np.bitwise_xor.reduceat(bits, np.cumsum(size) - size) if len(words) else bits
         shares = np.maximum.reduceat(letters, np.cumsum(size) - size) > 127 if len(words) else np.zeros(0, bool)
-        return {"word": batch.column("word"), "n": batch.column("n"), "size": size.astype(np.int32), "mask": mask.astype(np.int64), "shares": shares}
+        total = np.add.reduceat(bits, np.cumsum(size) - size) if len(words) else bits
+        return {"word": batch.column("word"), "n": batch.column("n"), "size": size.astype(np.int32), "mask": mask.astype(np.int64), "total": total.astype(np.int64), "shares": shares}
 
     return step
 
@@ -83,9 +84,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     where both letters share a bit. Flips within one band leave the other two equal: masks meet by those and the length, or
     a length one apart. Flips in two bands leave one equal, and a mask that has the bit meets the one that lacks it by
     clearing the bit. What meets are masks, each with a length, of which there are far fewer than words; each pair of them
-    meets under one key, and only those that differ by one edit's flips bring their words together, which are verified.
+    meets under one key, and only those that differ by one edit's flips bring their words together. Of these the sums of all
+    letters' bits have to differ by just the bits that flipped, which leaves few words to verify letter by letter.
     """
-    masks = materialize(map_batches(words.select("word", "n"), _parities, "word string, n long, size int, mask long, shares boolean"))
+    masks = materialize(map_batches(words.select("word", "n"), _parities, "word string, n long, size int, mask long, total long, shares boolean"))
     kinds = masks.groupBy("size", "mask").agg(F.bool_or("shares").alias("shares"))
     mask, size = F.col("mask"), F.col("size")
     held = kinds.select(F.explode(F.array(*[_key(k, mask, size) for k in range(3)])).alias("key"), mask.alias("other_mask"))
@@ -96,11 +98,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
     flips = mask.bitwiseXOR(F.col("other_mask"))
     near = (F.bit_count(flips) <= 2) & ((flips != 0) | (F.col("k") == 0)) & (~F.col("same") | (mask < F.col("other_mask")) | ((flips == 0) & F.col("shares")))
     met = sought.select("p.key.*", "p.same", "mask", "shares", "own_size").join(held.select("key.*", "other_mask"), ["k", "size", "rest"]).where(near)
-    met = met.select("own_size", "mask", F.col("size").alias("other_size"), "other_mask", ((flips == 0) & F.col("same")).alias("one"))
-    of_mask = masks.select(size.alias("own_size"), "mask", "word", "n")
-    of_other = masks.select(size.alias("other_size"), mask.alias("other_mask"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    low = flips.bitwiseAND(-flips)
+    swapped = F.col("own_size") == F.col("size")
+    by = F.when(swapped, flips - 2 * low).otherwise(flips).alias("by")  # the higher bit less the lower one, or the one bit
+    met = met.select("own_size", "mask", F.col("size").alias("other_size"), "other_mask", by)
+    of_mask = masks.select(size.alias("own_size"), "mask", "word", "n", "total")
+    of_other = masks.select(size.alias("other_size"), mask.alias("other_mask"), F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("total").alias("other_total"))
     pairs = met.join(of_mask, ["own_size", "mask"]).join(of_other, ["other_size", "other_mask"])
-    pairs = pairs.where((F.levenshtein("word", "other", 1) == 1) & (~F.col("one") | (F.col("word") < F.col("other"))))
+    more = F.col("other_total") - F.col("total")
+    fit = (more == F.col("by")) | ((more == -F.col("by")) & (F.col("own_size") == F.col("other_size")))
+    one_way = (F.col("mask") != F.col("other_mask")) | (F.col("own_size") != F.col("other_size")) | (F.col("word") < F.col("other"))
+    pairs = pairs.where(fit & one_way & (F.levenshtein("word", "other", 1) == 1))
     return pairs.select("word", "n", "other", "other_n")
 
 
