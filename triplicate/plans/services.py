@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from triplicate.operators import dictionary, readings
 from triplicate.plans import reconciliation as r
 from triplicate.sources.line_items import table
-from triplicate.streaming.activity import fixed_window, limited, recent_hits, windowed_counts
+from triplicate.streaming.activity import beats, fixed_window, limited, recent_hits, windowed_counts
 
 _STATES = ("O", "F", "P", "X")
 
@@ -65,6 +65,11 @@ def window_limiter(spark, sf_dir):
     return limited(table(spark, sf_dir, "events"), rule=fixed_window)
 
 
+def job_stretches(spark, sf_dir):
+    """Stretches in which a user's job told something at least every two days."""
+    return beats(table(spark, sf_dir, "events"))
+
+
 def job_state(spark, sf_dir):
     """Each user's state: the first final event (purchase or error), which nothing after it changes, else the last one."""
     at = F.struct("ts", "event_id")
@@ -218,7 +223,21 @@ def organization_counts(spark, sf_dir):
 
 
 _F = r._FINAL
+def _limiter_sql(kept: str, passes: str) -> str:
+    """A user's hits one after another, with what is held of them in a list: ``kept`` before, ``passes`` for this one."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BOOLEAN AS passes, []::BIGINT[] AS held FROM events
+          UNION ALL SELECT user_id, n, event_id, {passes}, CASE WHEN {passes} OR kept_all THEN list_append(held, t) ELSE held END
+          FROM (SELECT e.user_id, e.n, e.event_id, e.t, {kept} AS held FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1) AS x)
+        SELECT event_id, user_id, passes FROM s WHERE n > 0"""
+
+
 SQL = {
+    "sliding_limiter": _limiter_sql("list_filter(s.held, lambda k: k > e.t - 3600000000)", "len(held) < 3").replace(" OR kept_all", ""),
+    "window_limiter": _limiter_sql("CASE WHEN len(s.held) = 0 OR e.t >= s.held[1] + 3600000000 THEN []::BIGINT[] ELSE s.held END", "len(held) < 3").replace("OR kept_all", "OR true"),
+    "job_stretches": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 DAY THEN 0 ELSE 1 END AS starts FROM events),
+        n AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS stretch FROM g)
+        SELECT user_id, min(ts) AS started, max(ts) AS last_seen, count(*) AS n FROM n GROUP BY user_id, stretch""",
     "project_states": "SELECT s.status, count(o_orderkey) AS n FROM (VALUES ('O'), ('F'), ('P'), ('X')) AS s(status) LEFT JOIN orders ON o_orderstatus = s.status GROUP BY 1",
     "project_search": "SELECT o_orderkey, c_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND (lower(c_name) LIKE '%12%' OR lower(o_orderpriority) LIKE '%urgent%')",
     "project_recent": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 5",
@@ -258,7 +277,7 @@ SQL = {
     "organization_counts": "SELECT c_nationkey AS organization_id, count(DISTINCT c_custkey) AS members, count(o_orderkey) AS projects FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
 }
 QUERIES = [
-    project_states, project_search, project_recent, audit_page, audit_rollup, activity_daily, activity_windows, sliding_hits, sliding_limiter, window_limiter, job_state, stale_jobs,
+    project_states, project_search, project_recent, audit_page, audit_rollup, activity_daily, activity_windows, sliding_hits, sliding_limiter, window_limiter, job_stretches, job_state, stale_jobs,
     usage_cost, report_rows, bulk_accept, actionable, dictionary_lookup, dictionary_import, header_names, document_cache, page_states, page_anchors, line_gaps,
     first_seen, readings_merged, readings_paired, readings_issues, organization_counts,
 ]

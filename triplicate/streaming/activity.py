@@ -71,15 +71,34 @@ def limited(events: DataFrame, limit: int = 3, seconds: float = 3600.0, rule: Ca
     return rows.repartition("user_id").sortWithinPartitions("user_id", "micros", "event_id").mapInArrow(run, "event_id long, user_id long, passes boolean")
 
 
-def limited_stream(events: DataFrame, limit: int = 3, seconds: float = 3600.0) -> DataFrame:
-    """The same for a stream, hits in the order in which micro-batches bring them."""
+def limited_stream(events: DataFrame, limit: int = 3, seconds: float = 3600.0, rule: Callable = allowed, late: str = "10 minutes") -> DataFrame:
+    """The same for a stream, hits in the order in which micro-batches bring them.
+
+    What is held of a user goes once the watermark, ``late`` behind the latest hit, has passed the last kept hit by a
+    window: by then it can't matter any more. Hits behind the watermark are left out.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept: list[Any] = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            rows = rows.sort_values(["ts", "event_id"])
-            passes, kept = allowed([t.timestamp() for t in rows["ts"]], limit, seconds, kept)
-            yield rows[["event_id", "user_id"]].assign(passes=passes)
+        rows = pd.concat(batches).sort_values(["ts", "event_id"])  # one user's hits of one micro-batch
+        passes, kept = rule([t.timestamp() for t in rows["ts"]], limit, seconds, kept)
         state.update((kept,))
+        state.setTimeoutTimestamp(max(int((max(kept, default=0.0) + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield rows[["event_id", "user_id"]].assign(passes=passes)
+
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, passes boolean", "kept array<double>", "append", "EventTimeTimeout")
+
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, passes boolean", "kept array<double>", "append", "NoTimeout")
+def beats(events: DataFrame, silence: str = "2 days", late: str = "1 hour") -> DataFrame:
+    """Stretches in which a user's job told something at least every ``silence``: started, last_seen and how often.
+
+    As a stream a stretch is told once the watermark has passed the time by which the job should have told something: a
+    silent job is found by the time that passes elsewhere, without an event of its own. What is held is one row a user.
+    """
+    source = events.withWatermark("ts", late) if events.isStreaming else events
+    stretch = source.groupBy("user_id", F.session_window("ts", silence).alias("w"))
+    return stretch.agg(F.min("ts").alias("started"), F.max("ts").alias("last_seen"), F.count("*").alias("n")).select("user_id", "started", "last_seen", "n")
