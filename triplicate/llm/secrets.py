@@ -26,13 +26,14 @@ SLICE = 256
 #: Bits per letter from which on a window of a class is taken for random.
 LEAST_BITS = {"hex": 3.0, "mixed": 3.7}
 #: Candidates that match one of these are known not to be secrets: identifiers of the form of a UUID,
-#: placeholders, alphabets and paths of words.
+#: placeholders and alphabets.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "(?i)example|placeholder|your[_-]|dummy|sample|changeme|xxxx|0000",
     "(?i)abcdefghij|0123456789|qwerty",
-    "^(?:[a-z]+[/_-])+[a-z0-9]+$",
 )
+#: Paths of words as well. Without a repeated group, which Java matches by recursion, so that one long path ends the JVM.
+PATH, PATH_NOT = "^[a-z][a-z/_-]*[/_-][a-z0-9]+$", "[/_-][/_-]"
 
 
 def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -60,15 +61,37 @@ def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
         inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
         return _once(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
 
-    def sliced(whole: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(whole)), F.lit(SLICE))
-        return F.transform(starts, lambda k: F.slice(whole, k, SLICE))
-
-    parts = _once(F.filter(pairs, lambda p: p["m"].isNotNull()), sliced)
+    parts = _once(F.filter(pairs, lambda p: p["m"].isNotNull()), _sliced)
     spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), nothing.alias("out")), slice_, lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
+def _sliced(whole: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(whole)), F.lit(SLICE))
+    return F.transform(starts, lambda k: F.slice(whole, k, SLICE))
+
+
+def _outside(candidates: Column, base: Column) -> Column:
+    """Candidates that no span of ``base`` holds: both in one order of their starts, with the furthest end so far."""
+    one = lambda s, k, found: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), found.alias("found"))
+    both = F.array_sort(F.concat(F.transform(base, lambda b: one(b, 0, F.lit(""))), F.transform(candidates, lambda c: one(c, 1, c["found"]))))
+    span_type = "array<struct<start:int,end:int,found:string>>"
+    none, nothing = F.array().cast(span_type), F.array().cast(f"array<{span_type}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        free = (x["k"] == 1) & (x["end"] > acc["reach"])
+        span = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"))
+        reach = F.when(x["k"] == 0, F.greatest(acc["reach"], x["end"])).otherwise(acc["reach"])
+        return F.struct(reach.alias("reach"), F.when(free, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def slice_(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["reach"].alias("reach"), none.alias("out")), step)
+        return _once(inner, lambda i: F.struct(i["reach"].alias("reach"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+    left = F.aggregate(_once(both, _sliced), F.struct(F.lit(-1).alias("reach"), nothing.alias("out")), slice_, lambda acc: F.flatten(acc["out"]))
+    return F.when((F.size(candidates) == 0) | (F.size(base) == 0), candidates).otherwise(left)
+
+
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often it stands there."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -111,7 +134,7 @@ def most_bits(candidate: Column) -> Column:
 
 
 def _random(found: Column) -> Column:
-    allowed = F.lit(False)
+    allowed = found.rlike(PATH) & ~found.rlike(PATH_NOT)
     for pattern in ALLOWED:
         allowed = allowed | found.rlike(pattern)
     is_hex = found.rlike("^[0-9a-fA-F]+$")
@@ -147,7 +170,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     base = F.concat(*(named(F.col(kind), kind, k) for k, kind in enumerate(KINDS)))
     outside = by_kind.withColumn("base", base).withColumn(
         "candidates",
-        F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])) & _random(c["found"])),
+        F.filter(_outside(F.col("candidates"), F.col("base")), lambda c: _random(c["found"])),
     )
     return outside.select(
         "doc_id",
