@@ -16,11 +16,11 @@ from triplicate.llm.toxicity import drop_toxic, train
 
 
 def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The columns of ``before``, with n_chars, where there is one, as long as the text now is."""
+    """``after`` with n_chars, where ``before`` has one, as long as the text now is."""
     if "n_chars" in before.columns:
         kind = before.schema["n_chars"].dataType
         after = after.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return after.select(*before.columns)
+    return after
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch sent to a Python worker; bounds a worker's memory whatever the length of texts.
 BATCH_BYTES = 2 << 20
@@ -78,12 +79,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+def plainly_named(df: DataFrame) -> DataFrame:
+    """All columns but doc_id and text under names without odd signs, for what looks columns up by name."""
+    return df.toDF(*[c if c in ("doc_id", "text") else f"c{i}_" for i, c in enumerate(df.columns)])
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a state per task: ``make()`` gives the function from a batch to columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    fields = StructType.fromDDL(schema)
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

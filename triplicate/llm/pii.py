@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplicate.llm.common import map_batches, prepare, table, texts
+from triplicate.llm.common import map_batches, plainly_named, prepare, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -272,7 +273,7 @@ def _normalized(plain: str, steps: list[Rewritten], digits: list[tuple[int, int,
         before = len(steps)
         rewrite(_dots(plain))
         dots = steps[-1].at if len(steps) > before else []
-        rewrite(_ats(plain, lambda a, b: any(a <= x < b for x in dots)))
+        rewrite(_ats(plain, lambda a, b: bisect_left(dots, a) < bisect_left(dots, b)))
     found = []
     for kind, start, end in detect(plain) if steps else ():
         for step in reversed(steps):
@@ -296,15 +297,33 @@ def disguised(text: str) -> list[Span]:
     found = _normalized(plain, steps, digits, may_dot)
     if more != digits:
         # Short runs can also lengthen what is an identifier without them, so both readings count.
-        wider = [s for s in _normalized(plain, steps, more, may_dot) if not any(a <= s[1] and s[2] <= b for _, a, b in found)]
-        found = [s for s in found if not any(s[0] == k and a <= s[1] and s[2] <= b for k, a, b in wider)] + wider
+        known = _Cover(found)
+        wider = [s for s in _normalized(plain, steps, more, may_dot) if not known.holds(s[1], s[2])]
+        new = {k: _Cover([s for s in wider if s[0] == k]) for k in KINDS}
+        found = [s for s in found if not new[s[0]].holds(s[1], s[2])] + wider
     return found
 
 
+class _Cover:
+    """Whether one of the spans holds a stretch: of those that begin no later, the furthest end tells."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(accumulate((b for _, b in ordered), max))
+
+    def holds(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, start)
+        return at > 0 and self.reach[at - 1] >= end
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Identifiers as written, and those that the transducers add; an added span never lies inside one of its kind."""
     base = detect(text)
-    added = [s for s in disguised(text) if not any(s[0] == k and a <= s[1] and s[2] <= b for k, a, b in base)]
+    added = disguised(text)
+    if added and base:
+        known = {k: _Cover([s for s in base if s[0] == k]) for k in KINDS}
+        added = [s for s in added if not known[s[0]].holds(s[1], s[2])]
     return base, added
 
 
@@ -345,7 +364,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of identifiers as written), base_sha256, spans (all), n_added.
 
     One pass over whole texts without a shuffle. Null and empty texts have no spans; repeated rows give repeated
-    rows; columns besides doc_id and text are not read.
+    rows; an empty table gives none; columns besides doc_id and text are not read.
     """
     prepare(docs.sparkSession)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -366,13 +385,13 @@ def _redact_all():
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, with every identifier in text replaced by its kind in brackets; null stays null."""
-    from pyspark.sql.types import StructType
+    """The same rows and columns, with every identifier in text replaced by its kind in brackets; null stays null.
 
+    Repeated rows are treated alike; an empty table gives no rows; columns may have any names and types.
+    """
     prepare(docs.sparkSession)
-    schema = StructType(docs.schema.fields)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return map_batches(docs, _redact_all, ddl)
+    plain = plainly_named(docs)
+    return map_batches(plain, _redact_all, plain.schema).toDF(*docs.columns)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplicate.llm.common import join_hot, map_batches, materialize, mix, prepare, table, texts, word_hashes, words_of
+from triplicate.llm.common import join_hot, map_batches, materialize, mix, plainly_named, prepare, table, texts, word_hashes, words_of
 from triplicate.llm.components import components
 
 BITS = 64
@@ -465,10 +465,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The same columns, with one document of each group of similar texts: that of the smallest doc_id.
 
-    Rows that repeat the doc_id that stays, stay with it.
+    Rows that repeat the doc_id that stays, stay with it. Rows without a doc_id always stay, copies too: nothing tells one
+    of them from another. Columns may have any names and types.
     """
     dropped = similar_groups(docs, shingle, similarity).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    plain = plainly_named(docs)
+    return plain.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from triplicate.llm.common import fresh, mix, prepare, table, texts, words_of
+from triplicate.llm.common import fresh, mix, plainly_named, prepare, table, texts, words_of
 
 WINDOW = 13
 #: Words of the phrases of which one is a window's anchor.
@@ -303,9 +303,10 @@ def remove_duplicates(docs: DataFrame) -> DataFrame:
     Other cases are as in :func:`count_kept`; columns may have any names and types.
     """
     prepare(docs.sparkSession)
-    tagged, names, block, blocks = _tagged(docs)
+    plain = plainly_named(docs)
+    tagged, names, block, blocks = _tagged(plain)
     spans = _spans(tagged, names, block, blocks)
-    return tagged.groupBy(block).cogroup(spans.groupBy("block")).applyInArrow(_kept_text(names, docs.columns), docs.schema)
+    return tagged.groupBy(block).cogroup(spans.groupBy("block")).applyInArrow(_kept_text(names, plain.columns), plain.schema).toDF(*docs.columns)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from triplicate.llm.common import fresh, map_batches, prepare, table, texts
+from triplicate.llm.common import map_batches, plainly_named, prepare, table, texts
 
 #: Labelled documents to learn from at most, of each label; drawn by a hash of doc_id.
 SAMPLE = 1000
@@ -376,6 +377,6 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     no rows.
     """
     prepare(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    name = fresh(docs, "toxic_score")
-    return map_batches(docs, _keep_clean(model, name), f"{schema}, {name} double").where(F.col(name) < least).select(*docs.columns)
+    plain = plainly_named(docs)
+    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    return map_batches(plain, _keep_clean(model, "score"), schema).where(F.col("score") < least).drop("score").toDF(*docs.columns)
