@@ -165,20 +165,6 @@ def overlaid_documents(spark, sf_dir):
     return p.replaced(d, newer, "slot").groupBy("slot").agg(F.count("*").alias("n"), F.max("l_partkey").alias("newest"))
 
 
-def rebuilt_projects(spark, sf_dir):
-    """Rows of rebuilt projects replaced; the same again changes nothing."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    fresh = orders.where("o_custkey % 3 = 0").withColumn("o_orderstatus", F.lit("N"))
-    return p.replaced(p.replaced(orders, fresh, "o_orderkey"), fresh, "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
-def audit_log(spark, sf_dir):
-    """The log with an entry for each finished project behind it."""
-    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("resource"))
-    more = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lit("FINALIZE").alias("action"), F.col("o_orderkey").cast("string").alias("resource"))
-    return log.unionByName(more).groupBy("action").agg(F.count("*").alias("n"), F.count_distinct("resource").alias("resources"))
-
-
 def documents_to_extract(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.sha2("text", 256).alias("hash"), (F.col("doc_id") % 3).alias("version"), "source", "lang", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 2).alias("prompt")
@@ -336,8 +322,6 @@ SQL = {
     "import_errors": "WITH b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 3 = 1) SELECT p_brand, string_agg(substr(p_partkey || ': ' || p_name, 1, 20), ';' ORDER BY n) FILTER (n <= 50) AS errors, count(*) AS invalid FROM b GROUP BY 1",
     "overlaid_documents": f"""WITH {_DOCS}, s AS (SELECT l_orderkey || '/' || kind AS slot, l_partkey FROM d), w AS (SELECT slot, max(l_partkey) + 1 AS l_partkey FROM s WHERE l_partkey % 10 = 0 GROUP BY 1)
         SELECT slot, count(*) AS n, max(l_partkey) AS newest FROM (SELECT * FROM s WHERE slot NOT IN (SELECT slot FROM w) UNION ALL SELECT * FROM w) GROUP BY 1""",
-    "rebuilt_projects": "SELECT CASE WHEN o_custkey % 3 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
-    "audit_log": "SELECT action, count(*) AS n, count(DISTINCT resource) AS resources FROM (SELECT event_type AS action, CAST(user_id AS VARCHAR) AS resource FROM events UNION ALL SELECT 'FINALIZE', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
     "documents_to_extract": """WITH d AS (SELECT doc_id, sha256(text) AS hash, doc_id % 3 AS version, source, lang, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 2 END AS prompt FROM documents)
         SELECT doc_id FROM d WHERE NOT EXISTS (SELECT 1 FROM d c WHERE c.doc_id % 4 <> 0 AND c.hash IS NOT DISTINCT FROM d.hash AND c.version = d.version AND c.source IS NOT DISTINCT FROM d.source AND c.lang IS NOT DISTINCT FROM d.lang AND c.prompt IS NOT DISTINCT FROM d.prompt)""",
     "silent_jobs": "WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, CAST(floor((epoch_us(ts) // 1000000 - epoch_us(before) // 1000000) / 3600) AS BIGINT) AS hours FROM e WHERE ts > before + INTERVAL 2 DAY",
@@ -380,6 +364,6 @@ SQL = {
 QUERIES = [
     tenant_projects, project_lookup, visible_makers, lenient_filter, required_documents, documents_by_type, document_list, last_documents, vanished_documents, project_overview,
     project_totals, dashboard, items_per_page, groups_by_code, groups_with_critical, sorted_projects, catalogue_order, latest_job, extraction_attempts, latest_extractions,
-    import_errors, overlaid_documents, rebuilt_projects, audit_log, documents_to_extract, silent_jobs, timestamps, json_values, flags_and_names, formatted_values,
+    import_errors, overlaid_documents, documents_to_extract, silent_jobs, timestamps, json_values, flags_and_names, formatted_values,
     page_evidence, sight_pages, doubtful_by_sight, text_routes, page_batches, page_texts, sheet_rows, page_anchors_once, catalogue_rows, category_keywords, dictionary_decisions,
 ]

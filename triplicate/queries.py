@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from triplicate.plans import files, projects, reconciliation, reports, reviews, services
+from triplicate.plans import dictionaries, files, projects, reconciliation, reports, reviews, services
 
-_PLANS = (reconciliation, services, projects, reports, reviews, files)
+_PLANS = (reconciliation, services, projects, reports, reviews, files, dictionaries)
 
 
 def queries() -> dict:
