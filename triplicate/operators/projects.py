@@ -71,14 +71,26 @@ def parsed(json: Column, path: str) -> Column:
 
 
 def evidence(items: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
-    """Items with a verdict on their page: NO_PAGE without one, PAGE_MISSING where it isn't there, TEXT_NOT_FOUND or VERIFIED."""
-    plain = lambda c: F.lower(F.regexp_replace(F.trim(c), "(?U)\\s+", " "))
-    joined = items.join(pages.select(*key, F.col("raw_text").alias("page_text")), key, "left")
-    verdict = (
-        F.when(F.col(key[-1]).isNull(), "NO_PAGE").when(F.col("page_text").isNull(), "PAGE_MISSING")
-        .when(F.contains(plain(F.col("page_text")), plain(F.col("said"))), "VERIFIED").otherwise("TEXT_NOT_FOUND")
+    """Items with ``verdict``, VERIFIED or UNCERTAIN, and ``issue``, if any: whether their page says what they say it says.
+
+    Items have the key's columns, the last of them a page's number, ``said`` and ``sku``; pages have the key, once each,
+    ``status`` and ``raw_text``. A page verifies an item by its text or by its code. EMPTY_EVIDENCE: neither page nor
+    text, or no text; INVALID_EVIDENCE: no such page; SOURCE_TEXT_MISMATCH: neither stands there. Pages that were not
+    processed or hold no text can't verify anything, which is no issue.
+    """
+    plain = lambda c: F.trim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", " ")))
+    named = F.coalesce(F.col(key[-1]), F.lit(0)) != 0
+    joined = items.join(pages.select(*key, F.col("raw_text").alias("page_text"), F.col("status").alias("page_status"), F.lit(True).alias("page_there")), key, "left")
+    said, sku, text = plain(F.col("said")), plain(F.col("sku").cast("string")), plain(F.col("page_text"))
+    there = F.col("page_there").isNotNull() & named
+    readable = there & (F.col("page_status") == "PROCESSED") & (F.coalesce("page_text", F.lit("")) != "")
+    holds = lambda c: (c != "") & F.contains(text, c)
+    issue = (
+        F.when(~named & (said == ""), "EMPTY_EVIDENCE").when(named & ~there, "INVALID_EVIDENCE").when(~F.coalesce(readable, F.lit(False)), None)
+        .when(said == "", "EMPTY_EVIDENCE").when(~(holds(said) | holds(sku)), "SOURCE_TEXT_MISMATCH")
     )
-    return joined.withColumn("verdict", verdict).drop("page_text")
+    verified = F.coalesce(readable, F.lit(False)) & (said != "") & (holds(said) | holds(sku))
+    return joined.withColumns({"verdict": F.when(verified, "VERIFIED").otherwise("UNCERTAIN"), "issue": issue}).drop("page_text", "page_status", "page_there")
 
 
 def needs_sight(pages: DataFrame, items: DataFrame, key: list[str], blocks: int = 3, letters: int = 80) -> DataFrame:
@@ -86,7 +98,7 @@ def needs_sight(pages: DataFrame, items: DataFrame, key: list[str], blocks: int
     elevation = F.col("view_type") == "ELEVATION"
     shown = items.groupBy(*key, "display").agg(
         F.count("*").alias("n"), F.count_if(F.coalesce("quantity", F.lit(0)) == 0).alias("bare"),
-        F.count_if(elevation).alias("elevations"), F.count_if(elevation & F.col("finish").isNotNull()).alias("finished"),
+        F.count_if(elevation).alias("elevations"), F.count_if(elevation & (F.trim("finish") != "")).alias("finished"),
     )
     of_page = shown.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"), F.count_if((F.col("elevations") > 0) & (F.col("finished") == 0)).alias("unfinished"))
     size = F.length(F.trim(F.coalesce("raw_text", F.lit(""))))
@@ -127,3 +139,50 @@ def anchors_once(left: DataFrame, right: DataFrame, key: str, page: str, within:
         return F.when(found.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(p.alias("page"), found.alias("anchor")))))
 
     return pages.select(key, F.explode(F.aggregate("from_", none, take)).alias("x")).select(key, F.col("x.page").alias(page), "x.anchor")
+
+
+#: Pages of one call by its kind, and prices of a million tokens in and out by model; others cost the last.
+PAGES_OF_A_CALL = {"text": 3, "vision": 6, "ocr": 6, "spec_book": 10}
+PRICES = {
+    "gpt-4o": (5.00, 15.00),
+    "gpt-4o-mini": (0.15, 0.60),
+    "gpt-4.1": (2.00, 8.00),
+    "gpt-4.1-mini": (0.40, 1.60),
+    "gemini-1.5-flash": (0.075, 0.30),
+    "gemini-2.0-flash": (0.10, 0.40),
+    "gemini-2.5-flash": (0.15, 0.60),
+    "gemini-3.8-flash": (0.15, 0.60),
+}
+OTHER_PRICE = (5.00, 15.00)
+#: What each state that one chooses stands for.
+SHOWN_STATES = {"READY": ("COMPLETED",), "PROCESSING": ("PROCESSING", "UPLOADED"), "FAILED": ("FAILED",)}
+
+
+def batch_number(page: Column, kind: str) -> Column:
+    """The call, from 0, in which a page is read."""
+    return F.floor((page - 1) / PAGES_OF_A_CALL[kind]).cast("long")
+
+
+def cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
+    """A call's cost, exact to six places; a model without a price costs ``OTHER_PRICE``."""
+    price = lambda i: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for m, p in PRICES.items() for x in (m, round(p[i] * 1000)))), model), F.lit(round(OTHER_PRICE[i] * 1000)))
+    return F.round((tokens_in * price(0) + tokens_out * price(1)).cast("decimal(38,9)") / F.lit(10**9).cast("decimal(38,9)"), 6)
+
+
+def matching_documents(documents: DataFrame, search: str = "", kind: str = "ALL", state: str = "ALL") -> DataFrame:
+    """Documents by part of their name, whatever its case, by type and by a state that may stand for several."""
+    if search.strip():
+        documents = documents.where(F.contains(F.lower(F.coalesce("filename", F.lit(""))), F.lit(search.lower())))
+    if kind != "ALL":
+        documents = documents.where(F.col("document_type") == kind)
+    return documents.where(F.col("status").isin(*SHOWN_STATES[state])) if state in SHOWN_STATES else documents
+
+
+def sorted_projects(projects: DataFrame, mode: str, key: str) -> DataFrame:
+    """Projects in one of four orders, by time of change (of making where there is none) or by name; another mode sorts by key.
+
+    Names are compared as people sort them, letters before their case and accents.
+    """
+    changed, name = F.coalesce("updated_at", "created_at"), F.collate("name", "UNICODE")
+    orders = {"updated_desc": changed.desc(), "updated_asc": changed.asc(), "name_asc": name.asc(), "name_desc": name.desc()}
+    return projects.orderBy(*([orders[mode]] if mode in orders else []), key)

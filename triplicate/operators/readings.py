@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -16,9 +17,9 @@ from triplicate.functions.dimensions import parse
 from triplicate.functions.text import leading_line_number, normalize_quantity, normalize_sku, normalize_text
 from triplicate.sources.scratch import cut
 
-#: Fields that are compared, and those of them for which the text reading is preferred.
-FIELDS = ("sku", "quantity", "description", "finish", "door_style", "line_number")
-TEXT_FIRST = ("sku", "quantity", "line_number")
+#: Fields that are compared besides the code, and those for which the reading by text is preferred.
+FIELDS = ("quantity", "description", "finish", "door_style", "line_number", "unit_price", "total_price", "dimensions")
+TEXT_FIRST = ("sku", "quantity", "price", "unit_price", "total_price", "line_number", "dimensions", "code", "item_code")
 LARGE_QUANTITY, LONG_CODE = 500, 18
 
 
@@ -50,9 +51,62 @@ def likeness(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-def _score(page_a, text_a, quantity_a, page_b, text_b, quantity_b) -> int:
-    same = lambda x, y: x is not None and x == x and x == y
-    return 2 * same(page_a, page_b) + 2 * (likeness(text_a, text_b) >= ALIKE) + same(quantity_a, quantity_b)
+def alike(a: str | None, b: str | None) -> bool:
+    """Whether two texts are alike enough; most that aren't are told by their lengths and letters alone."""
+    if not a or not b:
+        return False
+    if a == b:
+        return True
+    if 2 * min(len(a), len(b)) < ALIKE * (len(a) + len(b)):
+        return False
+    match = SequenceMatcher(None, a, b)
+    return match.quick_ratio() >= ALIKE and match.ratio() >= ALIKE
+
+
+def _same(x, y) -> bool:
+    return x is not None and x == x and x == y
+
+
+def paired_by_evidence(one: list[tuple], other: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of rows (ord, page, text, quantity) of most evidence first, each row once; ties in the rows' order.
+
+    From most evidence to least, rows in order take the first free row that agrees with them: on page, text and quantity,
+    then on page and text, then on page and quantity or text and quantity. What agrees on more and is still free would
+    have been taken before. So rows wait in queues by what they say, and only texts are compared, each pair of them once.
+    """
+    by: dict[tuple, list[int]] = defaultdict(list)
+    for ord_, page, text, count in sorted(other, key=lambda r: r[0], reverse=True):
+        for key in ((0, page, text, count), (1, page, text), (2, page, count), (3, text, count)):
+            by[key].append(ord_)
+    texts = {r[2] for r in other}
+    like: dict[str | None, list[str | None]] = {t: [x for x in texts if alike(t, x)] for t in {r[2] for r in one}}
+    taken: tuple[set, set] = (set(), set())
+
+    def head(key: tuple) -> int | None:
+        queue = by.get(key)
+        while queue and queue[-1] in taken[1]:
+            queue.pop()
+        return queue[-1] if queue else None
+
+    def wanted(level: int, page, text, count) -> Iterator[tuple]:
+        paged, counted = _same(page, page), _same(count, count)
+        if level < 3 and paged and (counted or level == 2):
+            yield from ((0, page, t, count) if level == 1 else (1, page, t) for t in like[text])
+        elif level == 3 and counted:
+            if paged:
+                yield (2, page, count)
+            yield from ((3, t, count) for t in like[text])
+
+    out = []
+    for level in (1, 2, 3):
+        for ord_, *said in sorted(one, key=lambda r: r[0]):
+            if ord_ not in taken[0]:
+                found = min((v for v in map(head, wanted(level, *said)) if v is not None), default=None)
+                if found is not None:
+                    taken[0].add(ord_)
+                    taken[1].add(found)
+                    out.append((ord_, found))
+    return out
 
 
 def _greedy(scored: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -105,27 +159,26 @@ def align(ocr: DataFrame, vision: DataFrame, keys: tuple[str, ...] = ("document_
 
     A code that occurs once in each reading is a pair (EXACT_CODE). Where it repeats, rows are paired by evidence of page,
     description and quantity (REPEATED_CODE), never by their order. What is left is paired on the same page by codes
-    that may have been misread (MISREAD_CODE), with such evidence too. Every row comes out exactly once. One task
-    compares the rows of a document that repeat one code; of misread codes only pairs that have evidence.
+    that may have been misread (MISREAD_CODE), with such evidence too. Every row comes out exactly once. One shuffle by
+    document and code brings both readings together; rows of a code that repeats are compared where they can agree.
     """
-    one, other = cut(_facts(ocr, keys)), cut(_facts(vision, keys))
+    facts = cut(_facts(ocr, keys).withColumn("side", F.lit(0)).unionByName(_facts(vision, keys).withColumn("side", F.lit(1))))
     by_code = Window.partitionBy(*keys, "code")
-    o, v = (f.where("code is not null").withColumn("n", F.count("*").over(by_code)) for f in (one, other))
-    single = o.where("n = 1").select(*keys, "code", F.col("ord").alias("o_ord")).join(v.where("n = 1").select(*keys, "code", F.col("ord").alias("v_ord")), [*keys, "code"])
-    exact = single.select(*keys, "o_ord", "v_ord", F.lit("EXACT_CODE").alias("basis"))
-    found = StructType([*one.select(*keys).schema, StructField("o_ord", one.schema["ord"].dataType), StructField("v_ord", other.schema["ord"].dataType), StructField("basis", StringType())])
-    repeats = o.where("n > 1").select(*keys, "code").unionByName(v.where("n > 1").select(*keys, "code")).distinct()
-    marked = lambda d, side: d.join(repeats, [*keys, "code"], "left_semi").withColumn("side", F.lit(side))
+    counted = facts.where("code is not null").withColumns({f"n{side}": F.count_if(F.col("side") == side).over(by_code) for side in (0, 1)})
+    met = counted.where("n0 > 0 and n1 > 0")
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("ord")))
+    exact = met.where("n0 = 1 and n1 = 1").groupBy(*keys, "code").agg(at(0).alias("o_ord"), at(1).alias("v_ord")).select(*keys, "o_ord", "v_ord", F.lit("EXACT_CODE").alias("basis"))
+    ord_ = facts.schema["ord"].dataType
+    found = StructType([*facts.select(*keys).schema, StructField("o_ord", ord_), StructField("v_ord", ord_), StructField("basis", StringType())])
 
     def repeated(group: list[tuple]) -> list[tuple[int, int]]:
-        a, b = ([r[1:] for r in group if r[0] == side] for side in (0, 1))
-        return _greedy([(s, x[0], y[0]) for x in a for y in b if (s := _score(*x[1:], *y[1:])) >= LEAST_EVIDENCE])
+        return paired_by_evidence(*([r[1:] for r in group if r[0] == side] for side in (0, 1)))
 
-    both = marked(o, 0).unionByName(marked(v, 1))
-    pairs = cut(exact.unionByName(_grouped(both, [*keys, "code"], ["side", "ord", "page", "said", "count"], repeated, "REPEATED_CODE", found)))
+    pairs = cut(exact.unionByName(_grouped(met.where("n0 > 1 or n1 > 1"), [*keys, "code"], ["side", "ord", "page", "said", "count"], repeated, "REPEATED_CODE", found)))
 
-    left = one.join(pairs.select(*keys, F.col("o_ord").alias("ord")), [*keys, "ord"], "left_anti")
-    right = other.join(pairs.select(*keys, F.col("v_ord").alias("ord")), [*keys, "ord"], "left_anti")
+    done = pairs.select(*keys, F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("ord")) for side, c in enumerate(("o_ord", "v_ord"))))).alias("x")).select(*keys, "x.*")
+    rest = facts.where("code is not null and page is not null").join(done, [*keys, "side", "ord"], "left_anti")
+    left, right = rest.where("side = 0"), rest.where("side = 1")
 
     @F.pandas_udf("array<string>")
     def misread(codes: pd.Series) -> pd.Series:
@@ -133,9 +186,9 @@ def align(ocr: DataFrame, vision: DataFrame, keys: tuple[str, ...] = ("document_
 
     @F.pandas_udf("int")
     def evidence(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([2 + 2 * (likeness(w, x) >= ALIKE) + (y is not None and y == y and y == z) for w, x, y, z in zip(a, b, c, d, strict=True)], dtype="int32")
+        return pd.Series([2 + 2 * alike(w, x) + _same(y, z) for w, x, y, z in zip(a, b, c, d, strict=True)], dtype="int32")
 
-    maybe = left.where("code is not null and page is not null").select(*keys, "page", F.col("ord").alias("o_ord"), F.col("said").alias("o_said"), F.col("count").alias("o_count"), F.explode(misread("code")).alias("code"))
+    maybe = left.select(*keys, "page", F.col("ord").alias("o_ord"), F.col("said").alias("o_said"), F.col("count").alias("o_count"), F.explode(misread("code")).alias("code"))
     seen = right.select(*keys, "page", "code", F.col("ord").alias("v_ord"), F.col("said").alias("v_said"), F.col("count").alias("v_count"))
     scored = maybe.join(seen, [*keys, "page", "code"]).withColumn("score", evidence("o_said", "v_said", "o_count", "v_count")).where(F.col("score") >= LEAST_EVIDENCE)
 
@@ -148,28 +201,42 @@ def align(ocr: DataFrame, vision: DataFrame, keys: tuple[str, ...] = ("document_
 
 
 def _norm(field: str, c: Column) -> Column:
+    """A field's value as it is compared; prices, sizes and other values as they stand. A blank is none."""
+    text = c.cast("string")
     if field == "sku":
-        return normalize_sku(c)
-    return normalize_quantity(c).cast("string") if field == "quantity" else normalize_text(c)
+        return normalize_sku(text)
+    if field == "quantity":
+        return normalize_quantity(text).cast("string")
+    if field in ("description", "finish", "door_style", "line_number"):
+        return F.when(F.length(normalize_text(text)) > 0, normalize_text(text))
+    return F.when(text != "", text)
 
 
 def merge(aligned: DataFrame, spatial: bool = False) -> DataFrame:
     """Each row's merged fields, its basis, the fields in conflict and whether it is VERIFIED or UNCERTAIN.
 
-    A field that one side leaves out is filled from the other and is no conflict. For spatial documents sight is
-    preferred in every field, else text in ``TEXT_FIRST``.
+    Sight is the base; what it leaves out is filled from the text, which is no conflict. In a conflict sight is preferred
+    for spatial documents, else the text in ``TEXT_FIRST`` and sight in the others. Fields that aren't compared are
+    merged as well. Rows with a counterpart and no conflict are VERIFIED, rows that stand alone are not.
     """
     o, v = F.col("o"), F.col("v")
+    held = [f.name for f in aligned.schema["o"].dataType.fields]
     picked, conflicts = [], []
-    for f in FIELDS:
+    for f in ("sku", *FIELDS):
+        if f not in held:
+            continue
+        a, b = _norm(f, o[f]), _norm(f, v[f])
+        differ = a != b
         first, second = (o[f], v[f]) if f in TEXT_FIRST and not spatial else (v[f], o[f])
-        given = lambda c: F.when(F.trim(c.cast("string")) != "", c)
-        picked.append(F.coalesce(given(first), given(second)).alias(f))
-        conflicts.append(F.when(_norm(f, o[f].cast("string")) != _norm(f, v[f].cast("string")), F.lit(f)))
+        preferred = F.coalesce(F.when(F.trim(first.cast("string")) != "", first), second)
+        conflicts.append(F.when(differ, F.lit(f)))
+        picked.append(F.when(differ, preferred).when(b.isNull() & a.isNotNull(), o[f]).otherwise(F.coalesce(v[f], o[f])).alias(f))
+    named = {*[c for c in aligned.columns if c not in ("o", "v")], "sku", *FIELDS}
+    others = [F.coalesce(v[f], o[f]).alias(f) for f in held if f not in named]
     found = F.array_compact(F.array(*conflicts))
     return aligned.select(
-        *[c for c in aligned.columns if c not in ("o", "v", "basis")], *picked, "basis", found.alias("conflicts"),
-        F.when(F.size(found) > 0, "UNCERTAIN").otherwise("VERIFIED").alias("verdict"),
+        *[c for c in aligned.columns if c not in ("o", "v", "basis")], *picked, *others, "basis", found.alias("conflicts"),
+        F.when((F.size(found) > 0) | o.isNull() | v.isNull(), "UNCERTAIN").otherwise("VERIFIED").alias("verdict"),
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from triplicate.functions.dimensions import parse
+from triplicate.functions.display import format_display
 from triplicate.functions.text import parse_flag, safe_filename
 from triplicate.operators import dictionary
 from triplicate.operators import projects as p
@@ -65,9 +66,9 @@ def documents_by_type(spark, sf_dir):
 
 def document_list(spark, sf_dir):
     """Documents by part of their source's name, language, and a state that stands for several."""
-    d = table(spark, sf_dir, "documents").withColumn("state", _one_of(("PROCESSING", "UPLOADED", "COMPLETED", "FAILED"), "doc_id"))
-    shown = {"READY": ("COMPLETED",), "PROCESSING": ("PROCESSING", "UPLOADED"), "FAILED": ("FAILED",)}["PROCESSING"]
-    return d.where(F.contains(F.lower("source"), F.lit("1")) & F.col("state").isin(*shown)).select("doc_id", "state")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("filename"), F.col("lang").alias("document_type"), _one_of(("PROCESSING", "UPLOADED", "COMPLETED", "FAILED"), "doc_id").alias("status"))
+    found = [p.matching_documents(d, *asked).withColumn("asked", F.lit(n)) for n, asked in enumerate((("1", "ALL", "PROCESSING"), (" ", "de", "READY"), ("SO", "en", "FAILED"), ("", "fr", "ODD")))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).select("asked", "doc_id", "status")
 
 
 def last_documents(spark, sf_dir):
@@ -126,8 +127,14 @@ def groups_with_critical(spark, sf_dir):
 
 
 def sorted_projects(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return table(spark, sf_dir, "orders").join(names, "o_custkey").orderBy(F.desc("c_name"), "o_orderkey").select("o_orderkey", "c_name").limit(50)
+    """The first 50 projects in each of the four orders."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    o = table(spark, sf_dir, "orders").join(names, "o_custkey").select("o_orderkey", "name", F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate") + F.expr("interval 400 days")).alias("updated_at"))
+    out = None
+    for mode in ("updated_desc", "updated_asc", "name_asc", "name_desc"):
+        first = p.sorted_projects(o, mode, "o_orderkey").select(F.lit(mode).alias("mode"), "o_orderkey", "name").limit(50)
+        out = first if out is None else out.unionByName(first)
+    return out
 
 
 def catalogue_order(spark, sf_dir):
@@ -153,9 +160,11 @@ def latest_extractions(spark, sf_dir):
 
 def import_errors(spark, sf_dir):
     """The first fifty errors of each maker's import, in order, cut to 20 letters."""
-    bad = table(spark, sf_dir, "part").where("p_partkey % 3 = 1")
-    told = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), 1, 50), lambda x: F.substring(F.concat(x["p_partkey"].cast("string"), F.lit(": "), x["p_name"]), 1, 20))
-    return bad.groupBy("p_brand").agg(F.array_join(told, ";").alias("errors"), F.count("*").alias("invalid"))
+    bad = table(spark, sf_dir, "part").where("p_partkey % 3 = 1").select("p_brand", "p_partkey", "p_name")
+    # A limit on the number within a group is kept by each task before the shuffle too, so no group is held whole.
+    first = bad.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("n <= 50")
+    told = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: F.substring(F.concat(x["p_partkey"].cast("string"), F.lit(": "), x["p_name"]), 1, 20))
+    return first.groupBy("p_brand").agg(F.array_join(told, ";").alias("errors")).join(bad.groupBy("p_brand").agg(F.count("*").alias("invalid")), "p_brand")
 
 
 def overlaid_documents(spark, sf_dir):
@@ -205,11 +214,16 @@ def formatted_values(spark, sf_dir):
 
 
 def page_evidence(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    page = F.when(F.col("l_partkey") % 9 != 0, F.col("l_linenumber"))
-    items = lines.select("l_orderkey", page.alias("page"), F.concat(F.lit(" Part  "), F.col("l_partkey") % 10).alias("said"))
-    pages = lines.where("l_linenumber <> 2").groupBy("l_orderkey", F.col("l_linenumber").alias("page")).agg(F.concat(F.lit("a part "), F.max(F.col("l_partkey") % 10), F.lit(" b")).alias("raw_text"))
-    return p.evidence(items, pages, ["l_orderkey", "page"]).groupBy("verdict").agg(F.count("*").alias("n"))
+    """Lines with what they say is on which page, judged by the pages' texts."""
+    lines, k, n = table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_linenumber")
+    items = lines.select(
+        "l_orderkey", F.when(k % 9 != 0, n).alias("page"), k.alias("item"), F.when(k % 4 != 0, F.concat(F.lit(" Part  "), k % 10)).otherwise(" ").alias("said"), F.when(k % 5 == 0, "A  PART").alias("sku"),
+    )
+    pages = lines.where("l_linenumber <> 2").groupBy("l_orderkey", n.alias("page")).agg(F.max(k % 10).alias("k"))
+    pages = pages.select(
+        "l_orderkey", "page", F.when(F.col("page") == 3, "EMPTY").otherwise("PROCESSED").alias("status"), F.when(F.col("l_orderkey") % 11 == 0, "").otherwise(F.concat(F.lit("a  part "), "k", F.lit("\n b"))).alias("raw_text"),
+    )
+    return p.evidence(items, pages, ["l_orderkey", "page"]).select("l_orderkey", "page", "item", "verdict", "issue")
 
 
 def sight_pages(spark, sf_dir):
@@ -237,8 +251,10 @@ def text_routes(spark, sf_dir):
 
 
 def page_batches(spark, sf_dir):
-    batch = F.floor((F.col("l_linenumber") - 1) / 3).cast("long").alias("batch")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", batch).agg(F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last"), F.count("*").alias("n"))
+    """Pages by the calls in which they are read, for each kind of call."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), p.batch_number(F.col("l_linenumber"), k).alias("batch")) for k in p.PAGES_OF_A_CALL))).alias("x")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kinds).select("l_orderkey", "l_linenumber", "x.*")
+    return rows.groupBy("l_orderkey", "kind", "batch").agg(F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last"), F.count("*").alias("n"))
 
 
 def page_texts(spark, sf_dir):
@@ -260,6 +276,20 @@ def page_anchors_once(spark, sf_dir):
     return p.anchors_once(pages.where("kind = 0"), pages.where("kind = 1"), "l_orderkey", "page")
 
 
+#: Values and how they are shown; ``#`` stands for a part's number.
+_DISPLAYED = (
+    (None, "—"), (" undefined ", "—"), (" plain \\ # ", "plain \\ #"), ('{"width": #, "height": "34.5H", "depth": null, "unit": "in"}', '#"W × 34.5H'), ('{"opening": "OPENING #"}', "OPENING #"), ("{'w': 36.0, 'D': ''}", '36"W'),
+    ('["a", "#", null]', "a, #, —"), ("[]", "—"), ('{"raw": "x", "color": "red", "no": "", "n": #, "sub": {"w": 3}}', 'color: red, n: #, sub: 3"W'), ("{broken #}", "{broken #}"), ('{"axis_certainty": "x"}', "—"), ('{"a": ["b", "c"]}', "a: b, c"),
+)
+
+
+def displayed_values(spark, sf_dir):
+    """Values of every kind as they are shown."""
+    k = F.col("p_partkey")
+    value = F.replace(F.element_at(F.array(*(F.lit(v) for v, _ in _DISPLAYED)), (k % len(_DISPLAYED) + 1).cast("int")), F.lit("#"), k.cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", format_display(value).alias("shown"))
+
+
 def catalogue_rows(spark, sf_dir):
     named = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("Weight"), F.when(F.col("p_partkey") % 6 != 0, F.concat(F.lit(" "), "p_name", F.lit(" "), F.col("p_partkey").cast("string"))).alias("Item #"), F.col("p_type").alias("Product Description"),
@@ -296,6 +326,7 @@ _CATEGORIES = ", ".join(repr(c) for c in dictionary.CATEGORIES)
 _INFER = f"CASE WHEN upper(trim(t)) IN ({_CATEGORIES}) THEN upper(trim(t)) {_KEYWORDS} ELSE 'UNKNOWN' END"
 
 SQL = {
+    "displayed_values": "SELECT p_partkey, replace([" + ", ".join(f"'{shown}'" for _, shown in _DISPLAYED) + f"][p_partkey % {len(_DISPLAYED)} + 1], '#', CAST(p_partkey AS VARCHAR)) AS shown FROM part",
     "tenant_projects": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)",
     "project_lookup": "SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 42 LIMIT 1",
     "visible_makers": "SELECT p_partkey, p_partkey % 4 <> 0 AND p_size % 5 = 3 AS editable FROM part WHERE p_partkey % 4 = 0 OR p_size % 5 = 3",
@@ -303,7 +334,9 @@ SQL = {
     "required_documents": f"""WITH {_DOCS}, k AS (SELECT l_orderkey, bool_or(kind = 'DESIGN') AS d, bool_or(kind = 'ACKNOWLEDGEMENT') AS a, bool_or(kind IN ('ORDER', 'CABINET_LIST')) AS o FROM d GROUP BY 1)
         SELECT l_orderkey, concat_ws(', ', CASE WHEN NOT d THEN 'DESIGN' END, CASE WHEN NOT a THEN 'ACKNOWLEDGEMENT' END, CASE WHEN NOT o THEN 'ORDER or CABINET_LIST' END) AS missing, d AND a AND o AS ready FROM k""",
     "documents_by_type": f"WITH {_DOCS} SELECT CASE WHEN kind = 'CABINET_LIST' THEN 'ORDER' ELSE kind END AS kind, count(*) AS n FROM d GROUP BY 1",
-    "document_list": "SELECT doc_id, ['PROCESSING', 'UPLOADED', 'COMPLETED', 'FAILED'][doc_id % 4 + 1] AS state FROM documents WHERE contains(lower(source), '1') AND doc_id % 4 < 2",
+    "document_list": """WITH d AS (SELECT doc_id, lower(source) AS name, lang, ['PROCESSING', 'UPLOADED', 'COMPLETED', 'FAILED'][doc_id % 4 + 1] AS status FROM documents)
+        SELECT 0 AS asked, doc_id, status FROM d WHERE contains(name, '1') AND status IN ('PROCESSING', 'UPLOADED') UNION ALL SELECT 1, doc_id, status FROM d WHERE lang = 'de' AND status = 'COMPLETED'
+        UNION ALL SELECT 2, doc_id, status FROM d WHERE contains(name, 'so') AND lang = 'en' AND status = 'FAILED' UNION ALL SELECT 3, doc_id, status FROM d WHERE lang = 'fr'""",
     "last_documents": f"WITH {_DOCS} SELECT l_orderkey, kind, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS l_partkey FROM d GROUP BY 1, 2",
     "vanished_documents": "WITH n AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_suppkey % 50 <> 0) SELECT DISTINCT l_orderkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.l_orderkey = l.l_orderkey AND n.l_linenumber = l.l_linenumber AND n.l_partkey = l.l_partkey)",
     "project_overview": f"""WITH {_FACTS} SELECT *, CAST(CASE WHEN state IN ('FINALIZED', 'COMPLETED') THEN 100 WHEN state = 'PROCESSING' THEN 70 WHEN state = 'REVIEW_REQUIRED' THEN CASE WHEN total > 0 THEN 70 + floor(resolved / total * 30) ELSE 90 END
@@ -314,7 +347,9 @@ SQL = {
     "items_per_page": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "groups_by_code": "SELECT CASE WHEN p_partkey % 7 <> 0 THEN upper(p_name) ELSE 'Unknown SKU' END AS code, count(*) FILTER (p_partkey % 3 = 0) AS matched, count(*) FILTER (p_partkey % 3 = 1) AS changed, count(*) FILTER (p_partkey % 3 = 2) AS missing FROM part GROUP BY 1",
     "groups_with_critical": "SELECT user_id, bool_or(event_type = 'error') AS critical, count(*) FILTER (event_type <> 'error' AND value > 100) AS open FROM events GROUP BY 1",
-    "sorted_projects": "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY c_name DESC, o_orderkey LIMIT 50",
+    "sorted_projects": """WITH o AS (SELECT o_orderkey, c_name AS name, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + INTERVAL 400 DAY ELSE o_orderdate END AS changed FROM orders JOIN customer ON c_custkey = o_custkey),
+        r AS (SELECT *, row_number() OVER (ORDER BY changed DESC, o_orderkey) AS a, row_number() OVER (ORDER BY changed, o_orderkey) AS b, row_number() OVER (ORDER BY name, o_orderkey) AS c, row_number() OVER (ORDER BY name DESC, o_orderkey) AS d FROM o)
+        SELECT 'updated_desc' AS mode, o_orderkey, name FROM r WHERE a <= 50 UNION ALL SELECT 'updated_asc', o_orderkey, name FROM r WHERE b <= 50 UNION ALL SELECT 'name_asc', o_orderkey, name FROM r WHERE c <= 50 UNION ALL SELECT 'name_desc', o_orderkey, name FROM r WHERE d <= 50""",
     "catalogue_order": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_size END AS page, p_name FROM part ORDER BY page ASC NULLS LAST, p_name, p_partkey LIMIT 50",
     "latest_job": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS job, arg_max(event_id, (ts, event_id)) FILTER (event_type NOT IN ('purchase', 'error')) AS active FROM events GROUP BY 1",
     "extraction_attempts": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS attempt, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS is_latest FROM events",
@@ -329,9 +364,11 @@ SQL = {
     "json_values": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'not ' || props ELSE regexp_extract(props, '\"k\": ([0-9]+)', 1) END AS value FROM events",
     "flags_and_names": "SELECT p_partkey, p_partkey % 6 NOT IN (3, 4) AS flag, regexp_replace(p_name || 'a b#' || p_partkey || '.pdf', '[^A-Za-z0-9._-]', '_', 'g') AS name FROM part",
     "formatted_values": "SELECT p_partkey, ['36 × 12 × 24', '12', 'OPENING 30', '-'][p_partkey % 4 + 1] AS size, ['Item presence', 'Door Style', 'Drawer Box', 'SKU'][p_size % 4 + 1] AS label FROM part",
-    "page_evidence": """WITH g AS (SELECT l_orderkey, l_linenumber AS page, max(l_partkey % 10) AS k FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1, 2)
-        SELECT CASE WHEN l_partkey % 9 = 0 THEN 'NO_PAGE' WHEN k IS NULL THEN 'PAGE_MISSING' WHEN k = l_partkey % 10 THEN 'VERIFIED' ELSE 'TEXT_NOT_FOUND' END AS verdict, count(*) AS n
-        FROM lineitem l LEFT JOIN g ON g.l_orderkey = l.l_orderkey AND page = l_linenumber GROUP BY 1""",
+    "page_evidence": """WITH g AS (SELECT l_orderkey, l_linenumber AS n, max(l_partkey % 10) AS k FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1, 2),
+        j AS (SELECT l.l_orderkey, CASE WHEN l_partkey % 9 <> 0 THEN l_linenumber END AS page, l_partkey AS item, l_partkey % 4 <> 0 AS says, l_partkey % 5 = 0 AS sku, g.k, l_partkey % 10 AS mine, g.n = 3 OR l.l_orderkey % 11 = 0 AS unread
+          FROM lineitem l LEFT JOIN g ON g.l_orderkey = l.l_orderkey AND g.n = l_linenumber AND l_partkey % 9 <> 0),
+        i AS (SELECT *, CASE WHEN page IS NULL THEN CASE WHEN NOT says THEN 'EMPTY_EVIDENCE' END WHEN k IS NULL THEN 'INVALID_EVIDENCE' WHEN unread THEN NULL WHEN NOT says THEN 'EMPTY_EVIDENCE' WHEN NOT sku AND k <> mine THEN 'SOURCE_TEXT_MISMATCH' END AS issue FROM j)
+        SELECT l_orderkey, page, item, CASE WHEN page IS NOT NULL AND k IS NOT NULL AND NOT unread AND issue IS NULL THEN 'VERIFIED' ELSE 'UNCERTAIN' END AS verdict, issue FROM i""",
     "sight_pages": """WITH g AS (SELECT l_orderkey, l_linenumber AS page, min(l_suppkey) * 7 % 200 AS size, max(l_partkey) % 12 AS blocks FROM lineitem GROUP BY 1, 2),
         i AS (SELECT l_orderkey, l_linenumber AS page, count(*) AS n, count(*) FILTER (l_partkey % 11 = 0 OR l_quantity = 0) AS bare FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1, 2),
         u AS (SELECT DISTINCT l_orderkey, page FROM (SELECT l_orderkey, l_linenumber AS page, l_partkey % 2 AS display FROM lineitem WHERE l_partkey % 4 <> 0 AND l_suppkey % 2 = 0 GROUP BY ALL HAVING count(*) FILTER (l_partkey % 3 <> 0) = 0))
@@ -340,7 +377,8 @@ SQL = {
     "doubtful_by_sight": """WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 3 = 0) SELECT l_orderkey, l_linenumber, l_partkey, coalesce(nullif(round(l_discount * 10, 2), 0), 1) < 0.4 AS doubtful
         FROM lineitem l WHERE l_partkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM t WHERE t.l_orderkey = l.l_orderkey AND t.l_linenumber = l.l_linenumber)""",
     "text_routes": "SELECT source, CASE WHEN sum(length(coalesce(text, ''))) >= 30 THEN 'TEXT' ELSE 'IMAGE' END AS route, CAST(ceil(count(*) / 3) AS BIGINT) AS batches FROM documents GROUP BY 1",
-    "page_batches": "SELECT l_orderkey, CAST(floor((l_linenumber - 1) / 3) AS BIGINT) AS batch, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS n FROM lineitem GROUP BY 1, 2",
+    "page_batches": """SELECT l_orderkey, kind, CAST(floor((l_linenumber - 1) / k) AS BIGINT) AS batch, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS n
+        FROM lineitem, (VALUES ('text', 3), ('vision', 6), ('ocr', 6), ('spec_book', 10)) AS v(kind, k) GROUP BY 1, 2, 3""",
     "page_texts": """WITH b AS (SELECT l_orderkey, l_linenumber AS page, l_partkey || '.' || l_suppkey || '.' || CAST(trunc(l_quantity) AS INT) AS t, round_even(l_partkey % 97 / 10, 0) AS y, l_suppkey AS x FROM lineitem),
         g AS (SELECT l_orderkey, page, string_agg(t, chr(10) ORDER BY y, x, t) AS text FROM b GROUP BY 1, 2)
         SELECT l_orderkey, string_agg('--- PAGE ' || page || ' ---' || chr(10) || text, chr(10) ORDER BY page) AS text FROM g GROUP BY 1""",
@@ -362,6 +400,7 @@ SQL = {
           3 + coalesce(more, 0) AS variants FROM h LEFT JOIN v ON v.p_partkey = h.p_partkey""",
 }
 QUERIES = [
+    displayed_values,
     tenant_projects, project_lookup, visible_makers, lenient_filter, required_documents, documents_by_type, document_list, last_documents, vanished_documents, project_overview,
     project_totals, dashboard, items_per_page, groups_by_code, groups_with_critical, sorted_projects, catalogue_order, latest_job, extraction_attempts, latest_extractions,
     import_errors, overlaid_documents, documents_to_extract, silent_jobs, timestamps, json_values, flags_and_names, formatted_values,

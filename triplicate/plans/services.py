@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triplicate.operators import dictionary, readings
+from triplicate.operators.projects import PRICES, cost
 from triplicate.plans import reconciliation as r
 from triplicate.sources.line_items import table
 from triplicate.streaming.activity import beats, fixed_window, limited, recent_hits, windowed_counts
@@ -86,12 +87,14 @@ def stale_jobs(spark, sf_dir):
     return last.join(F.broadcast(now), F.col("ts") < F.col("now") - F.expr("interval 5 minutes")).where("state = 'signup'").select("user_id")
 
 
+_MODELS = (*PRICES, "another")
+
+
 def usage_cost(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 1000 * 10).alias("tin"), (F.col("event_id") % 77).alias("tout"))
-    price = F.when(F.col("event_type") == "click", F.lit(0.15)).otherwise(F.lit(5.0))
-    out = F.when(F.col("event_type") == "click", F.lit(0.6)).otherwise(F.lit(15.0))
-    micro = (F.col("tin") * (price * 100).cast("long") + F.col("tout") * (out * 100).cast("long")).alias("c")
-    return e.select("event_type", "tin", "tout", micro).groupBy("event_type").agg(F.sum("tin").alias("tokens_in"), F.sum("tout").alias("tokens_out"), F.round(F.sum("c") / 1e8, 6).alias("cost"))
+    """Tokens and cost of each model's calls."""
+    model = F.element_at(F.lit(list(_MODELS)), (F.col("event_id") % len(_MODELS) + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select(model.alias("model"), (F.col("event_id") % 1000 * 10).alias("tin"), (F.col("event_id") % 77).alias("tout"))
+    return e.groupBy("model").agg(F.sum("tin").alias("tokens_in"), F.sum("tout").alias("tokens_out"), F.sum(cost(F.col("model"), F.col("tin"), F.col("tout"))).cast("double").alias("cost"))
 
 
 def report_rows(spark, sf_dir):
@@ -248,7 +251,9 @@ SQL = {
     "sliding_hits": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS hits FROM events",
     "job_state": "SELECT user_id, coalesce(arg_min(CASE WHEN event_type IN ('purchase', 'error') THEN event_type END, CASE WHEN event_type IN ('purchase', 'error') THEN (ts, event_id) END), arg_max(event_type, (ts, event_id))) AS state FROM events GROUP BY 1",
     "stale_jobs": "SELECT user_id FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS ts FROM events GROUP BY 1) WHERE state = 'signup' AND ts < (SELECT max(ts) FROM events) - INTERVAL 5 MINUTE",
-    "usage_cost": "SELECT event_type, CAST(sum(event_id % 1000 * 10) AS BIGINT) AS tokens_in, CAST(sum(event_id % 77) AS BIGINT) AS tokens_out, round(CAST(sum(CASE WHEN event_type = 'click' THEN event_id % 1000 * 10 * 15 + event_id % 77 * 60 ELSE event_id % 1000 * 10 * 500 + event_id % 77 * 1500 END) AS DOUBLE) / 1e8, 6) AS cost FROM events GROUP BY 1",
+    "usage_cost": f"""WITH e AS (SELECT [{', '.join(repr(m) for m in _MODELS)}][event_id % {len(_MODELS)} + 1] AS model, event_id % 1000 * 10 AS tin, event_id % 77 AS tout FROM events),
+        p(model, i, o) AS (VALUES {', '.join(f"('{m}', {i}::DECIMAL(9,3), {o}::DECIMAL(9,3))" for m, (i, o) in PRICES.items())})
+        SELECT e.model, CAST(sum(tin) AS BIGINT) AS tokens_in, CAST(sum(tout) AS BIGINT) AS tokens_out, CAST(sum(round((tin * coalesce(i, 5) + tout * coalesce(o, 15)) * 0.000001::DECIMAL(9,6), 6)) AS DOUBLE) AS cost FROM e LEFT JOIN p USING (model) GROUP BY 1""",
     "report_rows": f"{_F} SELECT g.project_id, g.design_id, g.order_id, g.ack_id, g.status, g.final_sku, f.field, f.severity, f.introduced_at FROM g LEFT JOIN f ON f.project_id = g.project_id AND coalesce(f.design_id, f.order_id, f.ack_id) = coalesce(g.design_id, g.order_id, g.ack_id)",
     "bulk_accept": f"{_F} SELECT field, CASE WHEN severity <> 'Critical' THEN 'ACCEPTED' ELSE 'OPEN' END AS status, count(*) AS n FROM f GROUP BY 1, 2",
     "actionable": f"{_F} SELECT project_id, coalesce(design_id, order_id, ack_id) AS item, field, severity, introduced_at FROM f ORDER BY CASE severity WHEN 'Critical' THEN 1 WHEN 'Warning' THEN 3 ELSE 4 END, project_id, item, field, introduced_at LIMIT 100",
@@ -265,7 +270,7 @@ SQL = {
           CASE WHEN o.sku IS NULL THEN 'VISION_ONLY' WHEN v.sku IS NULL THEN 'OCR_ONLY' ELSE 'EXACT_CODE' END AS basis,
           concat_ws(',', CASE WHEN o.quantity <> v.quantity THEN 'quantity' END, CASE WHEN upper(o.finish) <> upper(v.finish) THEN 'finish' END, CASE WHEN upper(o.door_style) <> upper(v.door_style) THEN 'door_style' END) AS conflicts
         FROM (SELECT * FROM t WHERE side = 'DESIGN') o FULL JOIN (SELECT * FROM t WHERE side = 'ACK') v ON o.document_id = v.document_id AND o.sku = v.sku)
-        SELECT *, CASE WHEN conflicts = '' THEN 'VERIFIED' ELSE 'UNCERTAIN' END AS verdict FROM j""",
+        SELECT *, CASE WHEN conflicts = '' AND basis = 'EXACT_CODE' THEN 'VERIFIED' ELSE 'UNCERTAIN' END AS verdict FROM j""",
     "readings_paired": """WITH r AS (SELECT l_orderkey AS document_id, l_linenumber AS n, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2),
         s AS (SELECT *, n % 3 = 0 AS misread, k % 5 <> 0 AS seen, count(*) FILTER (n % 3 <> 0) OVER w AS ro, count(*) FILTER (n % 3 <> 0 AND k % 5 <> 0) OVER w AS rv FROM r WINDOW w AS (PARTITION BY document_id)),
         t AS (SELECT *, CASE WHEN misread THEN CASE WHEN seen AND k % 7 <> 0 THEN 'MISREAD_CODE' END WHEN ro = 1 AND rv = 1 AND seen THEN 'EXACT_CODE' WHEN seen AND k % 7 <> 0 THEN 'REPEATED_CODE' END AS basis FROM s)
