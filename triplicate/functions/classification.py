@@ -65,14 +65,14 @@ MOLDING_MARK = "[A-Z0-9_] MLD\\b"
 CODE_RULES = (
     ("COMMERCIAL_CHARGE", 0.98, (".*(FREIGHT|TARIFF|SURCHARGE|SHIPPING|DELIVERY|UPCHARGE|NONCHG|NONCHARGE).*",)),
     ("APPLIANCE", 0.92, (
-        "^(REF|FRIDGE|DW|DISH|RNG|RANGE|MW|MICROWAVE|HOOD|OV|OVN|OVEN|COOK|AP|APPL|SINK|FAUCET|ELX)[._0-9A-Z-]*$",
+        "^(REF|FRIDGE|DW|DISH|RNG|RANGE|MW|MICROWAVE|HOOD|OV|OVN|OVEN|COOK|AP|APPL|SINK|FAUCET|ELX)[\\.\\-_0-9A-Z]*$",
         "^(GR|PWS|WS|PRO|ICB|BI|MIE|WOLF|SUB|MONO|ZEPH|THERM)[0-9]+.*$",
-        ".*[._-](REF|DW|DISH|RNG|RANGE|MW|HOOD|OVEN|OVN|SINK|APPL)[._0-9A-Z-]*$",
+        ".*[\\.\\-_](REF|DW|DISH|RNG|RANGE|MW|HOOD|OVEN|OVN|SINK|APPL)[\\.\\-_0-9A-Z]*$",
     )),
     ("ARCHITECTURAL_ANNOTATION", 0.92, (
-        "^(WALL|WIN|WINDOW|DR|DOOR|ROOM|CLG|HT|ELEC|PLUMB|ARCH|OPENING|PASS)[._0-9A-Z-]*$",
+        "^(WALL|WIN|WINDOW|DR|DOOR|ROOM|CLG|HT|ELEC|PLUMB|ARCH|OPENING|PASS)[.\\-_0-9A-Z]*$",
         ".*(AHSDX|MNTLDX|MWTLDX|CLME|SMCRN|MANTEL|LEDGE|SOFFIT|BULKHEAD|HEADER).*",
-        "^(RO|DIM|NOTE)[._-][0-9A-Z]*$",
+        "^(RO|DIM|NOTE)[.\\-_][0-9A-Z]*$",
     )),
     ("FILLER", 0.90, ("^(BF|WF|TF)[0-9]+[A-Z0-9]*$", "^(FLR|FIL|FILLER|FF)[0-9]*[A-Z0-9]*$", ".*FILLER.*")),
     ("PANEL", 0.90, ("^(EP|BEP|WEP|REP|TEP|PNL|PANEL|FSKIN|DEP|DLEP|FAP|DBP|DLBP)[0-9]*[A-Z0-9]*$", ".*PANEL.*")),
