@@ -75,3 +75,18 @@ def test_items(spark):
     b = with_features(rows.select("i", "sub", *side(2)), substitution="sub").select("i", F.col("f").alias("b"))
     found = a.join(b, "i").select("i", "wanted", item_match(F.col("a"), F.col("b")).alias("found")).orderBy("i").collect()
     assert [(r.i, r.found) for r in found] == [(r.i, r.wanted) for r in found]
+
+
+def test_texts_are_read_once_however_often_they_are_asked(spark):
+    """Sizes, classes and keys compute a text once, not for each branch; and sizes with decimals and without agree."""
+    from triplicate.functions.equivalence import block_keys, with_features
+
+    df = spark.createDataFrame([(1, "12.5W x 30H", "base", "CABINET")], "id int, a string, description string, category string")
+    written = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert written(dimensions.parse(F.col("a"))).count("translate(a#") == 1
+    assert written(classify(F.col("a"), F.col("description"))).count("cast(description#") == 2
+    keyed = with_features(df.select("id", F.col("a").alias("raw_sku"), "description", "category", dimensions.parse(F.col("a")).alias("dimensions"))).select(block_keys(F.col("f")).alias("k"))
+    assert keyed.select("k.own")._jdf.queryExecution().analyzed().toString().count("array_sort") <= 2
+    texts = ["12W x 30H x 24D", "12.0W x 30.0H x 24.0D", "1.2.3W", "30 h", 'opening 12"', "5 x 6 x 7", "w12", " none "]
+    found = [r[0] and tuple(r[0])[:3] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(dimensions.parse(F.col("t"))).collect()]
+    assert found == [(12, 30, 24), (12, 30, 24), (2.3, None, None), (None, 30, None), (12, None, None), (5, 6, 7), (12, None, None), None]
