@@ -151,3 +151,12 @@ def test_a_final_project_stays_as_it_is(spark):
 
 def test_nothing(spark):
     assert not compared(spark, [], [], [], [], [])
+
+
+def test_the_log_is_joined_by_shuffles(spark):
+    """Tables of the log grow with it, whatever the size of their files, so none goes through the driver."""
+    from triplicate.plans import reviews
+
+    out = review.review_log(*reviews._tables(spark, "/root/testdata/sf0.001"))
+    plans = [getattr(out, n)._jdf.queryExecution().executedPlan().toString() for n in ("verdicts", "differences", "projects", "audit")]
+    assert not any("Broadcast" in p for p in plans)

@@ -45,6 +45,11 @@ class Outcome:
     audit: DataFrame
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``cut``, and joined by shuffles: such tables grow with the log, but their files are so small that Spark would broadcast them."""
+    return cut(df).hint("merge")
+
+
 def _numbered(events: DataFrame) -> DataFrame:
     """Events with ``number``, the turning events up to them, and whether a run of processing was under way."""
     order = Window.partitionBy("project_id").orderBy("at", "event_id")
@@ -149,12 +154,13 @@ def review_log(projects: DataFrame, documents: DataFrame, differences: DataFrame
     BULK_ACCEPT and OVERRIDE_DATA. Events of one time go by event_id. A finished run and a replaced document wipe what
     was found before. Events of an unknown project, of an unknown kind, and on what isn't there are refused.
     """
+    projects, documents = projects.hint("merge"), documents.hint("merge")
     known = events.join(projects.select("project_id", F.col("status").alias("initial")), "project_id", "left")
-    log = cut(_with_epochs(_numbered(known.where("initial is not null")), documents))
+    log = _kept(_with_epochs(_numbered(known.where("initial is not null")), documents))
     lost = known.where("initial is null").select("event_id", "project_id", "kind", F.lit("Project not found").alias("reason"))
     turns = log.where(F.col("kind").isin(*TURNING))
-    found = cut(_born(differences, turns))
-    groups = cut(_born(members.select("project_id", "group_id", "item_id", "since").distinct(), turns))
+    found = _kept(_born(differences, turns))
+    groups = _kept(_born(members.select("project_id", "group_id", "item_id", "since").distinct(), turns))
     there = lambda x: F.col(f"{x}.born").between(F.col("e.epoch"), F.col("e.number")) & (F.col(f"{x}.since").isNull() | (F.col(f"{x}.since") <= F.col("e.at")))
     d, e = found.alias("d"), log.alias("e")
     of_project = F.col("e.project_id") == F.col("d.project_id")
@@ -172,7 +178,7 @@ def review_log(projects: DataFrame, documents: DataFrame, differences: DataFrame
     rows = turns.select(*columns).unionByName(counts.join(initial, "project_id"), allowMissingColumns=True).unionByName(initial.withColumn("number", F.lit(0)), allowMissingColumns=True)
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.select(*columns, "stretches", "n").repartition(n, "project_id").sortWithinPartitions("project_id", "number", F.col("event_id").asc_nulls_last())
-    states = cut(ordered.mapInArrow(_decided, _TURNS))
+    states = _kept(ordered.mapInArrow(_decided, _TURNS))
     turned = states.where("event_id is not null")
 
     # Everything else in the state that its project was in by then.
@@ -182,7 +188,7 @@ def review_log(projects: DataFrame, documents: DataFrame, differences: DataFrame
     named = F.col("d.difference_id").isNotNull().alias("difference_there")
     reviews = in_state(direct.select("e.*", named)).withColumn("reason", F.when(~F.col("difference_there"), "Discrepancy not found").otherwise(final))
     why = F.when(~F.col("group_there"), "MatchGroup not found").otherwise(F.coalesce(final, F.when(~F.col("item_there"), "Item does not belong to this MatchGroup")))
-    overrides = cut(in_state(overrides).withColumn("reason", why))
+    overrides = _kept(in_state(overrides).withColumn("reason", why))
     bulk = in_state(log.where("kind = 'BULK_ACCEPT'")).withColumn("reason", final)
     other = log.where(~F.col("kind").isin(*ACTIONS, *TURNING, "OVERRIDE_DATA", "BULK_ACCEPT")).withColumn("reason", F.lit("Unknown action"))
     verdicts = lost.unionByName(turned.join(turns.select("event_id", "project_id", "kind"), ["event_id", "project_id"]).select(*lost.columns))
@@ -199,7 +205,7 @@ def review_log(projects: DataFrame, documents: DataFrame, differences: DataFrame
     effective = held.withColumn("nth", F.row_number().over(by_difference)).where("nth = 1 or not if_open")
     outcome = F.create_map(*(F.lit(x) for pair in {**ACTIONS, "BULK_ACCEPT": "ACCEPTED", "OVERRIDE_DATA": "SUPERSEDED"}.items() for x in pair))
     steps = effective.withColumn("new", outcome[F.col("action")]).withColumn("previous", F.lag("new", 1, "OPEN").over(by_difference))
-    steps = cut(steps)
+    steps = _kept(steps)
     left = steps.groupBy("project_id", "difference_id").agg(F.max_by("new", F.struct("at", "event_id")).alias("status"))
     epochs = log.groupBy("project_id").agg(F.max("epoch").alias("epoch"))
     after = found.join(left, ["project_id", "difference_id"], "left").join(epochs, "project_id", "left")
@@ -236,7 +242,7 @@ def _audit(steps: DataFrame, overrides: DataFrame, members: DataFrame, turned: D
     )
     base = members.groupBy("project_id", "item_id", "field").agg(F.min_by("value", F.coalesce("since", F.lit("1970-01-01").cast("timestamp"))).alias("base"))
     w = Window.partitionBy("project_id", "item_id", "field").orderBy("at", "event_id")
-    set_ = overrides.join(base, ["project_id", "item_id", "field"], "left").withColumns({"nth": F.row_number().over(w), "earlier": F.lag("value").over(w)})
+    set_ = overrides.join(base.hint("merge"), ["project_id", "item_id", "field"], "left").withColumns({"nth": F.row_number().over(w), "earlier": F.lag("value").over(w)})
     of_item = set_.select(
         "event_id", "project_id", F.lit("OVERRIDE_DATA").alias("action"), F.lit("CanonicalLineItem").alias("resource_type"), F.col("item_id").cast("string").alias("resource_id"),
         F.when(F.col("nth") == 1, F.col("base")).otherwise(F.col("earlier")).alias("previous"), F.col("value").alias("new"), F.lit(False).alias("bulk"),
@@ -277,4 +283,4 @@ def may_finalize(projects: DataFrame, differences: DataFrame) -> DataFrame:
     """Each project's verdict: FINAL already, INCOMPLETE, BLOCKED by open critical differences, or READY."""
     blocked = differences.where("status = 'OPEN' and severity = 'Critical'").select("project_id").distinct().withColumn("blocked", F.lit(True))
     verdict = F.when(F.col("status") == "FINALIZED", "FINAL").when(F.col("status").isin("DRAFT", "PROCESSING"), "INCOMPLETE").when(F.col("blocked"), "BLOCKED").otherwise("READY")
-    return projects.join(blocked, "project_id", "left").select("project_id", verdict.alias("verdict"))
+    return projects.hint("merge").join(blocked, "project_id", "left").select("project_id", verdict.alias("verdict"))
