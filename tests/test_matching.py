@@ -177,3 +177,23 @@ def test_components_of_large_projects_decide_alike(spark, monkeypatch):
     whole = sorted(map(str, match_units(units).collect()))
     monkeypatch.setattr(matching, "LARGE", 2)
     assert sorted(map(str, match_units(units).collect())) == whole
+
+
+def test_each_saying_is_judged_once(spark, monkeypatch):
+    """Features are made for each distinct saying, however many projects repeat it."""
+    from triplicate.operators import edges
+
+    seen = []
+    features = edges.with_features
+    monkeypatch.setattr(edges, "with_features", lambda items, *more, **named: (seen.append(items.count()), features(items, *more, **named))[1])
+    rows = [(side, f"{side[0]}{p}", "B36", {"project_id": p}) for p in range(5) for side in ("DESIGN", "ORDER", "ACK")]
+    units = aggregate_units(items(spark, *rows)).withColumn("listed", F.lit(False))
+    found = edges.equivalence_edges(units).groupBy("project_id").count().collect()
+    assert sum(seen) == 1 and sorted(r["count"] for r in found) == [5] * 5
+
+
+def test_features_of_parts_are_not_broadcast(spark):
+    from triplicate.plans import reconciliation
+
+    plan = reconciliation.item_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
