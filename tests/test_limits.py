@@ -69,3 +69,10 @@ def test_windows_begin_with_the_first_hit():
             passed, held = rule([t], 2, 10.0, held)
             one_by_one += passed
         assert one_by_one == rule(times, 2, 10.0)[0]
+
+
+def test_pages_are_dealt_out_once_for_all_kinds_of_call(spark):
+    from triplicate.plans import projects
+
+    plan = projects.page_batches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")

@@ -253,7 +253,8 @@ def text_routes(spark, sf_dir):
 def page_batches(spark, sf_dir):
     """Pages by the calls in which they are read, for each kind of call."""
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), p.batch_number(F.col("l_linenumber"), k).alias("batch")) for k in p.PAGES_OF_A_CALL))).alias("x")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kinds).select("l_orderkey", "l_linenumber", "x.*")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey")  # once a line, not once a line and kind
+    rows = lines.select("l_orderkey", "l_linenumber", kinds).select("l_orderkey", "l_linenumber", "x.*")
     return rows.groupBy("l_orderkey", "kind", "batch").agg(F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last"), F.count("*").alias("n"))
 
 
