@@ -72,13 +72,19 @@ def decide(items: DataFrame, dictionary: DataFrame) -> DataFrame:
     code = normalize_sku(F.col("code"))
     w = Window.partitionBy("maker", "spelling").orderBy("entry_id")
     current = dictionary.where("is_current").withColumn("spelling", code).where("spelling is not null")
-    mates = current.where("alias_group is not null").groupBy("maker", "alias_group").agg(F.array_sort(F.collect_list(F.struct(F.col("entry_id").alias("id"), "code"))).alias("mates"))
+    # A group's codes come once, each with its first entry and the next, so that lists grow with codes and not with entries.
+    ids = current.where("alias_group is not null and entry_id is not null").select("maker", "alias_group", "code", "entry_id").distinct()
+    ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("maker", "alias_group", "code").orderBy("entry_id"))).where("nth <= 2")
+    codes = ids.groupBy("maker", "alias_group", "code").agg(F.min("entry_id").alias("id"), F.max(F.when(F.col("nth") == 2, F.col("entry_id"))).alias("next"))
+    mates = codes.groupBy("maker", "alias_group").agg(F.collect_list(F.struct("id", "next", "code")).alias("mates"))
     entries = current.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("maker", "spelling", F.struct("entry_id", "category", "is_primary", "alias_group").alias("entry"))
     tried = F.concat(F.array(normalize_sku(F.col("sku"))), F.transform(F.coalesce("spellings", F.array().cast("array<string>")), normalize_sku))
     asked = items.select("item_id", "maker", F.posexplode(tried).alias("nth", "spelling")).where("spelling is not null")
     hit = asked.join(entries, ["maker", "spelling"]).groupBy("item_id", "maker").agg(F.min_by("entry", "nth").alias("entry"))
     # An entry's fellows come to the items that it was found for, not to every entry.
-    others = F.transform(F.filter("mates", lambda m: m["id"] != F.col("entry.entry_id")), lambda m: m["code"])
+    own = F.col("entry.entry_id")
+    fellows = F.transform(F.filter("mates", lambda m: (m["id"] != own) | ((m["id"] == own) & m["next"].isNotNull())), lambda m: F.struct(F.when(m["id"] == own, m["next"]).otherwise(m["id"]).alias("id"), m["code"].alias("code")))
+    others = F.transform(F.array_sort(fellows), lambda m: m["code"])
     hit = hit.withColumn("alias_group", F.col("entry.alias_group")).join(mates, ["maker", "alias_group"], "left").select("item_id", F.col("entry").withField("siblings", F.coalesce(others, F.array().cast("array<string>"))).alias("entry"))
     rule = classify(F.col("sku"), F.col("description"), F.col("dimensions"))
     rows = items.withColumn("rule", F.explode(F.array(rule))).join(hit, "item_id", "left")
