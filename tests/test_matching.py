@@ -197,3 +197,40 @@ def test_features_of_parts_are_not_broadcast(spark):
 
     plan = reconciliation.item_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_keys_that_nobody_owns_are_left_out(spark):
+    from triplicate.functions.equivalence import block_keys, with_features
+    from triplicate.operators import edges
+
+    rows = [(side, f"{side[0]}{n}", pattern % n, {}) for n in range(9) for side, pattern in (("DESIGN", "B3%d-12-N1"), ("ORDER", "b3%d 12 n1"), ("ACK", "B3%d12N1"))]
+    units = aggregate_units(items(spark, *rows))
+    said = F.struct("raw_sku", "description", "category", "dimensions", "substitution_sku").alias("said")
+    known = with_features(units.select("unit_id", F.col("side").alias("role"), said).select("unit_id", "role", "said", "said.*"), substitution="substitution_sku").select("unit_id", "role", "said", block_keys(F.col("f")).alias("k"))
+    known = known.select("unit_id", "role", "said", F.monotonically_increasing_id().alias("saying"), "k.keys", "k.own").cache()
+    met = edges._met(known).cache()
+    owned = {k for r in met.collect() for k in r.own}
+    keys = lambda df: sum(len(r["keys"]) for r in df.collect())
+    assert met.count() == len(rows) and all(set(r["keys"]) <= owned for r in met.collect()) and keys(met) < keys(known) / 2
+    whole = known.select(F.lit(1).alias("project_id"), "unit_id", "role", F.lit(False).alias("listed"), "keys", "own")
+    fewer = whole.drop("keys").join(met.join(known.select("unit_id", "saying"), "saying").select("unit_id", "keys"), "unit_id")
+    pairs = lambda df: sorted(map(str, edges.candidate_pairs(df).collect()))
+    assert pairs(fewer) == pairs(whole) and pairs(whole)
+
+
+def test_tables_on_the_way_to_a_stored_one_are_deleted(spark, tmp_path):
+    import glob
+
+    from triplicate.sources import scratch
+
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    tables = lambda: set(glob.glob(scratch.shared_folder(spark).removeprefix("file:") + "/cut-*"))
+    before = tables()
+    inner = lambda: scratch.stored("inner", spark, [f"{tmp_path}/t.parquet"], lambda: scratch.cut(spark.range(4)))
+    outer = scratch.stored("outer", spark, [f"{tmp_path}/t.parquet"], lambda: scratch.cut(scratch.cut(spark.range(5)).unionAll(inner())))
+    assert outer.count() == 9 and inner().count() == 4 and len(tables() - before) == 2
+
+
+def test_members_carry_no_features_of_codes(spark):
+    units = aggregate_units(items(spark, ("DESIGN", "d1", "B36", {}), ("ACK", "a1", "B36", {})))
+    assert "f" not in with_members(match_units(units), units).schema["d"].dataType.names
