@@ -159,3 +159,12 @@ def test_alignment_by_hand(docs, frequent):
 
 def test_alignment_of_nothing(docs):
     assert not alignment.align_counted(docs.where("false")).collect()
+
+
+def test_alignment_tokens_stay_in_their_row(docs):
+    """Tokens of a row meet where the row is: alignment shuffles nothing, and repeated links travel once."""
+    aligned = alignment.align(docs)
+    assert "Exchange" not in aligned._jdf.queryExecution().executedPlan().toString()
+    for r in aligned.collect():
+        pairs = [(x.a, x.b) for x in r.links]
+        assert len(pairs) == len(set(pairs)) and sum(x.times for x in r.links) == r.n_links

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triplicate.llm.common import TwoGenerations, map_batches, materialize, prepare, table, texts
@@ -14,9 +15,6 @@ from triplicate.llm.tokens import ByteEncoder, byte_letters, vocabulary
 
 #: Longer chunks are encoded anew each time rather than kept, of which each worker keeps so many.
 _LONGEST_KEPT, _KEPT = 64, 250_000
-#: A token travels as one integer: its id in the lower bits, its size in bytes above.
-_ID_BITS = 20
-_ID, _SIZE = (1 << _ID_BITS) - 1, (1 << 31 - _ID_BITS) - 1
 #: Fewer links than this are broadcast: those that more than one in so many of all (row, link) pairs have.
 FREQUENT = 1 << 17
 
@@ -61,120 +59,82 @@ class Pieces:
         return b"".join(out)
 
 
-def _tokens(letters: str, pieces: str):
-    """Both sides' tokens of each text, A's first, each as its id and above that its size in bytes."""
+def _meet(sizes: tuple[np.ndarray, np.ndarray], shown: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray]:
+    """Number of groups, the groups as text, and all links (a * 2**32 + b) of one text's two token sequences of equal bytes.
+
+    Between an end and the one before it lies exactly one token of each side, and two tokens overlap in exactly one such
+    stretch, so each distinct end is a link. ``shown`` has each id as text behind a comma, then behind a group's mark.
+    """
+    ends = [np.cumsum(size[x]) for size, x in zip(sizes, (a, b), strict=True)]
+    mark = np.zeros(int(ends[0][-1]) + 1, np.uint8)
+    mark[ends[0]] = 1
+    mark[ends[1]] += 2
+    mark = mark[mark > 0]
+    ends_here = (mark & 1, mark >> 1)
+    at = [np.cumsum(x, dtype=np.int64) - x for x in ends_here]  # the token of each side that an end lies in
+    cut = mark == 3
+    group = np.cumsum(cut) - cut
+    of_a, of_b = (group[x == 1] for x in ends_here)
+    # A token comes after its own side's and, A's before B's within a group, after those of the other side.
+    place_a = np.arange(len(a)) + np.concatenate(([0], at[1][cut] + 1))[of_a]
+    place_b = np.arange(len(b)) + (at[0][cut] + 1)[of_b]
+    parts = np.empty(len(a) + len(b), object)
+    for place, names, ids, groups in ((place_a, shown[0], a, of_a), (place_b, shown[1], b, of_b)):
+        parts[place] = names[ids + (np.diff(groups, prepend=-1) > 0) * (len(names) // 2)]
+    return int(cut.sum()), "".join(parts.tolist())[1:], (a[at[0]] << 32) + b[at[1]]
+
+
+def _aligned(letters: str, pieces: str):
+    """Each text's tokens of both sides brought together."""
 
     def make():
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         sides = (Letters(letters), Pieces(pieces))
-        packed = []
-        for side in sides:
-            packed.append(np.zeros(max(side.bytes_of) + 1, np.int32))
-            for i, raw in side.bytes_of.items():
-                if i > _ID or len(raw) > _SIZE:
-                    raise ValueError(f"token {i} of {len(raw)} bytes: ids and sizes end at {_ID} and {_SIZE}")
-                packed[-1][i] = i | len(raw) << _ID_BITS
-
-        def of(text: str) -> list[np.ndarray]:
+        sizes, shown = [], []
+        for side, first in zip(sides, ";|", strict=True):
+            n = max(side.bytes_of) + 1
+            sizes.append(np.array([len(side.bytes_of.get(i, b"")) for i in range(n)], np.int64))
+            shown.append(np.array([f"{before}{i}" for before in ("," + first) for i in range(n)], object))
+        none = np.zeros(0, np.int64)
+
+        def of(text: str) -> tuple:
             raw = b" " + text.encode()
-            two = [np.frombuffer(x, "<u4") for x in (sides[0].encode(" " + text), sides[1].encode(text))]
-            same = all(b"".join(map(s.bytes_of.__getitem__, x.tolist())) == raw for s, x in zip(sides, two, strict=True))
-            return [p[x] for p, x in zip(packed, two, strict=True)] if same else [packed[0][:0]] * 2
+            a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in (sides[0].encode(" " + text), sides[1].encode(text)))
+            if any(b"".join(map(s.bytes_of.__getitem__, x.tolist())) != raw for s, x in zip(sides, (a, b), strict=True)):
+                return 0, 0, 0, 0, "", none, none
+            n, groups, links = _meet(sizes, shown, a, b)
+            return len(a), len(b), n, len(links), hashlib.sha256(groups.encode()).hexdigest(), *np.unique(links, return_counts=True)
 
         def step(batch: pa.RecordBatch) -> dict:
-            found = [of(t) if t else [packed[0][:0]] * 2 for t in batch.column("text").to_pylist()]
-            n_a = np.array([len(a) for a, _ in found], np.int64)
-            ends = np.cumsum([0] + [len(a) + len(b) for a, b in found])
-            flat = np.concatenate([packed[0][:0], *[x for two in found for x in two]])
-            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            return {"doc_id": batch.column("doc_id"), "n_a": n_a, "n_b": np.diff(ends) - n_a, "tokens": tokens}
+            found = [of(t) if t else (0, 0, 0, 0, "", none, none) for t in batch.column("text").to_pylist()]
+            *numbers, sha, links, times = zip(*found, strict=True) if found else [()] * 7
+            ends = pa.array(np.cumsum([0] + [len(x) for x in links]), pa.int32())
+            link, often = np.concatenate([none, *links]), np.concatenate([none, *times])
+            columns = [pa.array(x.astype(np.int32)) for x in (link >> 32, link & 0xFFFFFFFF, often)]
+            each = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, fields=[pa.field(c, pa.int32()) for c in ("a", "b", "times")]))
+            return {"doc_id": batch.column("doc_id"), "groups_sha256": sha, "links": each, **dict(zip(("n_a", "n_b", "n_groups", "n_links"), numbers, strict=True))}
 
         return step
 
     return make
 
 
-def _running(*by: str):
-    return Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def token_ends(docs: DataFrame, letters: str, pieces: str) -> DataFrame:
-    """doc_id, copy (which of the rows that share a doc_id), side (false: A, true: B), id and end, in bytes, of every token.
-
-    Documents are dealt out by doc_id as whole rows; their tokens stay in the same partition, here and in what follows.
-    A row without tokens gives one row of nulls.
-    """
-    prepare(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = map_batches(texts(docs), _tokens(letters, pieces), "doc_id long, n_a long, n_b long, tokens array<int>")
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_a", "tokens"))
-    dealt = encoded.repartition(n, "doc_id").select("doc_id", copy.alias("copy"), "n_a", "tokens")
-    each = dealt.select("doc_id", "copy", "n_a", F.posexplode_outer("tokens").alias("pos", "token"))
-    size = F.shiftright("token", _ID_BITS)
-    side = each.select("doc_id", "copy", "pos", (F.col("pos") >= F.col("n_a")).alias("side"), F.col("token").bitwiseAND(_ID).alias("id"), size.alias("size"))
-    return side.withColumn("end", F.sum("size").over(_running("doc_id", "copy", "side").orderBy("pos"))).drop("pos", "size")
-
-
-def links_of(ends: DataFrame) -> DataFrame:
-    """All links: doc_id, copy, end, the A and the B token, whether either ends there, and group (falling along the text).
-
-    Both sides meet on document and end. Between an end and the one before it lies exactly one token of each side, and two
-    tokens overlap in exactly one such stretch, so each distinct end is a link. Read from the last end to the first, the
-    token that an end lies in is the latest seen, and the shared ends counted so far number the groups.
-    """
-    # Equal ends of the two sides are neighbours in the order of ends. Meeting them there is the join on document and end;
-    # as a full outer join it would shuffle all tokens once more, since Spark takes its rows for dealt out anew.
-    order = (F.col("end").desc(), F.col("side"))
-    beside = Window.partitionBy("doc_id", "copy").orderBy(*order)
-    running = _running("doc_id", "copy").orderBy(*order)
-    cut = F.coalesce(F.lead("end").over(beside) == F.col("end"), F.lit(False))
-    met = ends.withColumn("cut", cut).withColumns(
-        {
-            "a": F.last(F.when(~F.col("side"), F.col("id")), ignorenulls=True).over(running),
-            "b": F.last(F.when(F.col("side"), F.col("id")), ignorenulls=True).over(running),
-            "group": F.sum(F.col("cut").cast("int")).over(running),
-            "shared": F.lag("cut", 1, False).over(beside),
-        }
-    )
-    # Of the two rows of a shared end the second has seen both tokens.
-    side = F.col("side")
-    a_ends, b_ends = [F.coalesce(F.col("shared") | x, F.lit(False)).alias(name) for x, name in ((~side, "a_ends"), (side, "b_ends"))]
-    return met.where(~F.col("cut")).select("doc_id", "copy", "end", "a", "b", "group", a_ends, b_ends)
-
-
-def _in_order(values: Column) -> Column:
-    """The second fields of the collected structs in the order of their first fields."""
-    return F.transform(F.array_sort(values), lambda x: x["value"])
-
-
 def align(docs: DataFrame, letters: str = "byte_bpe_50k.json", pieces: str = "piece_bpe_32k.model") -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups (``a1,a2|b1;a3|b2,b3``) and links (a * 2**32 + b each) of every row.
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 (of ``a1,a2|b1;a3|b2,b3``) and links of every row.
 
-    A text that is null or empty, or that either side does not give back byte by byte, has no tokens, groups and links.
+    ``links`` are the distinct ones, an A and a B id and how many times each occurs. A text that is null or empty, or that
+    either side does not give back byte by byte, has no tokens, groups and links. What overlaps lies within one text,
+    so a row's tokens meet where the row is and never travel.
     """
-    links = links_of(token_ends(docs, letters, pieces))
-
-    def of(token: str, ends: str) -> Column:
-        return F.concat_ws(",", _in_order(F.collect_list(F.when(F.col(ends), F.struct("end", F.col(token).cast("string").alias("value"))))))
-
-    pair = F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")
-    groups = links.groupBy("doc_id", "copy", "group").agg(
-        F.when(F.max("end").isNotNull(), F.concat(of("a", "a_ends"), F.lit("|"), of("b", "b_ends"))).alias("text"),
-        F.sum(F.col("a_ends").cast("long")).alias("n_a"),
-        F.sum(F.col("b_ends").cast("long")).alias("n_b"),
-        F.collect_list(pair).alias("links"),
-    )
-    ordered = F.concat_ws(";", _in_order(F.collect_list(F.when(F.col("text").isNotNull(), F.struct((-F.col("group")).alias("at"), F.col("text").alias("value"))))))
-    return groups.groupBy("doc_id", "copy").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("text").alias("n_groups"), ordered.alias("groups"), F.flatten(F.collect_list("links")).alias("links")
-    )
+    prepare(docs.sparkSession)
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<a:int,b:int,times:int>>"
+    return map_batches(texts(docs), _aligned(letters, pieces), schema)
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
-    """link, n (rows that hold it) and best (no other link of its A token is in more) of every link of ``align``'s rows."""
-    n = aligned.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count("*").alias("n"))
-    most = F.max("n").over(Window.partitionBy(F.shiftright("link", 32)))  # at most one row for each B token
-    return n.withColumn("best", F.col("n") == most)
+    """a, b, n (rows that hold the link) and best (no other link of its A token is in more) of every link of ``align``'s rows."""
+    n = aligned.select(F.inline("links")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return n.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("a")))  # at most one row for each B token
 
 
 def align_counted(docs: DataFrame, letters: str = "byte_bpe_50k.json", pieces: str = "piece_bpe_32k.model", frequent: int = FREQUENT) -> DataFrame:
@@ -184,25 +144,16 @@ def align_counted(docs: DataFrame, letters: str = "byte_bpe_50k.json", pieces: s
     column. A text of any length is taken whole. Repeated rows, and rows that share a doc_id, are aligned each for itself, and
     each counts as a document. An empty table gives no rows; columns besides doc_id and text are not read.
     """
-    shown = align(docs, letters, pieces)
-    aligned = materialize(
-        shown.select(
-            F.monotonically_increasing_id().alias("row"),
-            *["doc_id", "n_a", "n_b", "n_groups", "links"],
-            F.size("links").cast("long").alias("n_links"),
-            F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"),
-        )
-    )
-    counts = materialize(link_counts(aligned))
+    aligned = materialize(align(docs, letters, pieces).select(F.monotonically_increasing_id().alias("row"), "*"), compression="zstd")
+    counts = materialize(link_counts(aligned), compression="zstd")
     # Frequent links, a bounded number, go to where the rows are; only the others are shuffled.
     bound = (counts.agg(F.sum("n")).first()[0] or 0) // frequent
     hot = counts.where(F.col("n") > bound)
-    each = aligned.select("row", F.explode("links").alias("link")).join(F.broadcast(hot), "link", "left")
-    best = F.col("best").cast("long")
-    known = each.where(F.col("n").isNotNull()).groupBy("row").agg(F.sum(best).alias("n_best"), F.sum("n").alias("count_sum"))
-    rare = each.where(F.col("n").isNull()).groupBy("row", "link").agg(F.count("*").alias("times"))
-    found = rare.join(counts.where(F.col("n") <= bound), "link")
-    others = found.groupBy("row").agg(F.sum(best * F.col("times")).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
+    each = aligned.select("row", F.inline("links")).join(F.broadcast(hot), ["a", "b"], "left")
+    sums = (F.sum(F.col("best").cast("long") * F.col("times")).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
+    known = each.where(F.col("n").isNotNull()).groupBy("row").agg(*sums)
+    rare = each.where(F.col("n").isNull()).select("row", "a", "b", "times")
+    others = rare.join(counts.where(F.col("n") <= bound), ["a", "b"]).groupBy("row").agg(*sums)
     total = known.unionByName(others).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     none = F.lit(0).cast("long")
     counted = aligned.drop("links").join(total, "row", "left")
