@@ -93,3 +93,15 @@ def test_an_anchor_is_taken_once(spark):
     left = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 8)], "d long, page int")
     right = spark.createDataFrame([(1, 3), (1, 4), (1, 12)], "d long, page int")
     assert sorted((r.page, r.anchor) for r in anchors_once(left, right, "d", "page").collect()) == [(1, 3), (2, 4)]
+
+
+def test_lines_of_both_readings_are_made_once(spark, monkeypatch):
+    """Readings are read several times; neither numbers nor groups the lines of orders anew for that."""
+    from triplicate.operators import readings
+    from triplicate.plans import services
+
+    plans = []
+    monkeypatch.setattr(readings, "align", lambda *two: (plans.extend(x._jdf.queryExecution().executedPlan().toString() for x in two), align(*two))[1])
+    services.readings_merged(spark, "/root/testdata/sf0.001")
+    services.readings_paired(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 4 and not any("Window" in p or "Exchange" in p for p in plans)

@@ -8,6 +8,7 @@ from triplicate.operators import dictionary, readings
 from triplicate.operators.projects import PRICES, cost
 from triplicate.plans import reconciliation as r
 from triplicate.sources.line_items import table
+from triplicate.sources.scratch import cut
 from triplicate.streaming.activity import beats, fixed_window, limited, recent_hits, windowed_counts
 
 _STATES = ("O", "F", "P", "X")
@@ -182,12 +183,12 @@ def first_seen(spark, sf_dir):
 
 
 def _readings(spark, sf_dir):
-    rows = r.line_items(spark, sf_dir)
-    one = lambda side: rows.where(F.col("side") == side).select(
-        F.col("project_id").alias("document_id"), "ord", F.regexp_replace(F.upper(F.trim("raw_sku")), "[^A-Z0-9]", "").alias("sku"), F.col("quantity").cast("string").alias("quantity"),
+    rows = r.line_items(spark, sf_dir).where(F.col("side").isin("DESIGN", "ACK")).select(
+        "side", F.col("project_id").alias("document_id"), "ord", F.regexp_replace(F.upper(F.trim("raw_sku")), "[^A-Z0-9]", "").alias("sku"), F.col("quantity").cast("string").alias("quantity"),
         F.lit(1).alias("page_number"), "description", "finish", "door_style", F.col("ord").cast("string").alias("line_number"),
     )
-    return one("DESIGN"), one("ACK")
+    rows = cut(rows)  # each reading is read twice, to find counterparts and to bring them together
+    return tuple(rows.where(F.col("side") == side).drop("side") for side in ("DESIGN", "ACK"))
 
 
 def readings_merged(spark, sf_dir):
@@ -199,7 +200,7 @@ def readings_merged(spark, sf_dir):
 def readings_paired(spark, sf_dir):
     """Two readings of pages on which codes repeat and are misread."""
     n = F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
+    rows = cut(table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k")))
     one = rows.select(
         F.col("l_orderkey").alias("document_id"), n.alias("ord"), F.when(n % 3 == 0, F.concat(F.lit("B0S"), n)).otherwise("REP-9").alias("sku"), n.alias("page_number"),
         F.concat(F.lit("base "), F.repeat(F.lit("oak "), n)).alias("description"), (F.col("k") % 9).cast("string").alias("quantity"),
