@@ -226,9 +226,12 @@ def test_tables_on_the_way_to_a_stored_one_are_deleted(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
     tables = lambda: set(glob.glob(scratch.shared_folder(spark).removeprefix("file:") + "/cut-*"))
     before = tables()
-    inner = lambda: scratch.stored("inner", spark, [f"{tmp_path}/t.parquet"], lambda: scratch.cut(spark.range(4)))
-    outer = scratch.stored("outer", spark, [f"{tmp_path}/t.parquet"], lambda: scratch.cut(scratch.cut(spark.range(5)).unionAll(inner())))
+    inner = lambda: scratch.stored("inner", spark, [f"{tmp_path}/t.parquet"], lambda: scratch.cut(spark.range(4)), alone=True)
+    outer = scratch.stored("outer", spark, [f"{tmp_path}/t.parquet"], lambda: scratch.cut(scratch.cut(spark.range(5)).unionAll(inner())), alone=True)
     assert outer.count() == 9 and inner().count() == 4 and len(tables() - before) == 2
+    shared = scratch.cut(spark.range(2))
+    scratch.stored("other", spark, [f"{tmp_path}/t.parquet"], lambda: scratch.cut(shared))
+    assert len(tables() - before) == 5  # without alone others may read what was cut
 
 
 def test_members_carry_no_features_of_codes(spark):
