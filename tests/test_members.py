@@ -135,3 +135,17 @@ def test_units_of_a_projects_lines_are_not_shuffled_again(spark):
     units = aggregate_units(line_items(spark, SF)).withColumn("__words", matching._scope_words())
     plan = matching._marked(units, F.lit(False))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+def test_neighbouring_lines_meet_where_they_are(spark):
+    """Both sides of the comparison are dealt out by their project's lines, so that no features are shuffled, nor units."""
+    from triplicate.plans import reconciliation
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query, n in ((reconciliation.code_pairs, 0), (reconciliation.units_aggregate, 0)):
+            plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"Exchange hashpartitioning\(project_id", plan)) == n and "Exchange hashpartitioning(l_orderkey" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
